@@ -33,6 +33,7 @@ from patchlens.llm.common import DOCUMENT_COLUMNS, table, unit_draw, with_column
 
 LETTER = re.compile(r"[^\W\d_]")
 PIECE = 1024
+MAX_LANGS = 256
 
 
 @dataclass
@@ -47,8 +48,12 @@ class Model:
 
 
 def sample_of(labelled: DataFrame, sample_docs: int) -> DataFrame:
-    """About `sample_docs` documents of each language (all, where there are fewer), drawn by a hash of doc_id."""
-    rates = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("_rate"))
+    """About `sample_docs` documents of each language (all, where there are fewer), drawn by a hash of doc_id.
+
+    The model has MAX_LANGS languages at most, the most frequent ones, so the rates are few enough to broadcast.
+    """
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    rates = F.broadcast(counts.select("lang", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n")).alias("_rate")))
     return labelled.join(rates, "lang").where(unit_draw(F.lit("langid"), F.col("doc_id")) <= F.col("_rate")).select("lang", "text")
 
 
