@@ -16,6 +16,8 @@ repeated results; an empty table gives an empty result; other columns pass throu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ TRIGGER = "[0-9@]|AKIA|password=|token = "
 FIRST_DAY, DAYS = "1900-01-01", 256 * 285
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _hex_at(digest: Column, i: Column) -> Column:
     """Two hex digits of a digest as a number, i from 0."""
     return F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -107,12 +114,15 @@ def _digits(text: Column) -> Column:
 def _laid_out(digits: Column, form: Column, skip: Column) -> Column:
     """form with its digits, after the first `skip`, replaced by digits in order."""
 
-    def one(i: Column) -> Column:
-        c = F.substr(form, i, F.lit(1))
-        at = F.length(_digits(F.substr(form, F.lit(1), i)))
-        return F.when(c.between("0", "9") & (at > skip), F.substr(digits, at - skip, F.lit(1))).otherwise(c)
+    def filled(d: Column) -> Column:
+        def one(i: Column) -> Column:
+            c = F.substr(form, i, F.lit(1))
+            at = F.length(_digits(F.substr(form, F.lit(1), i)))
+            return F.when(c.between("0", "9") & (at > skip), F.substr(d, at - skip, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), one), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), one), "")
+    return _once(digits, filled)
 
 
 def pseudonym(found: Column, key: str) -> Column:
@@ -144,11 +154,12 @@ def pseudonym(found: Column, key: str) -> Column:
     octets = F.transform(F.split(found, r"\."), lambda x: x.cast("int"))
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x)
     mapped = feistel_number(number, 65536, 65536, key, "ip")
-    ip = F.when(~F.exists(octets, lambda x: x > 255), F.array_join(F.transform(F.array(*[F.lit(256**k).cast("long") for k in (3, 2, 1, 0)]), lambda b: ((mapped / b).cast("long") % 256).cast("string")), ".")).otherwise(found)
+    dotted = lambda m: F.concat_ws(".", *[((m / 256**k).cast("long") % 256).cast("string") for k in (3, 2, 1, 0)])
+    ip = F.when(~F.exists(octets, lambda x: x > 255), _once(mapped, dotted)).otherwise(found)
 
     body = feistel(F.substr(digits, F.lit(1), n - 1), key, "card")
-    check = (F.lit(10) - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    card = F.when(_luhn_sum(digits) % 10 == 0, _laid_out(F.concat(body, check.cast("string")), found, F.lit(0))).otherwise(found)
+    checked = _once(body, lambda b: F.concat(b, ((F.lit(10) - _luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
+    card = F.when(_luhn_sum(digits) % 10 == 0, _laid_out(checked, found, F.lit(0))).otherwise(found)
 
     return (
         F.when(found.contains("@"), email)
