@@ -34,6 +34,7 @@ from patchlens.llm.common import DOCUMENT_COLUMNS, table, unit_draw, with_column
 LETTER = re.compile(r"[^\W\d_]")
 PIECE = 1024
 MAX_LANGS = 256
+SLICE = 256
 
 
 @dataclass
@@ -140,7 +141,7 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
             pieces.append(text[begin : start + PIECE])
             skips.append(start - begin)
     order = np.argsort([-len(p) for p in pieces], kind="stable")
-    for block in np.array_split(order, max(1, len(order) // 2048)) if len(order) else []:
+    for block in np.array_split(order, max(1, len(order) // 1024)) if len(order) else []:
         lengths = np.array([len(pieces[i]) for i in block])
         grid = np.zeros((lengths[0], len(block)), np.uint8)
         for j, i in enumerate(block):
@@ -180,19 +181,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
+        names = np.array([*model.langs, "und"], object)
         for texts in parts:
-            fine = np.array([bool(t) and bool(LETTER.search(t)) for t in texts], bool) & bool(model.langs)
-            raw = [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(texts, fine, strict=True)]
-            if not model.langs:
-                yield pd.DataFrame({"lang_pred": ["und"] * len(raw), "score": 0.0, "bits_per_byte": 0.0})
-                continue
-            bits = code_lengths(model, raw)
-            best = bits.argmin(axis=1)
-            least = bits[np.arange(len(raw)), best]
-            with np.errstate(over="ignore"):
+            found = []
+            for start in range(0, len(texts), SLICE):
+                some = texts.iloc[start : start + SLICE]
+                fine = np.array([bool(t) and bool(LETTER.search(t)) for t in some], bool) & bool(model.langs)
+                raw = [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(some, fine, strict=True)]
+                bits = code_lengths(model, raw) if model.langs else np.zeros((len(raw), 1))
+                best = bits.argmin(axis=1)
+                least = bits[np.arange(len(raw)), best]
                 score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-            names = np.array(model.langs, object)
-            yield pd.DataFrame({"lang_pred": np.where(fine, names[best], "und"), "score": np.where(fine, score, 0.0), "bits_per_byte": np.where(fine, least / np.maximum([len(x) for x in raw], 1), 0.0)})
+                rate = least / np.maximum([len(x) for x in raw], 1)
+                found.append(pd.DataFrame({"lang_pred": names[np.where(fine, best, -1)], "score": np.where(fine, score, 0.0), "bits_per_byte": np.where(fine, rate, 0.0)}))
+            yield pd.concat(found) if found else pd.DataFrame({"lang_pred": pd.Series([], dtype=object), "score": [], "bits_per_byte": []})
 
     marked = F.pandas_udf(predict, "lang_pred string, score double, bits_per_byte double")
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]

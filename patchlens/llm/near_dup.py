@@ -61,13 +61,16 @@ def sketches(docs: DataFrame, n_words: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, n_words) for t in batch.column("text").to_pylist()]
-            cls = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest()) >> 1 if len(s) else None for s in sets]
-            parts = [s[:SKETCH] for s in sets]
+            sizes, cls, parts = [], [], []
+            for text in batch.column("text"):
+                found = shingles(text.as_py(), n_words)
+                sizes.append(len(found))
+                cls.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest()) >> 1 if len(found) else None)
+                parts.append(found[:SKETCH].copy())
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
                 names=["doc_id", "text_hash", "n_shingles", "cls", "sketch"],
             )
 
