@@ -1,0 +1,90 @@
+import re
+
+import pytest
+
+from patchlens.functions.patterns import jvm
+from patchlens.operators.classify import glob_pattern
+from patchlens.operators.packet import packets
+from patchlens.operators.parse import diff_files, diff_lines
+from patchlens.operators.redact import redact_lines
+from patchlens.operators.rules import Options, assessed, with_missing_tests, with_missing_tests_joined
+from patchlens.sources.patches import language
+
+PATCH = """preamble
+diff --git a/src/pay/core.ts b/src/pay/core.ts
+--- a/src/pay/core.ts
++++ b/src/pay/core.ts
+@@ -3,2 +3,3 @@ part
+ same
+-old
++eval
++(x)
+\\ No newline at end of file
+diff --git a/old name.txt b/new.txt
+similarity index 90%
+rename from old name.txt
+rename to new.txt
+diff --git a/img.bin b/img.bin
+GIT binary patch
+@@ -1 +1 @@
++fake
+diff --git a/gone.py b/gone.py
+deleted file mode 100644
+--- a/gone.py
++++ /dev/null
+@@ -1 +0,0 @@
+-x
+"""
+
+
+def frame(spark, text):
+    return spark.createDataFrame([(1, text)], "patch_id long, text string")
+
+
+def test_parse(spark):
+    lines = diff_lines(frame(spark, PATCH))
+    files = {r.path: r for r in diff_files(lines).collect()}
+    assert {p: r.status for p, r in files.items()} == {"src/pay/core.ts": "modified", "new.txt": "renamed", "img.bin": "modified", "gone.py": "deleted"}
+    assert files["new.txt"].old_path == "old name.txt" and files["new.txt"].similarity == 90
+    assert files["img.bin"].is_binary and files["img.bin"].additions == 0
+    first = [(r.kind, r.text, r.old_line, r.new_line) for r in lines.where("part = 'line' and file_no = 1").orderBy("line_no").collect()]
+    assert first == [("context", "same", 3, 3), ("del", "old", 4, None), ("add", "eval", None, 4), ("add", "(x)", None, 5)]
+
+
+def test_rules_cross_lines_and_empty(spark):
+    out = packets(frame(spark, PATCH)).first()
+    assert "code-exec" in out.files[0].rules and out.label == "high" and out.n_files == 4 and out.minutes == 2
+    empty = packets(frame(spark, "")).first()
+    assert (empty.n_files, empty.minutes, empty.label, empty.score) == (0, 0, "calm", 0)
+
+
+@pytest.mark.parametrize(("n", "label", "score"), [(9, "calm", 9), (10, "low", 10), (32, "medium", 32), (70, "medium", 69)])
+def test_packet_thresholds(spark, n, label, score):
+    text = "".join(f"diff --git a/f{k}.ts b/f{k}.ts\n--- a/f{k}.ts\n+++ b/f{k}.ts\n@@ -1 +1 @@\n-x\n+ x\n" for k in range(n))
+    out = packets(frame(spark, text)).first()
+    assert (out.label, out.score) == (label, score)
+
+
+def test_missing_tests_both_ways(spark):
+    body = "@@ -0,0 +1,20 @@\n" + "+line\n" * 20
+    text = "".join(f"diff --git a/{p} b/{p}\n--- a/{p}\n+++ b/{p}\n{body}" for p in ("src/alpha.ts", "src/beta.ts", "src/application.ts", "test/alpha.test.ts", "test/app.router.js", "src/ab.ts"))
+    files = assessed(diff_files(diff_lines(frame(spark, text)), texts=True), Options())
+    one, two = ({r.path: r.rules for r in f(files).collect()} for f in (with_missing_tests, with_missing_tests_joined))
+    assert one == two and [p for p, r in one.items() if "missing-tests" in r] == ["src/beta.ts"]
+
+
+def test_patterns_and_globs(spark):
+    row = spark.createDataFrame([("éeval(x)", "a b", "x\n")], "a string, b string, c string")
+    from pyspark.sql import functions as F
+
+    got = row.select(F.col("a").rlike(jvm(r"\beval\s*\(")), F.col("b").rlike(jvm(r"a\sb")), F.col("c").rlike(jvm("x$"))).first()
+    assert list(got) == [True, True, False]
+    fits = lambda g, p: bool(spark.createDataFrame([(p,)], "p string").select(F.col("p").rlike(glob_pattern(g))).first()[0])
+    assert fits("docs/**", "docs/a/b.md") and fits("**/*.snap", "x.snap") and not fits("a?c", "abc") and not fits("*.md", "a/b.md")
+    assert language("PT-br") == "pt" and language("xx") is None and re is not None
+
+
+def test_key_block_is_masked(spark):
+    text = "diff --git a/k b/k\n--- a/k\n+++ b/k\n@@ -0,0 +1,4 @@\n+-----BEGIN RSA PRIVATE KEY-----\n+abc\n+-----END RSA PRIVATE KEY-----\n+ghp_" + "a" * 24 + "\n"
+    rows = redact_lines(diff_lines(frame(spark, text)).where("part = 'line'")).orderBy("line_no").collect()
+    assert [r.redacted for r in rows] == ["-----BEGIN PRIVATE KEY----- ••••", "••••", "••••", "ghp_••••"]
