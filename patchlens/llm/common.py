@@ -76,6 +76,25 @@ def gapless(df: DataFrame, keys: list[str], order: list[str], name: str, counted
     return numbered.join(starts, same, "left").select(*[numbered[c] for c in df.columns], (starts["_start"] + numbered["_at"]).cast("long").alias(name))
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, parts: int = 200) -> DataFrame:
+    """left with the columns of right, which has one row for each key; null where right has none.
+
+    counts(key, n) tells how many rows of left each key has. Keys with 1 in `parts` of all rows or more are at most `parts`
+    keys, so their rows of right are broadcast; rows of left with such a key, or a null one, are dealt by a hash of the
+    whole row, and only the others are shuffled by key.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot_keys = counts.where(F.col(key).isNotNull() & (F.col("n") * parts >= total)).select(key)
+    values = [c for c in right.columns if c != key]
+    hot = right.join(F.broadcast(hot_keys), key, "left_semi").select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in values])
+    rest = right.select(F.col(key).alias("_rest_key"), *[F.col(c).alias(f"_rest_{c}") for c in values])
+    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    apart = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    dealt = dealt.withColumn("_apart", apart).withColumn("_at", F.when(apart, F.xxhash64(*left.columns)).otherwise(F.col(key)))
+    both = dealt.join(rest, (F.col("_at") == F.col("_rest_key")) & ~F.col("_apart"), "left")
+    return both.select(*left.columns, *[F.when(F.col("_apart"), F.col(f"_hot_{c}")).otherwise(F.col(f"_rest_{c}")).alias(c) for c in values])
+
+
 def min_labels(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components: edges(a, b) of longs -> (id, label), label the smallest id reachable.
 

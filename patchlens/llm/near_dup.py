@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import DOCUMENT_COLUMNS, keep, min_labels, table, with_columns_of
+from patchlens.llm.common import DOCUMENT_COLUMNS, join_hot, keep, min_labels, table, with_columns_of
 
 SKETCH, LEAST, HOT = 32, 14, 48
 BLOCK_ROWS, BLOCK_CHARS = 1024, 4_000_000
@@ -101,7 +101,8 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n_words: int) -> DataFrame:
     """pairs(a, b) whose full sets have 100 * intersection >= 80 * union. texts(cls, text)."""
-    sized = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 200).alias("_parts")), "a")
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    sized = join_hot(pairs, counts.select("a", F.ceil(F.col("n") / 200).alias("_parts")), "a", counts)
     dealt = sized.select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("salt"))
     members = dealt.join(texts, dealt["b"] == texts["cls"]).select("a", "salt", F.lit(1).alias("role"), "b", "text")
     leaders = dealt.select("a", "salt").distinct().join(texts, F.col("a") == F.col("cls")).select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
@@ -163,11 +164,13 @@ def block_links(sets: list[np.ndarray], groups: np.ndarray) -> list[tuple[int, i
 
 def _in_blocks(lists: DataFrame, texts: DataFrame, n_words: int) -> DataFrame:
     """Links across components within long lists(v, cls, comp), found in square blocks of bounded rows and characters."""
-    rows = lists.join(texts, "cls")
-    size = rows.groupBy("v").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("_blocks"))
-    rows = rows.join(size, "v").withColumn("_own", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
+    rows = lists.join(texts.select("cls", F.length("text").alias("chars")), "cls")
+    size = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    blocks = size.select("v", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int").alias("_blocks"))
+    rows = join_hot(rows.drop("chars"), blocks, "v", size).withColumn("_own", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("v", F.least("_own", "_with").alias("i"), F.greatest("_own", "_with").alias("j"), "cls", "comp", "text")
+    rows = rows.select("v", F.least("_own", "_with").alias("i"), F.greatest("_own", "_with").alias("j"), "cls", "comp")
+    rows = rows.join(texts, "cls").repartition("v", "i", "j")  # a list's blocks go to different tasks
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -184,7 +187,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = keep(sketches(docs, n_words), "sketches")
-    classes = keep(rows.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("sample")), "classes")
+    classes = keep(rows.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("sample"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
 
     values = classes.select("cls", F.explode("sketch").alias("v"))
     hot = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > HOT)
@@ -217,9 +220,11 @@ def near_duplicates(docs: DataFrame, n_words: int = 5) -> DataFrame:
     links = keep(links.unionByName(more), "links")
 
     labels = min_labels(spark, links).select(F.col("id").alias("cls"), "label")
-    joined = rows.join(labels, "cls", "left").select("doc_id", "text_hash", "n_shingles", "cls", F.coalesce("label", "cls").alias("comp"))
-    least = joined.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return joined.join(least, "comp", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    by_class = keep(classes.join(labels, "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("comp")), "components")
+    by_comp = by_class.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_class = join_hot(by_class.select("cls", "comp"), by_comp.select("comp", "component_id"), "comp", by_comp)
+    found = join_hot(rows.drop("sketch"), of_class.select("cls", "component_id"), "cls", classes.select("cls", F.col("copies").alias("n")))
+    return found.select("doc_id", "text_hash", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op5_bottom_k_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchlens.llm import ann, chat, embedding_dedup, langid, mixing, near_dup, packing, pii, sharding, warc
-from patchlens.llm.common import new_path
+from patchlens.llm.common import join_hot, new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, cls long"
 
@@ -196,3 +196,12 @@ def test_nearest(spark):
         order = sorted((i for i in good if i != q), key=lambda i: (-(good[i] @ good[q]) / np.sqrt((good[i] @ good[i]) * (good[q] @ good[q])), i))[:5]
         right += len(set(order) & {x.vec_id for x in got if x.query_id == q})
     assert len(got) == 5 * len(queries) and right >= 0.9 * len(got)
+
+
+def test_join_hot_is_a_left_join(spark):
+    left = spark.createDataFrame([(1, k) for k in range(300)] + [(None, k) for k in range(100)] + [(2 + k, k) for k in range(50)], "key long, x long")
+    right = spark.createDataFrame([(k, k * 10) for k in range(1, 40)], "key long, y long")
+    counts = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    got = sorted(map(str, join_hot(left, right, "key", counts).collect()))
+    assert got == sorted(map(str, left.join(right, "key", "left").collect()))
+    assert join_hot(left.limit(0), right, "key", counts.limit(0)).count() == 0
