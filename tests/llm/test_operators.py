@@ -205,3 +205,22 @@ def test_join_hot_is_a_left_join(spark):
     got = sorted(map(str, join_hot(left, right, "key", counts).collect()))
     assert got == sorted(map(str, left.join(right, "key", "left").collect()))
     assert join_hot(left.limit(0), right, "key", counts.limit(0)).count() == 0
+
+
+def test_long_lists_are_joined_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 30)
+    r = random.Random(5)
+    bases = [[f"b{g}w{k}" for k in range(80)] for g in range(4)]
+    texts = []
+    for k in range(120):
+        w = list(bases[k % 4])
+        w[r.randrange(80)] = f"edit{k}"
+        texts.append((k, " ".join(w)))
+    lists = spark.createDataFrame([(7, k, k) for k, _ in texts], "v long, cls long, comp long")
+    found = near_dup._in_blocks(lists, spark.createDataFrame(texts, "cls long, text string"), 4).collect()
+    label = list(range(120))
+    for x in found:
+        old, new = label[x.a], label[x.b]
+        label = [new if y == old else y for y in label]
+    assert len(set(label)) == 4
+    assert all(label[k] == label[k % 4] for k in range(120))
