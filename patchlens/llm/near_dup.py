@@ -2,9 +2,10 @@
 
 A document's set holds the hashes of its word shingles; its sketch is the k least of them. Equal sets are one class, by
 a digest of the set, so copies never form pairs. Inverted lists of retained values find classes that overlap: of each
-sketch, values are listed rarest first, and as two sets with the wanted similarity share at least `least` of k values
-(but for a chance of about 1 in 10^5 at the very threshold, and far less above it), the first k - least + 1 are enough;
-so a passage that many documents share lists only those documents that consist mostly of it. The overlap within the
+sketch, values are listed rarest first, and as two sets with the wanted similarity share at least `shared_at_least` of
+their values (exactly so where the sketches are whole sets; else but for a chance of about 1 in 10^5 at the very
+threshold, and far less above it), all but so many, and one more, are enough; so a passage that many documents share
+lists only those documents that consist mostly of it. The overlap within the
 sketch of the union estimates the similarity and drops pairs that are clearly below; the full sets confirm the rest.
 
 Links are wanted for their components, so no list is expanded into all its pairs:
@@ -78,6 +79,18 @@ def sketches(docs: DataFrame, n_words: int) -> DataFrame:
     return rows.mapInArrow(build, "doc_id long, text_hash long, n_shingles long, cls long, sketch array<long>")
 
 
+def shared_at_least(n: F.Column) -> F.Column:
+    """How many values the sketch of a set of n shares with that of any set linked with it.
+
+    A linked set has 4/5 of n in common. The union has at most 5/4 n values; the sketch of the union is drawn from them
+    without replacement, at least 4/5 of them shared: its mean less 4.75 deviations, LEAST where n is large.
+    """
+    n = n.cast("long")
+    union = n * 1.25
+    deviation = F.sqrt(0.16 * SKETCH * F.greatest(F.lit(0.0), union - SKETCH) / union)
+    return F.least(F.ceil(n * 4 / 5), F.floor(0.8 * SKETCH - 4.75 * deviation)).cast("int")
+
+
 def _close(n: str, m: str) -> F.Column:
     """Sizes that allow a similarity of 0.8."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * 80
@@ -195,7 +208,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5) -> DataFrame:
     common = F.coalesce(F.col("hot.v"), F.array().cast("array<long>"))
     kept = F.size("sketch")
     ordered = F.concat(F.array_except("sketch", common), common)
-    prefix = F.slice(ordered, F.lit(1), kept - F.greatest(F.lit(1), F.floor(kept * LEAST / SKETCH).cast("int")) + 1)
+    prefix = F.slice(ordered, F.lit(1), kept - shared_at_least(F.col("n")) + 1)
     listed = keep(classes.join(hot_of, "cls", "left").select("cls", "n", F.explode(prefix).alias("v")), "lists")
     shared = listed.groupBy("v").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("n", "cls")).alias("leader")).where("members > 1")
     lists = keep(listed.join(shared, "v").select("v", "cls", "n", "members", F.col("leader.cls").alias("leader"), F.col("leader.n").alias("leader_n")), "lists")

@@ -224,3 +224,13 @@ def test_long_lists_are_joined_across_blocks(spark, monkeypatch):
         label = [new if y == old else y for y in label]
     assert len(set(label)) == 4
     assert all(label[k] == label[k % 4] for k in range(120))
+
+
+def test_sketch_overlap_bound(spark):
+    sizes = spark.range(1, 400).select(F.col("id").alias("n"), near_dup.shared_at_least(F.col("id")).alias("m"))
+    got = {x.n: x.m for x in sizes.collect()}
+    for n, m in got.items():
+        if n * 1.25 <= near_dup.SKETCH:
+            assert m == -(-4 * n // 5)
+        assert near_dup.LEAST <= m <= 0.8 * near_dup.SKETCH or m <= -(-4 * n // 5)
+    assert spark.range(1).select(near_dup.shared_at_least(F.lit(10**9)).alias("m")).first().m == near_dup.LEAST
