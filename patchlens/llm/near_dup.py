@@ -177,10 +177,10 @@ def block_links(sets: list[np.ndarray], groups: np.ndarray) -> list[tuple[int, i
 
 def _in_blocks(lists: DataFrame, texts: DataFrame, n_words: int) -> DataFrame:
     """Links across components within long lists(v, cls, comp), found in square blocks of bounded rows and characters."""
-    sized = lists.join(texts.select("cls", F.length("text").alias("chars")), "cls")
-    size = sized.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    members = keep(lists.join(texts, "cls").select("v", "cls", "comp", "text", F.length("text").alias("chars")), "members")
+    size = members.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
     blocks = size.select("v", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int").alias("_blocks"))
-    rows = join_hot(lists.join(texts, "cls"), blocks, "v", size).withColumn("_own", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
+    rows = join_hot(members.drop("chars"), blocks, "v", size).withColumn("_own", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.select("v", F.least("_own", "_with").alias("i"), F.greatest("_own", "_with").alias("j"), "cls", "comp", "text")
     rows = rows.repartition("v", "i", "j")  # a list's blocks go to different tasks
