@@ -58,7 +58,7 @@ def shingles(text: str | None, n_words: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, cls (null for an empty set), sketch."""
+    """doc_id, text_hash, chars, n_shingles, cls (null for an empty set), sketch."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,12 +71,12 @@ def sketches(docs: DataFrame, n_words: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                names=["doc_id", "text_hash", "n_shingles", "cls", "sketch"],
+                [batch.column("doc_id"), batch.column("text_hash"), batch.column("chars"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                names=["doc_id", "text_hash", "chars", "n_shingles", "cls", "sketch"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(build, "doc_id long, text_hash long, n_shingles long, cls long, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.length("text").alias("chars"), "text")
+    return rows.mapInArrow(build, "doc_id long, text_hash long, chars int, n_shingles long, cls long, sketch array<long>")
 
 
 def shared_at_least(n: F.Column) -> F.Column:
@@ -176,11 +176,14 @@ def block_links(sets: list[np.ndarray], groups: np.ndarray) -> list[tuple[int, i
 
 
 def _in_blocks(lists: DataFrame, texts: DataFrame, n_words: int) -> DataFrame:
-    """Links across components within long lists(v, cls, comp), found in square blocks of bounded rows and characters."""
-    members = keep(lists.join(texts, "cls").select("v", "cls", "comp", "text", F.length("text").alias("chars")), "members")
-    size = members.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    """Links across components within long lists(v, cls, comp, chars), found in square blocks of bounded rows and characters.
+
+    Lists without the column chars, the length of a text, are bounded by rows alone.
+    """
+    chars = F.sum("chars") if "chars" in lists.columns else F.lit(0)
+    size = lists.groupBy("v").agg(F.count(F.lit(1)).alias("n"), chars.alias("chars"))
     blocks = size.select("v", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int").alias("_blocks"))
-    rows = join_hot(members.drop("chars"), blocks, "v", size).withColumn("_own", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
+    rows = join_hot(lists.select("v", "cls", "comp").join(texts, "cls"), blocks, "v", size).withColumn("_own", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.select("v", F.least("_own", "_with").alias("i"), F.greatest("_own", "_with").alias("j"), "cls", "comp", "text")
     rows = rows.repartition("v", "i", "j")  # a list's blocks go to different tasks
@@ -200,7 +203,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = keep(sketches(docs, n_words), "sketches")
-    classes = keep(rows.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("sample"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = keep(rows.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash", "chars")).alias("sample"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
 
     values = classes.select("cls", F.explode("sketch").alias("v"))
     hot = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > HOT)
@@ -209,9 +212,9 @@ def near_duplicates(docs: DataFrame, n_words: int = 5) -> DataFrame:
     kept = F.size("sketch")
     ordered = F.concat(F.array_except("sketch", common), common)
     prefix = F.slice(ordered, F.lit(1), kept - shared_at_least(F.col("n")) + 1)
-    listed = keep(classes.join(hot_of, "cls", "left").select("cls", "n", F.explode(prefix).alias("v")), "lists")
+    listed = keep(classes.join(hot_of, "cls", "left").select("cls", "n", F.col("sample.chars").alias("chars"), F.explode(prefix).alias("v")), "lists")
     shared = listed.groupBy("v").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("n", "cls")).alias("leader")).where("members > 1")
-    lists = keep(listed.join(shared, "v").select("v", "cls", "n", "members", F.col("leader.cls").alias("leader"), F.col("leader.n").alias("leader_n")), "lists")
+    lists = keep(listed.join(shared, "v").select("v", "cls", "n", "chars", "members", F.col("leader.cls").alias("leader"), F.col("leader.n").alias("leader_n")), "lists")
 
     stars = lists.where((F.col("cls") != F.col("leader")) & _close("n", "leader_n")).groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("k"))
     stars = stars.groupBy("cls").agg(F.max(F.struct("k", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("cls").alias("b"))
@@ -222,21 +225,21 @@ def near_duplicates(docs: DataFrame, n_words: int = 5) -> DataFrame:
     links = keep(confirmed(stars, texts, n_words), "links")
 
     known = min_labels(spark, links)
-    open_lists = lists.join(known.select(F.col("id").alias("cls"), "label"), "cls", "left").select("v", "cls", "n", "members", F.coalesce("label", "cls").alias("comp"))
+    open_lists = lists.join(known.select(F.col("id").alias("cls"), "label"), "cls", "left").select("v", "cls", "n", "chars", "members", F.coalesce("label", "cls").alias("comp"))
     mixed = open_lists.groupBy("v").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("v")
     open_lists = keep(open_lists.join(mixed, "v"), "lists")
     short = open_lists.where(F.col("members") <= HOT)
     other = short.select("v", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("comp").alias("q"))
     pairs = short.withColumnRenamed("cls", "a").join(other, "v").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("q")) & _close("n", "m")).select("a", "b").distinct()
     pairs = keep(_likely(pairs, classes), "pairs")
-    more = confirmed(pairs, texts, n_words).unionByName(_in_blocks(open_lists.where(F.col("members") > HOT).select("v", "cls", "comp"), texts, n_words))
+    more = confirmed(pairs, texts, n_words).unionByName(_in_blocks(open_lists.where(F.col("members") > HOT).select("v", "cls", "comp", "chars"), texts, n_words))
     links = keep(links.unionByName(more), "links")
 
     labels = min_labels(spark, links).select(F.col("id").alias("cls"), "label")
     by_class = keep(classes.join(labels, "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("comp")), "components")
     by_comp = by_class.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     of_class = join_hot(by_class.select("cls", "comp"), by_comp.select("comp", "component_id"), "comp", by_comp)
-    found = join_hot(rows.drop("sketch"), of_class.select("cls", "component_id"), "cls", classes.select("cls", F.col("copies").alias("n")))
+    found = join_hot(rows.drop("sketch", "chars"), of_class.select("cls", "component_id"), "cls", classes.select("cls", F.col("copies").alias("n")))
     return found.select("doc_id", "text_hash", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
