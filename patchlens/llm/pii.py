@@ -24,21 +24,29 @@ from pyspark.sql import functions as F
 from patchlens.llm.common import DOCUMENT_COLUMNS, table, with_columns_of
 
 ROUNDS = 8
+#: What names a secret, in any case; what stands between name and value; the value. After '=' a password may be any word;
+#: elsewhere a value has a digit or is hex, so that prose after a colon is left alone.
+_PASSWORD = "password|passwd|pwd"
+_NAMED = f"{_PASSWORD}|secret|token|api[_-]?key"
+_IS, _VALUE = r"[\"']? {0,3}[=:] {0,3}[\"']?", r"[^\s\"'<>,;]{8,}"
 #: What is looked for, in order of precedence where several start at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[0-9a-f]{8,64}|(?<=token = \")[0-9a-f]{16,64}",
+    "secret": rf"(?<![A-Za-z0-9])AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9])|(?i:{_PASSWORD}){_IS.replace(':', '')}{_VALUE}|(?i:{_NAMED}){_IS}(?=[^\s\"'<>,;]*[0-9]|[0-9a-fA-F]{{16}}){_VALUE}",
     "date": r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+    r"|(?<![0-9A-Za-z+])\+(?=(?:[ .()-]{0,2}[0-9]){8})[0-9]{1,15}(?:[ .-]?\([0-9]{1,5}\)[ .-]?[0-9]{1,6}|[ .-][0-9]{1,6}){0,5}(?![0-9]|[.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: A text with none of these holds none of the above.
-TRIGGER = "[0-9@]|AKIA|password=|token = "
+TRIGGER = f"[0-9@]|AKIA|(?i:{_NAMED})"
 #: Dates are permuted among this many days from FIRST_DAY (1900-01-01 to 2099-10-03); 256 x 285.
 FIRST_DAY, DAYS = "1900-01-01", 256 * 285
+#: The other dates of the years 1 to 9999 are permuted among themselves: so many days before FIRST_DAY, and so many in all.
+DAYS_BEFORE, FAR_DAYS = 693_595, 3_652_059 - DAYS
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -96,6 +104,15 @@ def feistel_number(value: Column, left: int, right: int, key: str, tweak: str) -
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: acc["l"] * right + acc["r"])
 
 
+def _other_day(offset: Column, key: str) -> Column:
+    """The keyed permutation of days, as offsets from FIRST_DAY: near ones become near ones, far ones far ones."""
+    rank = F.when(offset < 0, offset + DAYS_BEFORE).otherwise(offset - DAYS + DAYS_BEFORE)
+    step = lambda x: feistel_number(x, 1892, 1892, key, "far date")  # noqa: E731  1892 x 1892 is 565 more than FAR_DAYS
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(12)), step(rank), lambda acc, _: F.when(acc < FAR_DAYS, acc).otherwise(step(acc)))
+    far = _once(walked, lambda x: F.when(x < DAYS_BEFORE, x - DAYS_BEFORE).otherwise(x - DAYS_BEFORE + DAYS))
+    return F.when(offset.between(0, DAYS - 1), feistel_number(offset, 256, DAYS // 256, key, "date")).otherwise(far)
+
+
 def _luhn_sum(digits: Column) -> Column:
     """The Luhn sum of digits, the last one counted once."""
     n = F.length(digits)
@@ -131,19 +148,41 @@ def pseudonym(found: Column, key: str) -> Column:
     n = F.length(digits)
 
     def like(kind: str) -> Column:
-        return found.rlike(rf"\A(?:{PATTERNS[kind]})\z".replace('(?<=password=)', "").replace('(?<=token = \\")', ""))
+        return found.rlike(rf"\A(?:{PATTERNS[kind]})\z")
 
     local = F.regexp_extract(found, "^([^@]*)@", 1)
     email = F.concat(feistel(local, key, "email"), F.regexp_extract(found, "(@.*)$", 1))
-    secret = F.when(found.startswith("AKIA"), F.concat(F.lit("AKIA"), feistel(F.substr(found, F.lit(5)), key, "access key"))).otherwise(feistel(found, key, "secret", "f"))
+    named = rf"(?s)\A((?i:{_NAMED}){_IS})(.*)\z"
+
+    def hidden(value: Column) -> Column:
+        def step(x: Column) -> Column:
+            return feistel(x, key, "secret")
+
+        hexes = "^([0-9a-f]+|[0-9A-F]+)$"
+        lower = feistel(F.lower(value), key, "secret", "f")
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(24)), step(value), lambda acc, _: F.when(acc.rlike(hexes), step(acc)).otherwise(acc))
+        return F.when(value.rlike("^[0-9a-f]+$"), lower).when(value.rlike("^[0-9A-F]+$"), F.upper(lower)).otherwise(walked)
+
+    key_of = F.concat(F.lit("AKIA"), feistel(F.substr(found, F.lit(5)), key, "access key"))
+    secret = F.when(found.startswith("AKIA"), key_of).otherwise(F.concat(F.regexp_extract(found, named, 1), _once(F.regexp_extract(found, named, 2), hidden)))
 
     iso = found.substr(5, 1) == "-"
-    day = F.when(iso, F.try_to_timestamp(found, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(found, F.lit("dd/MM/yyyy"))).cast("date")
-    offset = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(offset, 256, DAYS // 256, key, "date").cast("int"))
-    date = F.when(offset.between(0, DAYS - 1), F.when(iso, F.date_format(moved, "yyyy-MM-dd")).otherwise(F.date_format(moved, "dd/MM/yyyy"))).otherwise(found)
+    day_first = F.try_to_timestamp(found, F.lit("dd/MM/yyyy"))
+    month_first = ~iso & day_first.isNull()
+    day = F.when(iso, F.try_to_timestamp(found, F.lit("yyyy-MM-dd"))).otherwise(F.coalesce(day_first, F.try_to_timestamp(found, F.lit("MM/dd/yyyy")))).cast("date")
+    to_day = lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), x.cast("int"))
+
+    def dated(offset: Column) -> Column:
+        # a date that can only be read month first becomes another such date, so no two texts meet
+        once = _other_day(offset, key)
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(40)), once, lambda acc, _: F.when(F.dayofmonth(to_day(acc)) > 12, acc).otherwise(_other_day(acc, key)))
+        shown = F.when(iso, F.date_format(to_day(once), "yyyy-MM-dd")).when(month_first, F.date_format(to_day(walked), "MM/dd/yyyy")).otherwise(F.date_format(to_day(once), "dd/MM/yyyy"))
+        return F.when(offset >= -DAYS_BEFORE, shown).otherwise(found)
+
+    date = _once(F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), dated)
 
-    phone = _laid_out(feistel(F.substr(digits, n - 8, F.lit(9)), key, "phone"), found, n - 9)
+    skip = F.greatest(F.lit(0), F.least(n - 9, F.lit(4)))
+    phone = _laid_out(feistel(F.substr(digits, skip + 1, n), key, "phone"), found, skip)
 
     def ssn_valid(d: Column) -> Column:
         return ~d.rlike("^(000|666|9)") & ~d.rlike("^...00") & ~d.rlike("0000$")
@@ -162,8 +201,8 @@ def pseudonym(found: Column, key: str) -> Column:
     card = F.when(_luhn_sum(digits) % 10 == 0, _laid_out(checked, found, F.lit(0))).otherwise(found)
 
     return (
-        F.when(found.contains("@"), email)
-        .when(found.rlike("^AKIA|^[0-9a-f]*[a-f][0-9a-f]*$"), secret)
+        F.when(found.rlike(rf"\A(?:AKIA[A-Z0-9]{{16}}\z|(?i:{_NAMED}){_IS}{_VALUE})"), secret)
+        .when(found.contains("@"), email)
         .when(like("date"), date)
         .when(like("ip"), ip)
         .when(like("ssn"), ssn)

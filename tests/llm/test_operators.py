@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -89,6 +90,32 @@ def test_pii(spark):
     assert numbers.select(pii.feistel(F.col("n"), "k", "t").alias("p")).distinct().count() == 100
 
 
+def test_pii_forms(spark):
+    gone = {
+        "+1 (152) 555-8590": r"\+1 \(\d{3}\) \d{3}-\d{4}", "(052) 555-8590": r"\(\d{3}\) \d{3}-\d{4}", "+44 20 7946 0958": r"\+44 \d\d \d{4} \d{4}",
+        "+15835558469": r"\+1\d{10}", "+49(0)30 901820": r"\+49\(\d\)\d\d \d{6}", "12/25/1990": r"(0\d|1[0-2])/(1[3-9]|[23]\d)/\d{4}", "25/12/1990": r"[0-3]\d/[01]\d/\d{4}",
+        "1850-03-01": r"\d{4}-\d\d-\d\d", "2150-03-01": r"\d{4}-\d\d-\d\d", 'token = "f95017526fabcdef0"': r'token = "[0-9a-f]{17}"', 'TOKEN = "9233A8ECF79233A8"': r'TOKEN = "[0-9A-F]{16}"',
+        "Password: Tr0ub4dor&3x": r"Password: [A-Z][a-z]\d[a-z]{2}\d[a-z]{3}&\d[a-z]", "password=correcthorse": r"password=[a-z]{12}", "api_key='Zk9-q7Ww_Lm2x'": r"api_key='.{13}'",
+        "password=12345678": r"password=\d{8}", "user.7@mail3.example.com": r".{6}@mail3.example.com",
+    }
+    stays = ["password: remember", "13/13/1990", "0000-01-01", "4532015112830367", "+12 34", "999.1.1.1", "token = identity"]
+    texts = [*gone, *stays]
+    out = [x.text for x in pii.pseudonymise(spark.createDataFrame([(k, f"a {t} b") for k, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    for text, new in zip(texts, out, strict=True):
+        if text in gone:
+            assert re.fullmatch(f"a {gone[text]} b", new) and new != f"a {text} b"
+        else:
+            assert new == f"a {text} b"
+    both = pii.pseudonymise(spark.createDataFrame([("+44 20 7946 0958 190.137.223.204",)], "text string")).first()
+    assert both._n_replaced == 2
+
+
+def test_pii_day_permutations_are_one_to_one(spark):
+    far = spark.range(-20_000, 95_000).select(pii._other_day(F.col("id"), "k").alias("p"), "id")
+    got = far.agg(F.countDistinct("p"), F.sum(((F.col("id") >= 0) & (F.col("id") < pii.DAYS) & ~F.col("p").between(0, pii.DAYS - 1)).cast("int")), F.min("p"), F.max("p")).first()
+    assert got[0] == 115_000 and got[1] == 0 and got[2] >= -pii.DAYS_BEFORE and got[3] < pii.FAR_DAYS + pii.DAYS - pii.DAYS_BEFORE
+
+
 def test_packing(docs):
     rows = packing.pack(docs).collect()
     words = {(x.doc_id, x.text) for x in docs.collect()}
