@@ -16,8 +16,10 @@ Links are wanted for their components, so no list is expanded into all its pairs
 
 Texts reach tasks sorted by leader, one at a time, and a leader with many members is dealt out by a salt.
 
-Defined cases: a document without words has an empty set, linked with nothing; a null doc_id takes part, and a component
-of such rows alone has a null id; rows with one doc_id are worked on their own texts; equal texts are one class (classes
+Of each component one row is kept: that with the smallest (doc_id, text_hash), null ids last, and one of those equal in both.
+
+Defined cases: a document without words has an empty set, linked with nothing, and is kept; a null doc_id takes part, and a
+component of such rows alone has a null id; rows with one doc_id are worked on their own texts; equal texts are one class (classes
 are told apart by 63 bits of a digest: two of n would be mixed up with a chance of n^2 / 2^64); an empty table gives an
 empty result; other columns are ignored.
 """
@@ -199,11 +201,12 @@ def _in_blocks(lists: DataFrame, texts: DataFrame, n_words: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text_hash, n_shingles, component_id: the smallest doc_id reachable by links."""
+    """docs(doc_id, text) -> doc_id, text_hash, n_shingles, component_id: the smallest doc_id reachable by links, kept."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = keep(sketches(docs, n_words), "sketches")
-    classes = keep(rows.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash", "chars")).alias("sample"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
+    rows = keep(sketches(docs, n_words).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash", "row"))
+    classes = keep(rows.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash", "chars")).alias("sample"), F.min("doc_id").alias("least"), first.alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
 
     values = classes.select("cls", F.explode("sketch").alias("v"))
     hot = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > HOT)
@@ -236,22 +239,26 @@ def near_duplicates(docs: DataFrame, n_words: int = 5) -> DataFrame:
     links = keep(links.unionByName(more), "links")
 
     labels = min_labels(spark, links).select(F.col("id").alias("cls"), "label")
-    by_class = keep(classes.join(labels, "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("comp")), "components")
-    by_comp = by_class.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    of_class = join_hot(by_class.select("cls", "comp"), by_comp.select("comp", "component_id"), "comp", by_comp)
-    found = join_hot(rows.drop("sketch", "chars"), of_class.select("cls", "component_id"), "cls", classes.select("cls", F.col("copies").alias("n")))
-    return found.select("doc_id", "text_hash", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_class = keep(classes.join(labels, "cls", "left").select("cls", "least", "first", F.coalesce("label", "cls").alias("comp")), "components")
+    by_comp = by_class.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("first")["row"].alias("kept_row"), F.count(F.lit(1)).alias("n"))
+    of_class = join_hot(by_class.select("cls", "comp"), by_comp.select("comp", "component_id", "kept_row"), "comp", by_comp)
+    found = join_hot(rows.drop("sketch", "chars"), of_class.select("cls", "component_id", "kept_row"), "cls", classes.select("cls", F.col("copies").alias("n")))
+    alone = F.col("cls").isNull()
+    return found.select(
+        "doc_id", "text_hash", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (alone | F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False))).alias("kept"),
+    )
 
 
 def op5_bottom_k_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), n_words=4)
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """documents with one row of each group of near-duplicates, the one with the smallest doc_id."""
+    """documents with one row of each group of near-duplicates, the one with the smallest doc_id, null ids last."""
     docs = with_columns_of(docs)
-    found = near_duplicates(docs).where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "text_hash").distinct()
+    found = near_duplicates(docs).where("kept").select("doc_id", "text_hash").distinct()
     hashed = docs.withColumn("_hash", F.xxhash64("text"))
     kept = hashed.join(found.withColumnRenamed("doc_id", "_id"), hashed["doc_id"].eqNullSafe(F.col("_id")) & (hashed["_hash"] == F.col("text_hash")))
     return kept.dropDuplicates(["doc_id", "_hash"]).select(*DOCUMENT_COLUMNS)

@@ -49,6 +49,23 @@ def test_near_duplicates(spark, docs):
     assert near_dup.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    base = [" ".join(r.choices(words, k=80)) for _ in range(4)]
+    near = [f"{b} more" for b in base]
+    rows = [(5, base[0]), (None, base[0]), (None, near[0]), (7, near[0])]  # null ids beside others
+    rows += [(None, base[1]), (None, near[1]), (None, near[1])]  # null ids alone
+    rows += [(3, base[2]), (3, near[2]), (9, near[2])]  # near-duplicates that share the smallest id
+    rows += [(4, base[3]), (4, base[3]), (11, None), (12, "")]  # equal rows; documents without words
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dup.one_of_each(frame).collect()
+    assert sorted(str(x.doc_id) for x in kept) == ["11", "12", "3", "4", "5", "None"]
+    assert [sum(x.text in (b, n) for x in kept) for b, n in zip(base, near, strict=True)] == [1, 1, 1, 1]
+    found = near_dup.near_duplicates(frame).collect()
+    assert len(found) == len(rows) and sum(x.kept for x in found) == 6
+
+
 def test_block_links_join_what_brute_force_joins():
     rng = np.random.default_rng(1)
     base = np.sort(rng.choice(10**6, 100, replace=False))
