@@ -1,8 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells (source, language, topic). The tokens of the cells are raked until the weighted totals meet the
-target marginals of source, language and topic; a cell's factor, scaled so that none exceeds 1, is the probability with
-which its documents are kept. The expected token shares of the sample are then the targets, and no document is repeated.
+target marginals of source, language and topic; the expected token shares of a sample drawn by the cells' factors are then
+the targets. There are two ways to draw it:
+- `mix`, the pipeline's stage: a document is taken `budget` x factor times, the fraction by a draw. The sample has `budget`
+  times the tokens whatever the largest factor is; documents of cells with a factor above 1 / `budget` are repeated.
+- `calibrated`, which op1 and its SQL show: no document is repeated. Factors are scaled so that none exceeds 1 and are the
+  probabilities to be kept, so the rarest cell sets the size of the sample.
 
 Cells, not documents, go through the rounds. They stay a distributed table: each half-step sums a margin by a
 pre-aggregated groupBy and joins its correction back, so one hot source is one partial sum for each task.
@@ -73,24 +77,36 @@ def rake(cells: DataFrame, alpha: float = 0.7, rounds: int = 6, targets: dict[st
     return now.withColumn("factor", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0))
 
 
+def _raked(docs: DataFrame, alpha: float, rounds: int, targets: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+    """docs with their cells, and the cells with _factor."""
+    rows = _with_cells(docs)
+    cells = rows.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_tokens").alias("tokens"))
+    return rows, rake(keep(cells, "cells"), alpha, rounds, targets).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("factor").alias("_factor"))
+
+
+def _draw(seed: str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(16**12)
+
+
 def calibrated(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, targets: dict[str, DataFrame] | None = None, seed: str = "mix") -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, _factor, _p (the probability to be kept) and _kept.
 
     `budget` is the wanted share of all tokens; where the largest factor allows less, the sample is smaller, as clipping
-    probabilities at 1 would miss the targets.
+    probabilities at 1 would miss the targets. `mix` meets the budget.
     """
-    rows = _with_cells(docs)
-    cells = rows.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_tokens").alias("tokens"))
-    factors = rake(keep(cells, "cells"), alpha, rounds, targets).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("factor").alias("_factor"))
+    rows, factors = _raked(docs, alpha, rounds, targets)
     most = factors.agg(F.max("_factor")).first()[0] or 1.0
     scale = min(float(budget), 1.0 / most)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(16**12)
-    return rows.join(factors, [f"_{m}" for m in MARGINS]).withColumn("_p", F.least(F.lit(1.0), F.col("_factor") * F.lit(scale))).withColumn("_kept", draw < F.col("_p"))
+    return rows.join(factors, [f"_{m}" for m in MARGINS]).withColumn("_p", F.least(F.lit(1.0), F.col("_factor") * F.lit(scale))).withColumn("_kept", _draw(seed) < F.col("_p"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The sampled documents, with the columns of documents."""
-    return calibrated(with_columns_of(docs), **options).where("_kept").select(*DOCUMENT_COLUMNS)
+def mix(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, targets: dict[str, DataFrame] | None = None, seed: str = "mix") -> DataFrame:
+    """The sample, with the columns of documents: `budget` times all tokens in expectation, each document `budget` x factor times."""
+    rows, factors = _raked(with_columns_of(docs), alpha, rounds, targets)
+    wanted = F.col("_factor") * F.lit(float(budget))
+    copies = (F.floor(wanted) + (_draw(seed) < wanted - F.floor(wanted)).cast("long")).cast("int")
+    taken = rows.join(factors, [f"_{m}" for m in MARGINS]).withColumn("_copies", copies).where("_copies > 0")
+    return taken.select(*DOCUMENT_COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*DOCUMENT_COLUMNS)
 
 
 def op1_mix_raked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,21 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_meets_its_budget_beside_a_rare_cell(spark):
+    rows = [(k, "w " * 50, ("en", "fr", "de")[k % 10 % 3], f"s{k % 7 % 2}", 100) for k in range(3000)] + [(9999, "w " * 50, "xx", "rare", 100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for budget in (1.0, 0.5):
+        got = mixing.mix(frame, budget=budget).collect()
+        assert abs(len(got) - 3001 * budget) < 0.05 * 3001 * budget
+        had, share = {}, {}
+        for x in rows:
+            had[x[2]] = had.get(x[2], 0) + 50
+        for x in got:
+            share[x.lang] = share.get(x.lang, 0) + 1 / len(got)
+        whole = sum(n**0.7 for n in had.values())
+        assert all(abs(share[x] - n**0.7 / whole) < 0.02 for x, n in had.items())
+
+
 def test_pii(spark):
     rows = [(1, "x 4532015112830366 y 4532-0151-1283-0366"), (2, "4532015112830367 a@b.example +1 (583) 555-8469 2024-02-29 70.214.118.188"), (3, None), (4, "")]
     out = {x.doc_id: x.text for x in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
