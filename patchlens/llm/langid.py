@@ -7,10 +7,12 @@ from no estimate; below order 0 every byte is equally likely. Statistics are fro
 a text is exact and does not depend on other texts. The language with the least code length wins.
 
 Training counts come from Spark: n-gram counts of a bounded sample of labelled documents (`sample_docs` of each language,
-drawn by hash) are summed in a groupBy, and contexts seen in no language at least `least` times in all, or beyond the
-`max_contexts` most frequent, are cut from the trees. Model size is bounded by these parameters, so the model may be
-broadcast. Scoring runs over whole texts: a longest-suffix automaton over the kept contexts turns each byte into one table
-look-up for the state and one for the costs in all languages. Texts are cut into pieces only for the sake of vector
+drawn by hash) are summed in a groupBy, and a language's contexts seen there less than `least` times are cut from its tree,
+whatever other languages have. Every language of the labelled rows is kept. Only the sample bounds the model, which is
+broadcast as the counts of the kept contexts. Scoring runs over whole texts: a longest-suffix automaton over the kept
+contexts turns each byte into one table look-up for the state and one for the costs in a group of languages. The tables are
+made from the counts, for as many languages at once as TABLE_BYTES allows; where all groups fit into HELD_BYTES they are made
+once, else again for each batch of rows. Texts are cut into pieces only for the sake of vector
 operations; a piece begins with the bytes that its context needs, so sums are those of the whole text.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; with no training data every text is `und`;
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,27 +35,81 @@ from patchlens.llm.common import DOCUMENT_COLUMNS, table, unit_draw, with_column
 
 LETTER = re.compile(r"[^\W\d_]")
 PIECE = 1024
-MAX_LANGS = 256
 SLICE = 256
+TABLE_BYTES, HELD_BYTES = 16_000_000, 64_000_000
+
+
+@dataclass
+class Tables:
+    """The languages first to last - 1: next_state[state, symbol] and cost[state, symbol, language] in bits."""
+
+    first: int
+    last: int
+    next_state: np.ndarray
+    cost: np.ndarray
 
 
 @dataclass
 class Model:
-    """langs; order; next_state[state, symbol]; cost[state, symbol, language] in bits; symbol_of[byte]."""
+    """langs; order; symbol_of[byte]; language k has grams[starts[k] : starts[k + 1]], sorted, seen n times each."""
 
     langs: list[str]
     order: int
-    next_state: np.ndarray
-    cost: np.ndarray
     symbol_of: np.ndarray
+    starts: np.ndarray
+    grams: np.ndarray
+    n: np.ndarray
+    held: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": {}}
+
+    def whole(self) -> Tables:
+        """The tables of all languages at once, for small models."""
+        if "whole" not in self.held:
+            self.held["whole"] = tables_of(self, 0, len(self.langs))
+        return self.held["whole"]
+
+    @property
+    def next_state(self) -> np.ndarray:
+        return self.whole().next_state
+
+    @property
+    def cost(self) -> np.ndarray:
+        return self.whole().cost
+
+    def groups(self) -> Iterator[Tables]:
+        """Tables that cover all languages in order."""
+        if "bounds" not in self.held:
+            width = int(self.symbol_of.max()) + 1
+            bounds, sizes, states = [0], [0], 0
+            for k in range(len(self.langs)):
+                own = len(np.unique(self.grams[self.starts[k] : self.starts[k + 1]] >> 8))
+                if k > bounds[-1] and (states + own) * width * 4 * (k - bounds[-1] + 2) > TABLE_BYTES:
+                    bounds.append(k)
+                    sizes.append(0)
+                    states = 0
+                states += own
+                sizes[-1] = states * width * 4 * (k - bounds[-1] + 2)
+            self.held["bounds"] = [*bounds, len(self.langs)]
+            self.held["hold"] = sum(sizes) <= HELD_BYTES
+        bounds = self.held["bounds"]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if (a, b) in self.held:
+                yield self.held[a, b]
+                continue
+            made = tables_of(self, a, b)
+            if self.held["hold"]:
+                self.held[a, b] = made
+            yield made
 
 
 def sample_of(labelled: DataFrame, sample_docs: int) -> DataFrame:
     """About `sample_docs` documents of each language (all, where there are fewer), drawn by a hash of doc_id.
 
-    The model has MAX_LANGS languages at most, the most frequent ones, so the rates are few enough to broadcast.
+    The rates are a row for each language, few enough to broadcast, so no text is shuffled by language.
     """
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     rates = F.broadcast(counts.select("lang", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n")).alias("_rate")))
     return labelled.join(rates, "lang").where(unit_draw(F.lit("langid"), F.col("doc_id")) <= F.col("_rate")).select("lang", "text")
 
@@ -82,56 +138,71 @@ def ngram_counts(sample: DataFrame, order: int) -> DataFrame:
 
 
 def build(rows: pd.DataFrame, langs: list[str], order: int) -> Model:
-    """The automaton and the costs from the counts of the kept contexts. rows: lang, gram, n."""
-    counts: list[dict[int, dict[int, int]]] = [{} for _ in langs]
-    at = {x: i for i, x in enumerate(langs)}
-    for lang, gram, n in rows[["lang", "gram", "n"]].itertuples(index=False):
-        counts[at[lang]].setdefault(gram >> 8, {})[gram & 255] = n
-    used = sorted({g & 255 for g in rows["gram"]})
+    """The model from the counts of the kept contexts. rows: lang, gram, n."""
+    lang = np.searchsorted(np.array(langs, object), rows["lang"].to_numpy(object)) if len(rows) else np.zeros(0, np.int64)
+    grams, n = rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    at = np.lexsort((grams, lang))
+    used = np.unique(grams & 255)
     symbol_of = np.zeros(256, np.int16)  # symbol 0 stands for all bytes that training never saw
     symbol_of[used] = np.arange(1, len(used) + 1)
-    contexts = {1} | {c for tree in counts for c in tree}
-    contexts |= {s for c in contexts for s in _suffixes(c)}
-    states = sorted(contexts)  # shorter contexts have smaller numbers
-    number = {c: i for i, c in enumerate(states)}
-    width = len(used) + 1
-    cost = np.full((len(states), width, len(langs)), 8.0)
-    for k, tree in enumerate(counts):
-        for i, c in enumerate(states):
-            if c > 1:
-                cost[i, :, k] = cost[number[_shorter(c)], :, k]
-            seen = tree.get(c)
-            if seen:
-                total, kinds = sum(seen.values()), len(seen)
-                cost[i, :, k] -= np.log2(kinds / (kinds + total))
-                symbols = symbol_of[list(seen)]
-                cost[i, symbols, k] = -np.log2(np.array(list(seen.values())) / (kinds + total))
+    return Model(langs, order, symbol_of, np.searchsorted(lang[at], np.arange(len(langs) + 1)), grams[at], n[at])
+
+
+def _lengths(contexts: np.ndarray) -> np.ndarray:
+    """Bytes of each context; it has a leading 1."""
+    return np.searchsorted(np.array([1 << (8 * k) for k in range(8)]), contexts, side="right") - 1
+
+
+def _shorter(contexts: np.ndarray) -> np.ndarray:
+    """Each context without its oldest byte; the empty one stays."""
+    lead = np.int64(1) << (8 * np.maximum(_lengths(contexts) - 1, 0))
+    return (contexts & (lead - 1)) | lead
+
+
+def tables_of(model: Model, first: int, last: int) -> Tables:
+    """The automaton and the costs of the languages first to last - 1."""
+    own = []
+    for k in range(first, last):
+        part = slice(model.starts[k], model.starts[k + 1])
+        grams, n = model.grams[part], model.n[part]
+        contexts, begin, kinds = np.unique(grams >> 8, return_index=True, return_counts=True)
+        own.append((contexts, kinds, np.add.reduceat(n, begin) if len(n) else n, grams, n))
+    states = np.unique(np.concatenate([np.ones(1, np.int64), *[x[0] for x in own]]))
+    for _ in range(model.order):
+        states = np.union1d(states, _shorter(states))  # shorter contexts have smaller numbers
+    length, shorter, symbols = _lengths(states), np.searchsorted(states, _shorter(states)), model.symbol_of[states & 255]
+    before = np.searchsorted(states, states >> 8)
+    reached = (length > 0) & (symbols > 0) & (states[before] == states >> 8)
+    width = int(model.symbol_of.max()) + 1
+    cost = np.full((len(states), width, last - first), 8.0, np.float32)
     following = np.zeros((len(states), width), np.int32)
-    for i, c in enumerate(states):
-        if c > 1:
-            following[i] = following[number[_shorter(c)]]
-        for s, b in enumerate(used, 1):
-            longer = number.get((c << 8) | b)
-            if longer is not None:
-                following[i, s] = longer
-    return Model(langs, order, following, cost.astype(np.float32), symbol_of)
-
-
-def _shorter(context: int) -> int:
-    """The context without its oldest byte."""
-    n = (context.bit_length() - 1) // 8
-    return (context & ((1 << (8 * (n - 1))) - 1)) | (1 << (8 * (n - 1)))
-
-
-def _suffixes(context: int) -> Iterator[int]:
-    while context > 1:
-        context = _shorter(context)
-        yield context
+    for level in range(model.order + 1):
+        here = np.flatnonzero(length == level)
+        if level:
+            cost[here], following[here] = cost[shorter[here]], following[shorter[here]]
+        to = np.flatnonzero((length == level + 1) & reached)
+        following[before[to], symbols[to]] = to
+        for k, (contexts, kinds, total, grams, n) in enumerate(own):
+            mine = _lengths(contexts) == level
+            at = np.searchsorted(states, contexts[mine])
+            cost[at, :, k] -= np.log2(kinds[mine] / (kinds[mine] + total[mine])).astype(np.float32)[:, None]
+            of = np.searchsorted(contexts, grams >> 8)
+            seen = mine[of]
+            whole = (kinds + total)[of[seen]]
+            cost[np.searchsorted(states, contexts[of[seen]]), model.symbol_of[grams[seen] & 255], k] = -np.log2(n[seen] / whole)
+    return Tables(first, last, following, cost)
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     """Bits of each text in each language."""
-    out = np.zeros((len(texts), len(model.langs)))
+    parts = [_lengths_in(model, tables, texts) for tables in model.groups()] if model.langs else []
+    return np.concatenate(parts, axis=1) if parts else np.zeros((len(texts), 0))
+
+
+def _lengths_in(model: Model, tables: Tables, texts: list[bytes]) -> np.ndarray:
+    """Bits of each text in each language of the tables."""
+    following, cost, n_langs = tables.next_state, tables.cost, tables.last - tables.first
+    out = np.zeros((len(texts), n_langs))
     lead = model.order
     owners, pieces, skips = [], [], []
     for k, text in enumerate(texts):
@@ -149,28 +220,27 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
         symbols = model.symbol_of[grid]
         skip = np.array([skips[i] for i in block])
         state = np.zeros(len(block), np.int64)
-        sums = np.zeros((len(block), len(model.langs)))
+        sums = np.zeros((len(block), n_langs))
         live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # pieces longer than t
         for t in range(lengths[0]):
             n = live[t]
             here, now = state[:n], symbols[t, :n]
-            bits = model.cost[here, now]
+            bits = cost[here, now]
             if t < lead:
                 bits = bits * (skip[:n] <= t)[:, None]
             sums[:n] += bits
-            state[:n] = model.next_state[here, now]
+            state[:n] = following[here, now]
         np.add.at(out, [owners[i] for i in block], sums)
     return out
 
 
-def train(labelled: DataFrame, order: int = 4, sample_docs: int = 600, least: int = 12, max_contexts: int = 8000) -> Model:
-    """labelled(doc_id, text, lang) -> Model. The bounds are on documents of a language, and on contexts in all."""
-    grams = ngram_counts(sample_of(labelled, sample_docs), order).cache()
-    langs = [r[0] for r in grams.select("lang").distinct().orderBy("lang").collect()]
-    context = F.shiftright("gram", 8)
-    tops = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("_sum")).where((F.col("_sum") >= least) | (F.col("context") == 1)).orderBy(F.desc("_sum"), "context").limit(max_contexts)
-    rows = grams.withColumn("context", context).join(F.broadcast(tops), "context").select("lang", "gram", "n").toPandas()
-    grams.unpersist()
+def train(labelled: DataFrame, order: int = 4, sample_docs: int = 600, least: int = 12) -> Model:
+    """labelled(doc_id, text, lang) -> Model. The bounds hold for each language by itself."""
+    context = F.shiftright("gram", 8).alias("context")
+    grams = ngram_counts(sample_of(labelled, sample_docs), order)
+    seen = grams.groupBy("lang", context).agg(F.sum("n").alias("_sum"), F.collect_list(F.struct("gram", "n")).alias("_seen")).where((F.col("_sum") >= least) | (F.col("context") == 1))
+    rows = seen.select("lang", F.explode("_seen").alias("_x")).select("lang", "_x.gram", "_x.n").toPandas()
+    langs = sorted(rows["lang"].unique())
     return build(rows, langs, order)
 
 
@@ -183,18 +253,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         names = np.array([*model.langs, "und"], object)
         for texts in parts:
-            found = []
-            for start in range(0, len(texts), SLICE):
-                some = texts.iloc[start : start + SLICE]
-                fine = np.array([bool(t) and bool(LETTER.search(t)) for t in some], bool) & bool(model.langs)
-                raw = [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(some, fine, strict=True)]
-                bits = code_lengths(model, raw) if model.langs else np.zeros((len(raw), 1))
-                best = bits.argmin(axis=1)
-                least = bits[np.arange(len(raw)), best]
-                score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-                rate = least / np.maximum([len(x) for x in raw], 1)
-                found.append(pd.DataFrame({"lang_pred": names[np.where(fine, best, -1)], "score": np.where(fine, score, 0.0), "bits_per_byte": np.where(fine, rate, 0.0)}))
-            yield pd.concat(found) if found else pd.DataFrame({"lang_pred": pd.Series([], dtype=object), "score": [], "bits_per_byte": []})
+            fine = np.array([bool(t) and bool(LETTER.search(t)) for t in texts], bool) & bool(model.langs)
+            size = np.ones(len(texts))
+            best, least, sums = np.zeros(len(texts), np.int64), np.full(len(texts), np.inf), np.zeros(len(texts))
+            for tables in model.groups() if model.langs else ():
+                for start in range(0, len(texts), SLICE):
+                    part = slice(start, start + SLICE)
+                    raw = [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(texts.iloc[part], fine[part], strict=True)]
+                    size[part] = [max(len(x), 1) for x in raw]
+                    bits = _lengths_in(model, tables, raw)
+                    now = np.minimum(least[part], bits.min(axis=1))
+                    best[part] = np.where(now < least[part], tables.first + bits.argmin(axis=1), best[part])
+                    # sums holds 2 to the power of (least - bits), summed over the languages so far
+                    sums[part] = sums[part] * np.exp2(np.maximum(now - least[part], -1000)) + np.exp2(np.maximum(now[:, None] - bits, -1000)).sum(axis=1)
+                    least[part] = now
+            score, rate = 1 / np.maximum(sums, 1), np.where(fine, least, 0.0) / size
+            yield pd.DataFrame({"lang_pred": names[np.where(fine, best, -1)], "score": np.where(fine, score, 0.0), "bits_per_byte": rate})
 
     marked = F.pandas_udf(predict, "lang_pred string, score double, bits_per_byte double")
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]

@@ -200,6 +200,38 @@ def test_language(spark):
     assert langid.known_language(docs.limit(0)).count() == 0
 
 
+def test_every_language_keeps_its_own_contexts(spark, monkeypatch):
+    """A rare language beside two common ones, and 260 in all; held-out accuracy for each."""
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrst"
+    vocabulary = {f"l{k:03d}": ["".join(r.choices(letters, k=5)) for _ in range(12)] for k in range(260)}
+    rows = []
+    for name, words in vocabulary.items():
+        for _ in range({"l000": 300, "l001": 300}.get(name, 8)):
+            rows.append((len(rows), " ".join(r.choices(words, k=40)), name))
+    rare = "l259"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(langid.labelled_part(docs))
+    assert model.langs == sorted(vocabulary)
+    k = model.langs.index(rare)
+    contexts = np.unique(model.grams[model.starts[k] : model.starts[k + 1]] >> 8)
+    assert (langid._lengths(contexts) == 4).sum() > 20
+    monkeypatch.setattr(langid, "TABLE_BYTES", 2_000_000)
+    assert len(list(model.groups())) > 1
+    raw = [text.encode() for _, text, _ in rows[:: len(rows) // 40]]
+    parts = langid.code_lengths(model, raw)
+    model.held.clear()
+    monkeypatch.setattr(langid, "TABLE_BYTES", 10**12)
+    assert len(list(model.groups())) == 1 and np.allclose(parts, langid.code_lengths(model, raw))
+    right, all_of = {}, {}
+    found = langid.identify(docs.where(langid.held_out(F.col("doc_id"))), model).collect()
+    for x in found:
+        all_of[x.lang] = all_of.get(x.lang, 0) + 1
+        right[x.lang] = right.get(x.lang, 0) + (x.lang_pred == x.lang)
+    assert {"l000", "l001", rare} <= set(all_of)
+    assert right == all_of
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (4, "u", ""), (5, "u", "x\r\n\r\nWARC/1.1\r\n")]
     raw, out = new_path(spark, "t"), new_path(spark, "t")
