@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import warnings
 
 import numpy as np
 import pytest
@@ -108,6 +109,19 @@ def test_mix_meets_its_budget_beside_a_rare_cell(spark):
         assert all(abs(share[x] - n**0.7 / whole) < 0.02 for x, n in had.items())
 
 
+def test_raking_goes_on_until_margins_are_met_and_tells_where_they_are_not(spark):
+    slow = [("a", "x", "t", 900), ("a", "y", "t", 5), ("b", "x", "t", 4), ("b", "y", "t", 700), ("c", "y", "t", 30)]
+    wish = {"lang": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "value string, share double"), "source": spark.createDataFrame([("a", 0.5), ("b", 0.2), ("c", 0.3)], "value string, share double")}
+    kind = "source string, lang string, topic string, tokens long"
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        raked = mixing.rake(spark.createDataFrame(slow, kind), targets=wish, rounds=1)
+    assert mixing.margin_error(raked) <= mixing.TOLERANCE
+    apart = [("a", "x", "t", 900), ("b", "x", "t", 100), ("c", "y", "t", 300)]
+    with pytest.warns(UserWarning, match="margin is off"):
+        mixing.rake(spark.createDataFrame(apart, kind))
+
+
 def test_pii(spark):
     rows = [(1, "x 4532015112830366 y 4532-0151-1283-0366"), (2, "4532015112830367 a@b.example +1 (583) 555-8469 2024-02-29 70.214.118.188"), (3, None), (4, "")]
     out = {x.doc_id: x.text for x in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
