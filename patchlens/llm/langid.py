@@ -1,42 +1,42 @@
 """Language identification by prediction by partial matching over bytes.
 
 Each language has a variable-order context tree: for a context of up to `order` bytes, the counts of the bytes that
-followed it in training. The probability of a byte is read at the longest context that has it; each shorter step costs
-the escape probability of method C (kinds seen / (kinds seen + occurrences)), with the bytes of longer contexts excluded
-from no estimate; below order 0 every byte is equally likely. Statistics are frozen before scoring, so the code length of
-a text is exact and does not depend on other texts. The language with the least code length wins.
+followed it in training. The probability of a byte is read at the longest context that has it. Each shorter step costs the
+escape probability of method C (kinds seen / (kinds seen + occurrences)), and bytes that the longer context has seen are
+excluded from the counts of the shorter one, as they could not have led to an escape; below order 0 the bytes left are
+equally likely. So the bytes' probabilities sum to 1 in every context. Statistics are frozen before scoring: the code length
+of a text is exact and does not depend on other texts. The language with the least code length wins.
 
 Training counts come from Spark: n-gram counts of a bounded sample of labelled documents (`sample_docs` of each language,
-drawn by hash) are summed in a groupBy, and a language's contexts seen there less than `least` times are cut from its tree,
-whatever other languages have. Every language of the labelled rows is kept. Only the sample bounds the model, which is
-broadcast as the counts of the kept contexts. Scoring runs over whole texts: a longest-suffix automaton over the kept
+drawn by hash) are summed in a groupBy. Every language of the labelled rows is kept, with all contexts of its sample: the
+sample alone bounds the model, which is broadcast as counts. Scoring runs over whole texts: a longest-suffix automaton over the
 contexts turns each byte into one table look-up for the state and one for the costs in a group of languages. The tables are
 made from the counts, for as many languages at once as TABLE_BYTES allows; where all groups fit into HELD_BYTES they are made
 once, else again for each batch of rows. Texts are cut into pieces only for the sake of vector
 operations; a piece begins with the bytes that its context needs, so sums are those of the whole text.
 
-Defined cases: null text, or text without a letter, is `und` with score 0; with no training data every text is `und`;
-equal code lengths go to the first language in alphabetical order; repeated rows give repeated rows; an empty table gives
-an empty result; other columns are ignored.
+Defined cases: null text, or text without a letter (a character of a Unicode letter category; digits, fractions and Roman
+numeral signs are none), is `und` with score 0; with no training data every text is `und`; equal code lengths go to the first
+language in alphabetical order; repeated rows give repeated rows; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.llm.common import DOCUMENT_COLUMNS, table, unit_draw, with_columns_of
 
-LETTER = re.compile(r"[^\W\d_]")
 PIECE = 1024
 SLICE = 256
-TABLE_BYTES, HELD_BYTES = 16_000_000, 64_000_000
+TABLE_BYTES, HELD_BYTES = 16_000_000, 96_000_000
 
 
 @dataclass
@@ -137,10 +137,16 @@ def ngram_counts(sample: DataFrame, order: int) -> DataFrame:
     return sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def build(rows: pd.DataFrame, langs: list[str], order: int) -> Model:
-    """The model from the counts of the kept contexts. rows: lang, gram, n."""
-    lang = np.searchsorted(np.array(langs, object), rows["lang"].to_numpy(object)) if len(rows) else np.zeros(0, np.int64)
-    grams, n = rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
+def build(rows: pa.Table, order: int) -> Model:
+    """The model from counts. rows: lang, gram, n."""
+    names = rows["lang"].combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    place = np.searchsorted(np.array(langs, object), names.dictionary.to_numpy(zero_copy_only=False)) if langs else np.zeros(0, np.int64)
+    lang, grams, n = place[names.indices.to_numpy()], rows["gram"].to_numpy(), rows["n"].to_numpy()
     at = np.lexsort((grams, lang))
     used = np.unique(grams & 255)
     symbol_of = np.zeros(256, np.int16)  # symbol 0 stands for all bytes that training never saw
@@ -159,37 +165,47 @@ def _shorter(contexts: np.ndarray) -> np.ndarray:
     return (contexts & (lead - 1)) | lead
 
 
+def _costs(counts: np.ndarray, length: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Bits of each symbol in each context of one language. counts[context, symbol]; shorter contexts come first."""
+    cost, rest = np.empty_like(counts), np.empty_like(counts)  # rest: bits of a symbol once its context is escaped from
+
+    def bits(n: np.ndarray, onward: np.ndarray) -> np.ndarray:
+        """n are the counts not excluded; a symbol without one is escaped to, then coded `onward`."""
+        kinds = (n > 0).sum(axis=1)
+        whole = np.maximum(n.sum(axis=1) + kinds, 1)
+        escape = np.where(kinds > 0, -np.log2(np.maximum(kinds, 1) / whole), 0)
+        return np.where(n > 0, -np.log2(np.maximum(n, 1) / whole[:, None]), escape[:, None] + onward)
+
+    for level in range(int(length.max()) + 1):
+        here = np.flatnonzero(length == level)
+        own, up = counts[here], shorter[here]
+        rest[here] = bits(np.where(own > 0, 0, counts[up]), rest[up]) if level else np.log2(np.maximum(256 - (own > 0).sum(axis=1), 1))[:, None]
+        cost[here] = bits(own, rest[here])
+    return cost
+
+
 def tables_of(model: Model, first: int, last: int) -> Tables:
     """The automaton and the costs of the languages first to last - 1."""
-    own = []
-    for k in range(first, last):
-        part = slice(model.starts[k], model.starts[k + 1])
-        grams, n = model.grams[part], model.n[part]
-        contexts, begin, kinds = np.unique(grams >> 8, return_index=True, return_counts=True)
-        own.append((contexts, kinds, np.add.reduceat(n, begin) if len(n) else n, grams, n))
-    states = np.unique(np.concatenate([np.ones(1, np.int64), *[x[0] for x in own]]))
+    own = [slice(model.starts[k], model.starts[k + 1]) for k in range(first, last)]
+    states = np.unique(np.concatenate([np.ones(1, np.int64), *[model.grams[part] >> 8 for part in own]]))
     for _ in range(model.order):
         states = np.union1d(states, _shorter(states))  # shorter contexts have smaller numbers
     length, shorter, symbols = _lengths(states), np.searchsorted(states, _shorter(states)), model.symbol_of[states & 255]
     before = np.searchsorted(states, states >> 8)
     reached = (length > 0) & (symbols > 0) & (states[before] == states >> 8)
     width = int(model.symbol_of.max()) + 1
-    cost = np.full((len(states), width, last - first), 8.0, np.float32)
     following = np.zeros((len(states), width), np.int32)
     for level in range(model.order + 1):
         here = np.flatnonzero(length == level)
         if level:
-            cost[here], following[here] = cost[shorter[here]], following[shorter[here]]
+            following[here] = following[shorter[here]]
         to = np.flatnonzero((length == level + 1) & reached)
         following[before[to], symbols[to]] = to
-        for k, (contexts, kinds, total, grams, n) in enumerate(own):
-            mine = _lengths(contexts) == level
-            at = np.searchsorted(states, contexts[mine])
-            cost[at, :, k] -= np.log2(kinds[mine] / (kinds[mine] + total[mine])).astype(np.float32)[:, None]
-            of = np.searchsorted(contexts, grams >> 8)
-            seen = mine[of]
-            whole = (kinds + total)[of[seen]]
-            cost[np.searchsorted(states, contexts[of[seen]]), model.symbol_of[grams[seen] & 255], k] = -np.log2(n[seen] / whole)
+    cost = np.empty((len(states), width, last - first), np.float32)
+    for k, part in enumerate(own):
+        counts = np.zeros((len(states), width), np.float32)
+        counts[np.searchsorted(states, model.grams[part] >> 8), model.symbol_of[model.grams[part] & 255]] = model.n[part]
+        cost[:, :, k] = _costs(counts, length, shorter)
     return Tables(first, last, following, cost)
 
 
@@ -234,14 +250,9 @@ def _lengths_in(model: Model, tables: Tables, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def train(labelled: DataFrame, order: int = 4, sample_docs: int = 600, least: int = 12) -> Model:
-    """labelled(doc_id, text, lang) -> Model. The bounds hold for each language by itself."""
-    context = F.shiftright("gram", 8).alias("context")
-    grams = ngram_counts(sample_of(labelled, sample_docs), order)
-    seen = grams.groupBy("lang", context).agg(F.sum("n").alias("_sum"), F.collect_list(F.struct("gram", "n")).alias("_seen")).where((F.col("_sum") >= least) | (F.col("context") == 1))
-    rows = seen.select("lang", F.explode("_seen").alias("_x")).select("lang", "_x.gram", "_x.n").toPandas()
-    langs = sorted(rows["lang"].unique())
-    return build(rows, langs, order)
+def train(labelled: DataFrame, order: int = 4, sample_docs: int = 300) -> Model:
+    """labelled(doc_id, text, lang) -> Model, from at most about `sample_docs` documents of each language."""
+    return build(ngram_counts(sample_of(labelled, sample_docs), order).toArrow(), order)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -253,7 +264,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         names = np.array([*model.langs, "und"], object)
         for texts in parts:
-            fine = np.array([bool(t) and bool(LETTER.search(t)) for t in texts], bool) & bool(model.langs)
+            fine = np.array([has_letter(t) for t in texts], bool) & bool(model.langs)
             size = np.ones(len(texts))
             best, least, sums = np.zeros(len(texts), np.int64), np.full(len(texts), np.inf), np.zeros(len(texts))
             for tables in model.groups() if model.langs else ():

@@ -2,8 +2,10 @@
 
 Sequences of several permitted lengths are filled with whole documents; one longer than the largest length is cut into
 pieces of that length and a rest. Pieces are taken by decreasing length. Each goes to the open bin whose room it fills
-best; where none has room, a bin of the permitted size with the least cost for each token placed is opened, counting the
-pieces of this length that it would hold. Finally each bin shrinks to the smallest permitted size that holds its contents.
+best, the one opened first where several leave as much room; where none has room, a bin of the permitted size with the least
+cost for each token placed is opened, counting the pieces of this length that it would hold, the larger size where two cost the
+same. The choice is made anew for every bin, so the last of a length is sized by what is left of it. Finally each bin shrinks to
+the smallest permitted size that holds its contents.
 
 Lengths are whole numbers up to the largest size, so best fit needs only how many pieces have each length, not which: the
 histogram has at most `max(sizes)` rows however many documents there are. Bins with equal room are kept as ranges of bin
@@ -28,6 +30,8 @@ from patchlens.llm.common import gapless, keep, table
 from patchlens.llm.mixing import n_tokens
 
 SIZES = (512, 1024, 2048, 4096)
+#: The plan is broadcast up to so many runs (64 bytes each), else joined by length.
+BROADCAST_RUNS = 500_000
 
 
 def bin_cost(size: int) -> float:
@@ -51,7 +55,7 @@ def plan(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES, cost: Callab
         if room not in rooms:
             bisect.insort(order, room)
             rooms[room] = []
-        rooms[room].append((first, count, size))
+        bisect.insort(rooms[room], (first, count, size))
 
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
@@ -84,7 +88,8 @@ def plan(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES, cost: Callab
             else:
                 fits = [s for s in sizes if s >= length]
                 size = min(fits, key=lambda s: (cost(s) / (min(left, s // length) * length), -s))
-                count = -(-left // (size // length))
+                # the choice stays while what is left would fill any size
+                count = max(1, (left - fits[-1] // length) // (size // length) + 1)
                 fill(bins, count, size, size)
                 bins += count
     shrunk = sorted((first, count, size - room, size, min(s for s in sizes if s >= size - room)) for room, ranges in rooms.items() for first, count, size in ranges)
@@ -121,7 +126,8 @@ def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, tokens: str | None = N
     longest = max(map(len, by_length.values()), default=1)
     steps = F.array(*[F.lit(1 << k) for k in range(longest.bit_length() - 1, -1, -1)])
     at = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get("starts", low + step) <= F.col("_rank"), low + step).otherwise(low))
-    placed = ranked.join(F.broadcast(lengths), "n_tokens").withColumn("_run", F.get("runs", at))
+    few = sum(map(len, by_length.values())) <= BROADCAST_RUNS
+    placed = ranked.join(F.broadcast(lengths) if few else lengths, "n_tokens").withColumn("_run", F.get("runs", at))
     nth = F.col("_rank") - F.col("_run.first_rank")
     return placed.select(
         "doc_id", "piece", "token_start", "n_tokens",

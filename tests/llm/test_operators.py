@@ -179,29 +179,46 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-def test_packing_is_best_fit_decreasing():
-    r = random.Random(5)
-    lengths = [r.randint(1, 64) for _ in range(400)]
-    histogram = {n: lengths.count(n) for n in set(lengths)}
-    runs, bins = packing.plan(histogram, (64,))
-    rooms = []
+def piece_by_piece(lengths, sizes):
+    """Best fit decreasing with several sizes, one piece at a time: [contents, size opened with] of each bin."""
+    bins = []
+    left = {n: lengths.count(n) for n in lengths}
     for n in sorted(lengths, reverse=True):
-        fit = [k for k, room in enumerate(rooms) if room >= n]
+        fit = [k for k, (used, size) in enumerate(bins) if size - used >= n]
         if fit:
-            rooms[min(fit, key=lambda k: rooms[k])] -= n
+            bins[min(fit, key=lambda k: (bins[k][1] - bins[k][0], k))][0] += n
         else:
-            rooms.append(64 - n)
-    assert sorted(64 - room for room in rooms) == sorted(b[2] for b in bins for _ in range(b[1])) and sum(x[2] for x in runs) == 400
+            bins.append([n, min((s for s in sizes if s >= n), key=lambda s: (packing.bin_cost(s) / (min(left[n], s // n) * n), -s))])
+        left[n] -= 1
+    return bins
+
+
+@pytest.mark.parametrize("sizes", [(64,), (16, 32, 64), (10, 25, 64, 100)])
+def test_packing_is_best_fit_decreasing(sizes):
+    r = random.Random(5)
+    for _ in range(100):
+        few = [r.randint(1, 64) for _ in range(r.randint(1, 12))]
+        lengths = [r.choice(few) for _ in range(r.randint(1, 300))]
+        histogram = {n: lengths.count(n) for n in set(lengths)}
+        runs, bins = packing.plan(histogram, sizes)
+        want = piece_by_piece(lengths, sizes)
+        assert [[b[2], b[3]] for b in bins for _ in range(b[1])] == want and sum(x[2] for x in runs) == len(lengths)
+        assert all(b[4] == min(s for s in sizes if s >= b[2]) for b in bins)
 
 
 def test_language(spark):
     en, fr = "the cat sat on the mat and that is what they do ", "le chat est sur la table et les enfants jouent "
-    rows = [(k, (en, fr)[k % 2] * (1 + k % 5), ("en", "fr")[k % 2], "s", 1) for k in range(40)] + [(100, None, "en", "s", 0), (101, "123 !", "en", "s", 0), (102, en * 3000, None, "s", 0)]
+    rows = [(k, (en, fr)[k % 2] * (1 + k % 5), ("en", "fr")[k % 2], "s", 1) for k in range(40)] + [(100, None, "en", "s", 0), (101, "123 ½ ² Ⅷ !", "en", "s", 0), (103, fr, None, "s", 0), (103, fr, None, "s", 0), (102, en * 3000, None, "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    model = langid.train(langid.labelled_part(docs), least=1)
+    model = langid.train(langid.labelled_part(docs))
     got = {x.doc_id: x for x in langid.identify(docs, model).collect()}
     assert all(got[k].lang_pred == ("en", "fr")[k % 2] for k in range(40)) and got[102].lang_pred == "en"
     assert got[100].lang_pred == got[101].lang_pred == "und" and got[100].score == 0
+    assert langid.identify(docs.where("doc_id = 103").withColumn("lang_pred", F.lit(1)), model).select("lang_pred", "score").distinct().count() == 1
+    same = langid.train(spark.createDataFrame([(1, en, "b"), (2, en, "a")], "doc_id long, text string, lang string"))
+    assert {x.lang_pred for x in langid.identify(docs.where("doc_id = 102"), same).collect()} == {"a"}
+    held = np.bincount(model.symbol_of, minlength=int(model.symbol_of.max()) + 1)
+    assert np.allclose((2.0 ** -model.cost.astype(float) * held[None, :, None]).sum(axis=1), 1)
     text = (fr * 100).encode()
     whole = np.zeros(2)
     for k in range(2):
