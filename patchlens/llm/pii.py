@@ -10,12 +10,18 @@ to one half, character by character within its class (digit, lower-case, upper-c
 network with modular addition, hence a bijection. All of it is SQL expressions over the matches of a document; a text
 without a trigger character is passed by after one scan.
 
+The key is a secret of its own: `pseudonymise` has no default for it. The registered query and the pipeline read it from the
+session setting `patchlens.pii.key`; where that is unset, a random one is drawn and kept for the session, so values are linked
+within it and nobody can invert them later.
+
 Defined cases: null text stays null and an empty one empty; texts of any length are worked whole; repeated rows give
-repeated results; an empty table gives an empty result; other columns pass through.
+repeated results; an empty table gives an empty result; other columns pass through, whatever their names are, but for
+`_n_replaced`, which is replaced. An address whose octets have leading zeros becomes one of the same widths.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +39,7 @@ _IS, _VALUE = r"[\"']? {0,3}[=:] {0,3}[\"']?", r"[^\s\"'<>,;]{8,}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": rf"(?<![A-Za-z0-9])AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9])|(?i:{_PASSWORD}){_IS.replace(':', '')}{_VALUE}|(?i:{_NAMED}){_IS}(?=[^\s\"'<>,;]*[0-9]|[0-9a-fA-F]{{16}}){_VALUE}",
-    "date": r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
+    "date": r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?:/[0-9]{2}/|-[0-9]{2}-)[0-9]{4})(?![0-9/-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
     r"|(?<![0-9A-Za-z+])\+(?=(?:[ .()-]{0,2}[0-9]){8})[0-9]{1,15}(?:[ .-]?\([0-9]{1,5}\)[ .-]?[0-9]{1,6}|[ .-][0-9]{1,6}){0,5}(?![0-9]|[.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -89,12 +95,13 @@ def feistel(text: Column, key: str, tweak: str, letters: str = "z") -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
 
-def feistel_number(value: Column, left: int, right: int, key: str, tweak: str) -> Column:
+def feistel_number(value: Column, left: int | Column, right: int | Column, key: str, tweak: str) -> Column:
     """The keyed permutation of the numbers 0 to left * right - 1."""
+    left, right = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (left, right))
     start = F.struct((value / right).cast("long").alias("l"), (value % right).cast("long").alias("r"))
 
     def step(acc: Column, i: Column) -> Column:
-        def drawn(other: Column, most: int) -> Column:
+        def drawn(other: Column, most: Column) -> Column:
             return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), other.cast("string")), 256), 1, 12), 16, 10).cast("long") % most
 
         return F.when(i % 2 == 1, F.struct(((acc["l"] + drawn(acc["r"], left)) % left).alias("l"), acc["r"].alias("r"))).otherwise(
@@ -167,16 +174,19 @@ def pseudonym(found: Column, key: str) -> Column:
     secret = F.when(found.startswith("AKIA"), key_of).otherwise(F.concat(F.regexp_extract(found, named, 1), _once(F.regexp_extract(found, named, 2), hidden)))
 
     iso = found.substr(5, 1) == "-"
-    day_first = F.try_to_timestamp(found, F.lit("dd/MM/yyyy"))
+    mark = F.substr(found, F.lit(3), F.lit(1))
+    slashed = F.replace(found, F.lit("-"), F.lit("/"))
+    day_first = F.try_to_timestamp(slashed, F.lit("dd/MM/yyyy"))
     month_first = ~iso & day_first.isNull()
-    day = F.when(iso, F.try_to_timestamp(found, F.lit("yyyy-MM-dd"))).otherwise(F.coalesce(day_first, F.try_to_timestamp(found, F.lit("MM/dd/yyyy")))).cast("date")
+    day = F.when(iso, F.try_to_timestamp(found, F.lit("yyyy-MM-dd"))).otherwise(F.coalesce(day_first, F.try_to_timestamp(slashed, F.lit("MM/dd/yyyy")))).cast("date")
     to_day = lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), x.cast("int"))
 
     def dated(offset: Column) -> Column:
         # a date that can only be read month first becomes another such date, so no two texts meet
         once = _other_day(offset, key)
         walked = F.aggregate(F.sequence(F.lit(1), F.lit(40)), once, lambda acc, _: F.when(F.dayofmonth(to_day(acc)) > 12, acc).otherwise(_other_day(acc, key)))
-        shown = F.when(iso, F.date_format(to_day(once), "yyyy-MM-dd")).when(month_first, F.date_format(to_day(walked), "MM/dd/yyyy")).otherwise(F.date_format(to_day(once), "dd/MM/yyyy"))
+        other = F.when(month_first, F.date_format(to_day(walked), "MM/dd/yyyy")).otherwise(F.date_format(to_day(once), "dd/MM/yyyy"))
+        shown = F.when(iso, F.date_format(to_day(once), "yyyy-MM-dd")).otherwise(F.replace(other, F.lit("/"), mark))
         return F.when(offset >= -DAYS_BEFORE, shown).otherwise(found)
 
     date = _once(F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), dated)
@@ -190,11 +200,22 @@ def pseudonym(found: Column, key: str) -> Column:
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(24)), feistel(digits, key, "ssn"), lambda acc, _: F.when(ssn_valid(acc), acc).otherwise(feistel(acc, key, "ssn")))
     ssn = F.when(ssn_valid(digits), _laid_out(walked, found, F.lit(0))).otherwise(found)
 
-    octets = F.transform(F.split(found, r"\."), lambda x: x.cast("int"))
-    number = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x)
-    mapped = feistel_number(number, 65536, 65536, key, "ip")
-    dotted = lambda m: F.concat_ws(".", *[((m / 256**k).cast("long") % 256).cast("string") for k in (3, 2, 1, 0)])
-    ip = F.when(~F.exists(octets, lambda x: x > 255), _once(mapped, dotted)).otherwise(found)
+    # an octet that begins with 0 keeps its width, so it has 100 or 10 values; the halves are the pairs of octets
+    octets = F.transform(F.split(found, r"\."), lambda x: F.struct(x.cast("long").alias("v"), F.when((F.length(x) > 1) & x.startswith("0"), F.when(F.length(x) == 3, 100).otherwise(10)).otherwise(256).cast("long").alias("of"), F.length(x).alias("w")))
+
+    def other_ip(o: Column) -> Column:
+        of = [o[i]["of"] for i in range(4)]
+        left, right = of[0] * of[1], of[2] * of[3]
+        number = (o[0]["v"] * of[1] + o[1]["v"]) * right + o[2]["v"] * of[3] + o[3]["v"]
+
+        def shown(m: Column) -> Column:
+            parts = [F.floor(m / (right * of[1])), F.floor(m / right) % of[1], F.floor(m / of[3]) % of[2], m % of[3]]
+            texts = [F.when(of[i] == 256, x.cast("string")).otherwise(F.lpad(x.cast("string"), o[i]["w"], F.lit("0"))) for i, x in enumerate(parts)]
+            return F.concat_ws(".", *texts)
+
+        return F.when(~F.exists(o, lambda x: x["v"] > 255), _once(feistel_number(number, left, right, key, "ip"), shown)).otherwise(found)
+
+    ip = _once(octets, other_ip)
 
     body = feistel(F.substr(digits, F.lit(1), n - 1), key, "card")
     checked = _once(body, lambda b: F.concat(b, ((F.lit(10) - _luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
@@ -212,26 +233,39 @@ def pseudonym(found: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "example key", column: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """docs with the personal data in `column` replaced; adds _n_replaced."""
     text = F.col(column)
     hit = text.rlike(TRIGGER)
     found = F.when(hit, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    rest = F.when(F.size("_found") > 0, F.split(text, PATTERN, -1))
-    rows = docs.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda x: pseudonym(x, key))).withColumn("_rest", rest)
-    woven = F.concat(F.flatten(F.zip_with(F.slice("_rest", F.lit(1), F.size("_new")), F.col("_new"), lambda a, b: F.array(a, b))), F.array(F.element_at("_rest", -1)))
-    changed = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"]))
-    out = rows.withColumn(column, F.when(F.size("_found") > 0, F.array_join(woven, "")).otherwise(text)).withColumn("_n_replaced", F.when(F.size("_found") > 0, changed).otherwise(0))
-    return out.drop("_found", "_new", "_rest")
+    # the steps are fields of one struct, so no column of docs is overwritten
+    kept = [c for c in docs.columns if c not in (column, "_n_replaced")]
+    rows = docs.select(F.struct(*kept).alias("row") if kept else F.lit(None).alias("row"), text.alias("text"), found.alias("found")).withColumn("new", F.transform("found", lambda x: pseudonym(x, key)))
+    rest = F.when(F.size("found") > 0, F.split("text", PATTERN, -1))
+    rows = rows.withColumn("rest", rest)
+    woven = F.concat(F.flatten(F.zip_with(F.slice("rest", F.lit(1), F.size("new")), F.col("new"), lambda a, b: F.array(a, b))), F.array(F.element_at("rest", -1)))
+    changed = F.size(F.filter(F.arrays_zip("found", "new"), lambda x: x["found"] != x["new"]))
+    some = F.size("found") > 0
+    names = {c: F.col("row")[c] for c in kept} | {column: F.when(some, F.array_join(woven, "")).otherwise(F.col("text"))}
+    return rows.select(*[names[c].alias(c) for c in docs.columns if c != "_n_replaced"], F.when(some, changed).otherwise(0).alias("_n_replaced"))
+
+
+def session_key(spark: SparkSession) -> str:
+    """The setting patchlens.pii.key; where it is unset, a random key kept for the session."""
+    key = spark.conf.get("patchlens.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("patchlens.pii.key", key)
+    return key
 
 
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, and how many values were replaced."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs).select("doc_id", "text", F.col("_n_replaced").alias("n_replaced"))
+    return pseudonymise(docs, session_key(spark)).select("doc_id", "text", F.col("_n_replaced").alias("n_replaced"))
 
 
-def pseudonymised(docs: DataFrame, key: str = "example key") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     """documents with pseudonyms; n_chars follows the new text."""
-    out = pseudonymise(with_columns_of(docs), key)
+    out = pseudonymise(with_columns_of(docs), key or session_key(docs.sparkSession))
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*DOCUMENT_COLUMNS)

@@ -124,7 +124,7 @@ def test_raking_goes_on_until_margins_are_met_and_tells_where_they_are_not(spark
 
 def test_pii(spark):
     rows = [(1, "x 4532015112830366 y 4532-0151-1283-0366"), (2, "4532015112830367 a@b.example +1 (583) 555-8469 2024-02-29 70.214.118.188"), (3, None), (4, "")]
-    out = {x.doc_id: x.text for x in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {x.doc_id: x.text for x in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     assert out[3] is None and out[4] == "" and out[2].startswith("4532015112830367 ")
     one, two = out[1].split()[1], out[1].split()[3]
     assert one != "4532015112830366" and one == two.replace("-", "") and len(two) == 19
@@ -146,16 +146,84 @@ def test_pii_forms(spark):
     }
     stays = ["password: remember", "13/13/1990", "0000-01-01", "4532015112830367", "+12 34", "999.1.1.1", "token = identity"]
     texts = [*gone, *stays]
-    out = [x.text for x in pii.pseudonymise(spark.createDataFrame([(k, f"a {t} b") for k, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    out = [x.text for x in pii.pseudonymise(spark.createDataFrame([(k, f"a {t} b") for k, t in enumerate(texts)], "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     for text, new in zip(texts, out, strict=True):
         if text in gone:
             assert re.fullmatch(f"a {gone[text]} b", new) and new != f"a {text} b"
         else:
             assert new == f"a {text} b"
-    both = pii.pseudonymise(spark.createDataFrame([("+44 20 7946 0958 190.137.223.204",)], "text string")).first()
+    both = pii.pseudonymise(spark.createDataFrame([("+44 20 7946 0958 190.137.223.204",)], "text string"), "k").first()
     assert both._n_replaced == 2
 
 
+def _feistel(text, key, tweak, letters="z"):
+    """The pseudonym of a text without separators, written down again without Spark."""
+    half = -(-len(text) // 2)
+    left, right = text[:half], text[half:]
+    for i in range(1, pii.ROUNDS + 1):
+        digest = hashlib.sha256(f"{key}|{tweak}|{i}|{right}".encode()).digest()
+        new = ""
+        for k, c in enumerate(left):
+            low, span = ("0", 10) if c.isdigit() else ("a", ord(letters) - 96) if "a" <= c <= letters else ("A", 26) if "A" <= c <= "Z" else (c, 1)
+            new += chr(ord(low) + (ord(c) - ord(low) + digest[k % 32]) % span)
+        left, right = right, new
+    return left + right
+
+
+def _feistel_number(value, left, right, key, tweak):
+    a, b = divmod(value, right)
+    for i in range(1, pii.ROUNDS + 1):
+        drawn = lambda x: int(hashlib.sha256(f"{key}|{tweak}|{i}|{x}".encode()).hexdigest()[:12], 16)  # noqa: B023, E731
+        if i % 2:
+            a = (a + drawn(b)) % left
+        else:
+            b = (b + drawn(a)) % right
+    return a * right + b
+
+
+def test_pii_against_brute_force(spark):
+    r = random.Random(6)
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
+    rows, want = [], []
+
+    def case(text, new):
+        rows.append((len(rows), f"see {text}, ok"))
+        want.append(f"see {new}, ok")
+
+    for _ in range(25):
+        name = "".join(r.choices("abcdefgh", k=6)) + digits(2)
+        case(f"{name}@mail.example", f"{_feistel(name, 'k', 'email')}@mail.example")
+        phone = digits(10)
+        new = phone[:1] + _feistel(phone[1:], "k", "phone")
+        case(f"{phone[:3]}-{phone[3:6]}-{phone[6:]}", f"{new[:3]}-{new[3:6]}-{new[6:]}")
+        ip = [r.randrange(256) for _ in range(4)]
+        m = _feistel_number(int.from_bytes(bytes(ip)), 65536, 65536, "k", "ip")
+        case(".".join(map(str, ip)), ".".join(map(str, m.to_bytes(4))))
+        m = _feistel_number((ip[0] % 100 * 256 + ip[1]) * 2560 + ip[2] % 10 * 256 + ip[3], 25600, 2560, "k", "ip")
+        a, b, c, d = m // 2560 // 256, m // 2560 % 256, m // 256 % 10, m % 256
+        case(f"0{ip[0] % 100:02}.{ip[1]}.0{ip[2] % 10}.{ip[3]}", f"0{a:02}.{b}.0{c}.{d}")
+        key = digits(16)
+        case(f'token = "{key}"', f'token = "{_feistel(key, "k", "secret", "f")}"')
+        body = digits(15)
+        luhn = lambda x: -sum(int(c) if k % 2 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(x))) % 10
+        new = _feistel(body, "k", "card")
+        case(f"{body}{luhn(body)}", f"{new}{luhn(new)}")
+    got = [x.text for x in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got == want
+
+
+def test_pii_defined_cases(spark):
+    long = "word " * 40_000 + "a.b@mail.example"
+    rows = [(1, long, 5, "x", None), (1, long, 5, "x", None), (2, None, 6, None, "y"), (3, "12/25/2024 31-12-2024 13-13-2024", 7, "", "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, found int, new string, row string")
+    got = pii.pseudonymise(frame, "k").orderBy("doc_id").collect()
+    assert [(x.found, x.new, x.row) for x in got] == [(x[2], x[3], x[4]) for x in rows] and got[0] == got[1]
+    assert got[0].text.endswith("@mail.example") and "a.b@" not in got[0].text and len(got[0].text) == len(long)
+    assert re.fullmatch(r"\d\d/\d\d/\d{4} \d\d-\d\d-\d{4} 13-13-2024", got[3].text) and "2024 31" not in got[3].text
+    assert pii.pseudonymise(frame.limit(0), "k").count() == 0
+    assert pii.session_key(spark) == pii.session_key(spark)
+
+
 def test_pii_day_permutations_are_one_to_one(spark):
     far = spark.range(-20_000, 95_000).select(pii._other_day(F.col("id"), "k").alias("p"), "id")
     got = far.agg(F.countDistinct("p"), F.sum(((F.col("id") >= 0) & (F.col("id") < pii.DAYS) & ~F.col("p").between(0, pii.DAYS - 1)).cast("int")), F.min("p"), F.max("p")).first()
