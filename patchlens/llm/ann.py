@@ -7,94 +7,124 @@ ends of a sorted array are visited. A vector whose collisions reach the threshol
 when its k best lie within the radius of the round, for which the windows let a vector collide on a line with probability
 0.87, so that one that near reaches 0.7 of 32 collisions in about 99 % of cases; windows that cover everything end it too.
 
-Distance is taken between unit vectors, where the nearest has the largest cosine. Vectors are dealt into blocks that each
-have their own sorted arrays, queries into blocks too; a task searches one block for the queries of another and returns k
-rows for each query, and the best k of all blocks are the result. Every row is indexed; nothing is broadcast.
+Distance is taken between unit vectors, where the nearest has the largest cosine. The index is built once, as a table in the
+shared folder: vectors are dealt into blocks of bounded bytes, and a block is one row with its ids, vectors and sorted arrays.
+A task searches one block for a set of queries, the best k of it each, and the best k of all blocks are the result. Sets of
+queries are as large as blocks, so a vector moves once for every QUERIES queries and a query once for every block, which is
+the smallest traffic with memory of this size; nothing is broadcast. Every row is indexed.
 
 Defined cases: vectors that are null, empty, zero or have null or non-finite components, and rows without vec_id, take no
-part; vectors of another length are no candidates; a row with the query's own vec_id is none either; equal scores go by
-the smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty result; other columns are
-ignored.
+part; vectors of another length are no candidates; a row with the query's own vec_id is none either; of queries with one vec_id
+the one with the smallest vector is asked; equal scores go by the smaller vec_id; with fewer than k candidates all are returned;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import table
+from patchlens.llm.common import join_hot, keep, table
 from patchlens.llm.embedding_dedup import usable
 
 PROJECTIONS, SHARE, START, GROWTH, REACH = 32, 0.7, 0.25, 1.3, 1.5
-VECTORS, QUERIES = 16384, 1024
-
-
-def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, seed: int = 7) -> list[tuple[int, int, float]]:
-    """(query id, vector id, cosine) of the k nearest found for each query."""
-    norms, query_norms = np.sqrt((vectors**2).sum(axis=1)), np.sqrt((queries**2).sum(axis=1))
-    unit = vectors / norms[:, None]
-    lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
-    at = unit @ lines
-    order = np.argsort(at, axis=0, kind="stable").astype(np.int32)
-    arrays = [at[order[:, p], p] for p in range(PROJECTIONS)]
-    columns = [np.ascontiguousarray(order[:, p]) for p in range(PROJECTIONS)]
-    radii = [START * GROWTH**r for r in range(int(np.log(2 / START) / np.log(GROWTH)) + 2)]
-    centre = (queries / query_norms[:, None]) @ lines
-    low = np.stack([[np.searchsorted(arrays[p], centre[:, p] - REACH * r, "left") for p in range(PROJECTIONS)] for r in radii])
-    high = np.stack([[np.searchsorted(arrays[p], centre[:, p] + REACH * r, "right") for p in range(PROJECTIONS)] for r in radii])
-    need = int(np.ceil(SHARE * PROJECTIONS))
-    out = []
-    for q in range(len(queries)):
-        hits = np.zeros(len(vectors), np.uint8)
-        checked = ids == query_ids[q]
-        scores = np.full(len(vectors), -np.inf)
-        for r, radius in enumerate(radii):
-            for p in range(PROJECTIONS):
-                a, b = low[r, p, q], high[r, p, q]
-                c, d = (low[r - 1, p, q], high[r - 1, p, q]) if r else (a, a)
-                if a < c:
-                    hits[columns[p][a:c]] += 1
-                if d < b:
-                    hits[columns[p][d:b]] += 1
-            fresh = np.flatnonzero((hits >= need) & ~checked)
-            if r == len(radii) - 1:
-                fresh = np.flatnonzero(~checked)
-            if len(fresh):
-                checked[fresh] = True
-                scores[fresh] = (vectors[fresh] * queries[q]).sum(axis=1) / (norms[fresh] * query_norms[q])
-            if len(scores) > k and np.partition(scores, -k)[-k] >= 1 - radius**2 / 2:
-                break
-        best = np.flatnonzero(scores > -np.inf)
-        best = best[np.lexsort((ids[best], -scores[best]))[:k]]
-        out += [(int(query_ids[q]), int(ids[x]), float(scores[x])) for x in best]
-    return out
+BLOCK_BYTES, QUERIES = 8_000_000, 8192
+INDEX_KIND = "dims int, j int, sets int, ids binary, vectors binary, places binary, values binary"
+
+
+def lines(dims: int, seed: int = 7) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dims, PROJECTIONS))
+
+
+class Block:
+    """Vectors with, for every line, their places by projection and the sorted projections."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, places: np.ndarray | None = None, values: np.ndarray | None = None):
+        self.ids, self.vectors = ids, vectors.astype(float)
+        self.norms = np.sqrt((self.vectors**2).sum(axis=1))
+        if places is None or values is None:
+            at = (self.vectors / self.norms[:, None]) @ lines(vectors.shape[1])
+            places = np.argsort(at, axis=0, kind="stable").T.astype(np.int32)
+            values = np.take_along_axis(at.T, places, axis=1)
+        self.places, self.values = places.astype(np.intp), values
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """(query id, vector id, cosine) of the k nearest found for each query."""
+        n, need = len(self.ids), int(np.ceil(SHARE * PROJECTIONS))
+        query_norms = np.sqrt((queries**2).sum(axis=1))
+        radii = [START * GROWTH**r for r in range(int(np.log(2 / START) / np.log(GROWTH)) + 2)]
+        centre = (queries / query_norms[:, None]) @ lines(queries.shape[1])
+        low, high = (
+            np.stack([[np.searchsorted(self.values[p], centre[:, p] + sign * REACH * r, side) for p in range(PROJECTIONS)] for r in radii])
+            for sign, side in ((-1, "left"), (1, "right"))
+        )
+        out = []
+        for q in range(len(queries)):
+            hits, checked = np.zeros(n, np.intp), self.ids == query_ids[q]
+            known, scores = np.zeros(0, np.intp), np.zeros(0)
+            for r, radius in enumerate(radii):
+                ends = []
+                for p in range(PROJECTIONS):
+                    a, b = low[r, p, q], high[r, p, q]
+                    c, d = (low[r - 1, p, q], high[r - 1, p, q]) if r else (b, b)
+                    ends += [self.places[p, a:c], self.places[p, d:b]]
+                hits += np.bincount(np.concatenate(ends), minlength=n)
+                widest = r == len(radii) - 1  # the window covers the unit sphere: every vector collides
+                fresh = np.flatnonzero(~checked if widest else (hits >= need) & ~checked)
+                if len(fresh):
+                    checked[fresh] = True
+                    known = np.concatenate([known, fresh])
+                    scores = np.concatenate([scores, (self.vectors[fresh] * queries[q]).sum(axis=1) / (self.norms[fresh] * query_norms[q])])
+                if len(scores) >= k and np.partition(scores, -k)[-k] >= 1 - radius**2 / 2:
+                    break
+            best = np.lexsort((self.ids[known], -scores))[:k]
+            out += [(int(query_ids[q]), int(self.ids[known[x]]), float(scores[x])) for x in best]
+        return out
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """rows, queries (vec_id, embedding) -> query_id, rank, vec_id, score."""
+    single = {x.schema["embedding"].dataType.simpleString() for x in (rows, queries)} == {"array<float>"}
+    kind, width = (np.float32, 4) if single else (np.float64, 8)
 
     def ready(df: DataFrame) -> DataFrame:
-        vector = F.col("embedding").cast("array<double>")
+        vector = F.col("embedding").cast("array<float>" if single else "array<double>")
         return df.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).where(usable(F.col("vector"))).withColumn("dims", F.size("vector"))
 
-    rows, queries = ready(rows), ready(queries).dropDuplicates(["vec_id"])
-    n, m = max(1, -(-rows.count() // VECTORS)), max(1, -(-queries.count() // QUERIES))
-    own = lambda count, salt: F.pmod(F.xxhash64("vec_id", "vector", F.lit(salt)), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    dealt = rows.select("dims", every(m).alias("i"), own(n, 1).alias("j"), F.lit(False).alias("asks"), "vec_id", "vector")
-    asked = queries.select("dims", own(m, 2).alias("i"), every(n).alias("j"), F.lit(True).alias("asks"), "vec_id", "vector")
+    rows, queries = ready(rows), ready(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dims", F.size("vector"))
+    counts, asked = rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n")), queries.groupBy("dims").agg(F.count(F.lit(1)).alias("n"))
+    blocks = counts.select("dims", F.ceil(F.col("n") * F.col("dims") * width / BLOCK_BYTES).cast("int").alias("blocks"))
+    shape = keep(blocks.join(asked.select("dims", F.ceil(F.col("n") / QUERIES).cast("int").alias("sets")), "dims"), "shape")
+    own = lambda column, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(column)).cast("int")
+    every = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+
+    def build(part: pa.Table) -> pa.Table:
+        vectors = part["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+        made = Block(part["vec_id"].to_numpy(), vectors)
+        packed = [made.ids.tobytes(), vectors.tobytes(), made.places.astype(np.int32).tobytes(), made.values.tobytes()]
+        return pa.table([*[pa.array([part[c][0].as_py()], pa.int32()) for c in ("dims", "j", "sets")], *[pa.array([x], pa.binary()) for x in packed]], names=[x.split()[0] for x in INDEX_KIND.split(", ")])
+
+    dealt = join_hot(rows, shape, "dims", counts).where("blocks is not null").withColumn("j", own("blocks", 1))
+    index = keep(dealt.groupBy("dims", "j").applyInArrow(build, INDEX_KIND), "index")
 
     def find(part: pa.Table) -> pa.Table:
-        asks = part["asks"].to_numpy(zero_copy_only=False)
-        ids = part["vec_id"].to_numpy()
-        vectors = part["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        found = search(vectors[~asks], ids[~asks], vectors[asks], ids[asks], k) if asks.any() and not asks.all() else []
+        block, asks = part.filter(pc.is_valid(part["ids"])), part.filter(pc.is_null(part["ids"]))
+        found: list[tuple] = []
+        if block.num_rows and asks.num_rows:
+            dims = part["dims"][0].as_py()
+            ids, vectors, places, values = (np.frombuffer(block[c][0].as_py(), x) for c, x in (("ids", np.int64), ("vectors", kind), ("places", np.int32), ("values", np.float64)))
+            held = Block(ids, vectors.reshape(-1, dims), places.reshape(PROJECTIONS, -1), values.reshape(PROJECTIONS, -1))
+            wanted = asks["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(asks.num_rows, -1).astype(float)
+            found = held.search(wanted, asks["vec_id"].to_numpy(), k)
         columns = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    found = dealt.unionByName(asked).groupBy("dims", "i", "j").applyInArrow(find, "query_id long, vec_id long, score double")
+    searched = index.withColumn("i", every("sets")).drop("sets")
+    asking = join_hot(queries, shape, "dims", asked).where("blocks is not null").withColumn("i", own("sets", 2)).select("dims", every("blocks").alias("j"), "i", "vec_id", "vector")
+    found = searched.unionByName(asking, allowMissingColumns=True).groupBy("dims", "i", "j").applyInArrow(find, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -360,32 +360,68 @@ def vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((12, 16))
     rows = [(k, [float(x) for x in base[k % 12] + 0.12 * rng.standard_normal(16)], k % 2) for k in range(240)]
-    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, rows[0][1], 0), (304, rows[0][1], None), (305, [1.0, None], 0)]
+    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, rows[0][1], 0), (304, rows[0][1], None), (305, [1.0, None], 0), (306, [float("inf")] * 16, 0), (307, [1.0, 2.0], 0)]
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
+def usable_vectors(rows):
+    return [(i, np.array(v, np.float32).astype(float), x) for i, v, x in rows if v and None not in v and np.isfinite(v).all() and any(v)]
+
+
+def cosine(a, b):
+    return a @ b / np.sqrt((a @ a) * (b @ b)) if len(a) == len(b) else -2
+
+
 def test_embedding_links(spark):
     rows, frame = vectors(spark)
-    good = [(i, np.array(v, np.float32).astype(float), x) for i, v, x in rows if v and x is not None and None not in v and np.isfinite(v).all() and any(v)]
-    for tile in (2048, 32):
-        got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.links(frame, tile=tile).collect()}
-        link = np.array([[a[0] != b[0] and a[2] == b[2] and a[1] @ b[1] / np.sqrt((a[1] @ a[1]) * (b[1] @ b[1])) >= 0.93 for b in good] for a in good])
-        low = embedding_dedup.joined(link)
-        want = {good[k][0]: (int(link[k].sum()), good[low[k]][0]) for k in range(len(good))} | {i: (0, i) for i in (300, 301, 302, 304, 305)}
+    good = [x for x in usable_vectors(rows) if x[2] is not None]
+    link = np.array([[a[0] != b[0] and a[2] == b[2] and cosine(a[1], b[1]) >= 0.93 for b in good] for a in good])
+    low = embedding_dedup.joined(link)
+    want = {good[k][0]: (int(link[k].sum()), good[low[k]][0]) for k in range(len(good))} | {i: (0, i) for i in (300, 301, 302, 304, 305, 306)}
+    for tile, kind in ((2048, "float"), (32, "float"), (32, "double")):
+        got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.links(frame.withColumn("embedding", F.col("embedding").cast(f"array<{kind}>")), tile=tile).collect()}
         assert got == want
     assert embedding_dedup.links(frame.limit(0)).count() == 0
+    extra = frame.where("vec_id < 24").withColumn("cls", F.lit("x")).withColumn("n", F.lit(1))
+    again = embedding_dedup.links(extra.unionByName(extra).unionByName(extra.limit(1).withColumn("vec_id", F.lit(None).cast("long")))).collect()
+    assert len(again) == 49 and all(x.n_links > 0 for x in again) and sum(x.vec_id is None for x in again) == 1
+
+
+def test_int8_bounds_hold():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 24))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    true = x @ x.T
+    codes = embedding_dedup.coded(x)
+    for threshold in (-0.2, 0.0, 0.3, 0.93):
+        sure, may = embedding_dedup.bounds(codes, codes, threshold)
+        assert (true[sure] >= threshold).all() and (true[~(sure | may)] < threshold).all() and not (sure & may).any()
+        assert ((true >= threshold) == (sure | embedding_dedup.exact(may, x, x, threshold))).all()
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
     rows, frame = vectors(spark)
-    got = ann.nearest(frame, frame.where("vec_id % 50 = 0")).collect()
-    good = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows if v and None not in v and np.isfinite(v).all() and any(v)}
-    right = 0
+    good = {i: v for i, v, _ in usable_vectors(rows)}
     queries = [i for i in good if i % 50 == 0]
-    for q in queries:
-        order = sorted((i for i in good if i != q), key=lambda i: (-(good[i] @ good[q]) / np.sqrt((good[i] @ good[i]) * (good[q] @ good[q])), i))[:5]
-        right += len(set(order) & {x.vec_id for x in got if x.query_id == q})
-    assert len(got) == 5 * len(queries) and right >= 0.9 * len(got)
+    for block, asks in ((8_000_000, 8192), (2_000, 2)):
+        monkeypatch.setattr(ann, "BLOCK_BYTES", block)
+        monkeypatch.setattr(ann, "QUERIES", asks)
+        got = ann.nearest(frame, frame.where("vec_id % 50 = 0")).collect()
+        right = 0
+        for q in queries:
+            order = sorted((i for i in good if i != q), key=lambda i: (-cosine(good[i], good[q]), i))[:5]
+            right += len(set(order) & {x.vec_id for x in got if x.query_id == q})
+        assert len(got) == 5 * len(queries) and right >= 0.9 * len(got)
+        assert all(abs(x.score - cosine(good[x.query_id], good[x.vec_id])) < 1e-12 for x in got)
+    assert ann.nearest(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def test_nearest_ties_few_candidates_and_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (3, [0.0, 1.0]), (2, [0.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x")).withColumn("dims", F.lit(1))
+    got = [(x.rank, x.vec_id) for x in ann.nearest(frame, frame.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 7), (2, 7), (3, 2), (4, 3)]
+    assert ann.nearest(frame, frame.where("vec_id = 9")).count() == 0
 
 
 def test_join_hot_is_a_left_join(spark):
