@@ -96,7 +96,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, par
     rest = right.select(F.col(key).alias("_rest_key"), *[F.col(c).alias(f"_rest_{c}") for c in values])
     dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     apart = F.col("_hot_key").isNotNull() | F.col(key).isNull()
-    dealt = dealt.withColumn("_apart", apart).withColumn("_at", F.when(apart, F.xxhash64(*left.columns)).otherwise(F.col(key)))
+    dealt = dealt.withColumn("_apart", apart).withColumn("_at", F.when(apart, F.xxhash64(*left.columns).cast(left.schema[key].dataType)).otherwise(F.col(key)))
     both = dealt.join(rest, (F.col("_at") == F.col("_rest_key")) & ~F.col("_apart"), "left")
     return both.select(*left.columns, *[F.when(F.col("_apart"), F.col(f"_hot_{c}")).otherwise(F.col(f"_rest_{c}")).alias(c) for c in values])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchlens.llm import mixing
+from patchlens.llm import mixing, warc
 from patchlens.llm.ann import op8_collision_counting_ann
 from patchlens.llm.chat import op6_chat_windows
 from patchlens.llm.embedding_dedup import op7_int8_embedding_dedup
@@ -22,9 +22,9 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op1_mix_raked_sources": mixing.ORACLE_SQL}
+ORACLES = {"op1_mix_raked_sources": mixing.ORACLE_SQL, "op2_warc_revisits": warc.ORACLE_SQL}
 
-#: DuckDB SQL for the two operators whose whole rule SQL can state by brute force.
+#: DuckDB SQL for operators whose whole rule SQL can state by brute force.
 ORACLES["op7_int8_embedding_dedup"] = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 good AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE label IS NOT NULL AND len(e) > 0
@@ -35,3 +35,14 @@ reach(id, low) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.q, r.low FROM rea
 least AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id)
 SELECT v.vec_id, count(p.q)::BIGINT AS n_links, any_value(l.component_id) AS component_id, v.vec_id = any_value(l.component_id) AS kept
 FROM v JOIN least l ON l.id = v.vec_id LEFT JOIN pairs p ON p.p = v.vec_id GROUP BY v.vec_id"""
+
+ORACLES["op5_bottom_k_near_dup"] = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(words[i : i + 3], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS MATERIALIZED (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS MATERIALIZED (SELECT p, q FROM common JOIN n x ON x.doc_id = p JOIN n y ON y.doc_id = q WHERE 100 * k >= 80 * (x.n + y.n - k)),
+links AS MATERIALIZED (SELECT p, q FROM half UNION ALL SELECT q, p FROM half),
+reach(id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.q, r.low FROM reach r JOIN links l ON l.p = r.id WHERE r.low < l.q),
+least AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN least ON id = d.doc_id"""

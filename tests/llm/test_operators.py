@@ -1,9 +1,12 @@
 """The ten operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import base64
+import gzip
 import hashlib
 import random
 import re
 import warnings
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -332,14 +335,36 @@ def test_every_language_keeps_its_own_contexts(spark, monkeypatch):
 
 
 def test_warc(spark):
-    rows = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (4, "u", ""), (5, "u", "x\r\n\r\nWARC/1.1\r\n")]
+    rows = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (4, "u", ""), (5, "u", "x\r\n\r\nWARC/1.1\r\n"), (None, "u", "<p>é</p>"), (6, "u v", "long " * 400_000)]
     raw, out = new_path(spark, "t"), new_path(spark, "t")
-    warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), raw)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("member", F.lit(1)).withColumn("record_id", F.lit("x"))
+    warc.archive_pages(frame, raw)
     warc.resolve_revisits(spark, raw, out)
-    got = sorted((x.page_id, x.record_type, x.refers_to, x.payload_bytes) for x in warc.read_archive(spark, out).collect())
-    kinds = [(p, k, r, n) for p, k, r, n in got if p != 4]
-    assert kinds == [(1, "revisit", 2, 9), (2, "response", None, 9), (3, "revisit", 4, 0), (5, "response", None, 15)]
-    assert sorted(k for p, k, _, _ in got if p == 4) == ["response", "revisit"]
+    found = warc.read_archive(spark, out).collect()
+    got = sorted((str(x.page_id), x.record_type, x.refers_to, x.payload_bytes) for x in found)
+    kinds = [(p, k, r, n) for p, k, r, n in got if p != "4"]
+    assert kinds == [("1", "revisit", 2, 9), ("2", "response", None, 9), ("3", "revisit", 4, 0), ("5", "response", None, 15), ("6", "response", None, 2_000_000), ("None", "revisit", 2, 9)]
+    assert sorted(k for p, k, _, _ in got if p == "4") == ["response", "revisit"] and len({x.record_id for x in found}) == len(rows)
+    for x in found:
+        text = next((t for i, _, t in rows if i == x.page_id), "")
+        assert x.payload_digest == base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
+    whole = gzip.decompress(b"".join(p.read_bytes() for p in sorted(Path(out.removeprefix("file://")).glob("part-*"))))  # any gzip reader can read it
+    assert whole.count(b"WARC-Type: response") == 4 and whole.count(b"WARC-Type: revisit") == 4 and whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+    limited = new_path(spark, "t")
+    warc.resolve_revisits(spark, raw, limited, least_bytes=10)
+    assert {x.record_type for x in warc.read_archive(spark, limited).collect()} == {"response"}
+    none, two = new_path(spark, "t"), new_path(spark, "t")
+    warc.archive_pages(frame.limit(0), none)
+    warc.resolve_revisits(spark, none, two)
+    assert warc.read_archive(spark, two).count() == 0
+
+
+def test_warc_header_is_read_without_the_payload():
+    member = warc.packed(warc.record_bytes("response", "<urn:x>", 1, "u", "2024-01-01T00:00:00Z", warc.payload_digest(b"a" * 9), 9, b"a" * 9))
+    assert warc.head_of(member)["WARC-Page-ID"] == "1" and warc.payload_of(member)[1] == b"a" * 9
+    broken = warc.packed(warc.record_bytes("response", "<urn:x>", 1, "u", "2024-01-01T00:00:00Z", warc.payload_digest(b"b"), 9, b"a" * 9))
+    with pytest.raises(ValueError, match="digest"):
+        warc.payload_of(broken)
 
 
 def test_chat(spark):
