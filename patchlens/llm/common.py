@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths given out, in order.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def keep(df: DataFrame, label: str = "step") -> DataFrame:
@@ -44,14 +50,26 @@ def keep(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_kept(df: DataFrame) -> None:
-    """Delete the files behind a kept table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_kept(*tables: DataFrame) -> None:
+    """Delete the files behind kept tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
+
+
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """keep(make()), without the tables that make() left in the shared folder on its way."""
+    before = len(_MADE)
+    out = keep(make(), label)
+    for path in _MADE[before:-1]:
+        delete(out.sparkSession, path)
+    del _MADE[before:-1]
+    return out
 
 
 def with_columns_of(docs: DataFrame) -> DataFrame:
@@ -96,7 +114,9 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, par
     rest = right.select(F.col(key).alias("_rest_key"), *[F.col(c).alias(f"_rest_{c}") for c in values])
     dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     apart = F.col("_hot_key").isNotNull() | F.col(key).isNull()
-    dealt = dealt.withColumn("_apart", apart).withColumn("_at", F.when(apart, F.xxhash64(*left.columns).cast(left.schema[key].dataType)).otherwise(F.col(key)))
+    kind = left.schema[key].dataType
+    spread = (F.hash if isinstance(kind, T.IntegerType) else F.xxhash64)(*left.columns).cast(kind)
+    dealt = dealt.withColumn("_apart", apart).withColumn("_at", F.when(apart, spread).otherwise(F.col(key)))
     both = dealt.join(rest, (F.col("_at") == F.col("_rest_key")) & ~F.col("_apart"), "left")
     return both.select(*left.columns, *[F.when(F.col("_apart"), F.col(f"_hot_{c}")).otherwise(F.col(f"_rest_{c}")).alias(c) for c in values])
 

@@ -174,8 +174,7 @@ def links(rows: DataFrame, threshold: float = 0.93, tile: int = TILE) -> DataFra
     labels = min_labels(spark, both.select(F.col("cls").alias("a"), F.col("other").alias("b")))
     known = classes.select("cls", "copies", "least").join(counts, "cls", "left").join(labels.select(F.col("id").alias("cls"), "label"), "cls", "left")
     known = keep(known.select("cls", "copies", "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("label", "cls").alias("comp")), "known")
-    for done in (classes, found, again):
-        drop_kept(done)
+    drop_kept(classes, found, again, labels)
     by_comp = known.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     of_class = join_hot(known.select("cls", "n_links", "comp"), by_comp.select("comp", "component_id"), "comp", by_comp).select("cls", "n_links", "component_id")
     out = join_hot(rows.select("vec_id", "cls"), of_class, "cls", known.select("cls", F.col("copies").alias("n")))

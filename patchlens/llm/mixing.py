@@ -14,7 +14,8 @@ pre-aggregated groupBy and joins its correction back, so one hot source is one p
 Targets default to tempered shares: a value's share of tokens to the power `alpha`, normalised. A null source, language or
 topic is a value of its own (`unknown`). A cell without tokens has factor 1 and is taken at the common rate. Margins that
 contradict each other can't all be met; a warning then tells the error left. An
-empty table gives an empty result. Repeated rows draw alike, as the draw hashes doc_id and the seed.
+empty table gives an empty result. Repeated rows draw alike, as the draw hashes doc_id and the seed; there is no order, so
+there are no ties. Texts of any length are counted whole. Columns that documents don't have are dropped, so none can clash.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ def topic_of(text: Column) -> Column:
 
 
 def _with_cells(docs: DataFrame) -> DataFrame:
+    docs = with_columns_of(docs)
     known = [F.coalesce(F.col(c), F.lit("unknown")).alias(f"_{c}") for c in MARGINS[:2]]
     return docs.select("*", *known, F.coalesce(topic_of(F.col("text")), F.lit("unknown")).alias("_topic"), n_tokens(F.col("text")).alias("_tokens"))
 
@@ -97,9 +99,9 @@ def rake(cells: DataFrame, alpha: float = 0.7, rounds: int = 6, targets: dict[st
     return now.withColumn("factor", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0))
 
 
-def _raked(docs: DataFrame, alpha: float, rounds: int, targets: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame]:
-    """docs with their cells, and the cells with _factor."""
-    rows = _with_cells(docs)
+def _raked(docs: DataFrame, alpha: float, rounds: int, targets: dict[str, DataFrame] | None, texts: bool = True) -> tuple[DataFrame, DataFrame]:
+    """docs with their cells, and the cells with _factor. Without texts each text is read once: what is left of a row is kept."""
+    rows = _with_cells(docs) if texts else keep(_with_cells(docs).drop("text"), "rows")
     cells = rows.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_tokens").alias("tokens"))
     return rows, rake(keep(cells, "cells"), alpha, rounds, targets).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("factor").alias("_factor"))
 
@@ -108,13 +110,13 @@ def _draw(seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
-def calibrated(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, targets: dict[str, DataFrame] | None = None, seed: str = "mix") -> DataFrame:
+def calibrated(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, targets: dict[str, DataFrame] | None = None, seed: str = "mix", texts: bool = True) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, _factor, _p (the probability to be kept) and _kept.
 
     `budget` is the wanted share of all tokens; where the largest factor allows less, the sample is smaller, as clipping
     probabilities at 1 would miss the targets. `mix` meets the budget.
     """
-    rows, factors = _raked(docs, alpha, rounds, targets)
+    rows, factors = _raked(docs, alpha, rounds, targets, texts)
     most = factors.agg(F.max("_factor")).first()[0] or 1.0
     scale = min(float(budget), 1.0 / most)
     return rows.join(factors, [f"_{m}" for m in MARGINS]).withColumn("_p", F.least(F.lit(1.0), F.col("_factor") * F.lit(scale))).withColumn("_kept", _draw(seed) < F.col("_p"))
@@ -122,7 +124,7 @@ def calibrated(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: flo
 
 def mix(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, targets: dict[str, DataFrame] | None = None, seed: str = "mix") -> DataFrame:
     """The sample, with the columns of documents: `budget` times all tokens in expectation, each document `budget` x factor times."""
-    rows, factors = _raked(with_columns_of(docs), alpha, rounds, targets)
+    rows, factors = _raked(docs, alpha, rounds, targets)
     wanted = F.col("_factor") * F.lit(float(budget))
     copies = (F.floor(wanted) + (_draw(seed) < wanted - F.floor(wanted)).cast("long")).cast("int")
     taken = rows.join(factors, [f"_{m}" for m in MARGINS]).withColumn("_copies", copies).where("_copies > 0")
@@ -131,7 +133,7 @@ def mix(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.
 
 def op1_mix_raked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cell, factor, probability and decision."""
-    rows = calibrated(with_columns_of(table(spark, sf_dir, "documents")))
+    rows = calibrated(table(spark, sf_dir, "documents"), texts=False)
     return rows.select(
         "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
         F.round("_factor", 6).alias("factor"), F.round("_p", 6).alias("probability"), F.col("_kept").alias("kept"),

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import DOCUMENT_COLUMNS, join_hot, keep, min_labels, table, with_columns_of
+from patchlens.llm.common import DOCUMENT_COLUMNS, drop_kept, join_hot, keep, min_labels, table, with_columns_of
 
 SKETCH, LEAST, HOT = 32, 14, 48
 BLOCK_ROWS, BLOCK_CHARS = 1024, 4_000_000
@@ -219,6 +219,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5) -> DataFrame:
     shared = listed.groupBy("v").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("n", "cls")).alias("leader")).where("members > 1")
     lists = keep(listed.join(shared, "v").select("v", "cls", "n", "chars", "members", F.col("leader.cls").alias("leader"), F.col("leader.n").alias("leader_n")), "lists")
 
+    drop_kept(listed)
     stars = lists.where((F.col("cls") != F.col("leader")) & _close("n", "leader_n")).groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("k"))
     stars = stars.groupBy("cls").agg(F.max(F.struct("k", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("cls").alias("b"))
     stars = keep(_likely(stars, classes), "stars")
@@ -226,20 +227,24 @@ def near_duplicates(docs: DataFrame, n_words: int = 5) -> DataFrame:
     hashed = docs.where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     texts = keep(hashed.join(wanted, hashed["doc_id"].eqNullSafe(wanted["_id"]) & (hashed["text_hash"] == wanted["text_hash"])).select("cls", "text").dropDuplicates(["cls"]), "texts")
     links = keep(confirmed(stars, texts, n_words), "links")
+    drop_kept(stars)
 
     known = min_labels(spark, links)
     open_lists = lists.join(known.select(F.col("id").alias("cls"), "label"), "cls", "left").select("v", "cls", "n", "chars", "members", F.coalesce("label", "cls").alias("comp"))
     mixed = open_lists.groupBy("v").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("v")
     open_lists = keep(open_lists.join(mixed, "v"), "lists")
+    drop_kept(lists, known)
     short = open_lists.where(F.col("members") <= HOT)
     other = short.select("v", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("comp").alias("q"))
     pairs = short.withColumnRenamed("cls", "a").join(other, "v").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("q")) & _close("n", "m")).select("a", "b").distinct()
     pairs = keep(_likely(pairs, classes), "pairs")
     more = confirmed(pairs, texts, n_words).unionByName(_in_blocks(open_lists.where(F.col("members") > HOT).select("v", "cls", "comp", "chars"), texts, n_words))
-    links = keep(links.unionByName(more), "links")
+    first_links, links = links, keep(links.unionByName(more), "links")
+    drop_kept(pairs, open_lists, texts, first_links)
 
     labels = min_labels(spark, links).select(F.col("id").alias("cls"), "label")
     by_class = keep(classes.join(labels, "cls", "left").select("cls", "least", "first", F.coalesce("label", "cls").alias("comp")), "components")
+    drop_kept(links, labels)
     by_comp = by_class.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("first")["row"].alias("kept_row"), F.count(F.lit(1)).alias("n"))
     of_class = join_hot(by_class.select("cls", "comp"), by_comp.select("comp", "component_id", "kept_row"), "comp", by_comp)
     found = join_hot(rows.drop("sketch", "chars"), of_class.select("cls", "component_id", "kept_row"), "cls", classes.select("cls", F.col("copies").alias("n")))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import join_hot, keep, new_path, table
+from patchlens.llm.common import delete, drop_kept, join_hot, keep, new_path, table
 
 END = b"\r\n\r\n"
 #: An empty gzip member; what stands between the records of a file.
@@ -210,12 +210,14 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, least_bytes:
         yield from _batches(_info(records(), date), "member")
 
     _write(responses.unionByName(revisits).mapInArrow(build, "member binary"), target)
+    drop_kept(headers)
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, final = new_path(spark, "warc"), new_path(spark, "warc")
     archive_pages(table(spark, sf_dir, "pages"), raw)
     resolve_revisits(spark, raw, final)
+    delete(spark, raw)
     return read_archive(spark, final).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 

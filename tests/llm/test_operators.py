@@ -3,13 +3,16 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import warnings
+import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from patchlens.llm import ann, chat, embedding_dedup, langid, mixing, near_dup, packing, pii, sharding, warc
@@ -485,3 +488,108 @@ def test_sketch_overlap_bound(spark):
             assert m == -(-4 * n // 5)
         assert near_dup.LEAST <= m <= 0.8 * near_dup.SKETCH or m <= -(-4 * n // 5)
     assert spark.range(1).select(near_dup.shared_at_least(F.lit(10**9)).alias("m")).first().m == near_dup.LEAST
+
+
+def test_mixing_margins_nulls_and_clashing_columns(spark):
+    r = random.Random(9)
+    rows = [(k, " ".join(["w"] * r.randint(0, 60)), r.choice(["en", "fr", None]), r.choice(["a", "b", "b", "b", None]), 1) for k in range(400)] + [(None, None, None, None, None), (7, "w w", "en", "a", 3), (7, "w w", "en", "a", 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("_source", "_topic", "_p", "_kept", "weight", "tokens"):
+        frame = frame.withColumn(c, F.lit("x"))
+    got = mixing.calibrated(frame).collect()
+    assert len(got) == len(rows) and all(0 <= x._p <= 1 for x in got)
+    sums, whole = {}, sum(x._tokens * x._factor for x in got)
+    had = {}
+    for x in got:
+        for m in mixing.MARGINS:
+            v = x[f"_{m}"]
+            sums[m, v], had[m, v] = sums.get((m, v), 0) + x._tokens * x._factor, had.get((m, v), 0) + x._tokens
+    assert {v for m, v in had if m == "source"} == {"a", "b", "unknown"}
+    for (m, v), n in had.items():
+        wish = n**0.7 / sum(o**0.7 for (k, _), o in had.items() if k == m)
+        assert abs(sums[m, v] / whole - wish) < 1e-5
+    assert len({(x._p, x._kept) for x in got if x.doc_id == 7 and x.text == "w w"}) == 1
+    assert mixing.calibrated(frame.limit(0)).count() == 0
+
+
+def test_chat_defined_cases(spark):
+    turns = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (5, 0, "user", "same"), (5, 0, "user", "same"), (6, 0, "assistant", "</s>" * 60_000), (7, 1, "user", "x"), (7, None, "user", "first")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("n_repeated", F.lit(1)).withColumn("window", F.lit(2))
+    got = {x.conv_id: x for x in chat.digests(chat.windows(frame)).collect()}
+    want = {None: "user\na\nassistant\nb\n", 5: "user\nsame\n" * 2, 6: "assistant\n" + "</s>" * 60_000 + "\n", 7: "user\nfirst\nuser\nx\n"}
+    assert {k: x.turns_sha256 for k, x in got.items()} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in want.items()}
+    assert (got[None].loss_chars, got[6].loss_chars, got[5].n_turns) == (1, 240_000, 2)
+    assert chat.digests(chat.windows(frame.limit(0))).count() == 0
+
+
+def test_sharding_against_brute_force(spark):
+    """The draws again with another xxHash: Spark's hash of several columns seeds each with the one before."""
+    def draw(level, child, key):
+        h = 42
+        for part in (b"shard-tree", level.encode()):
+            h = xxhash.xxh64_intdigest(part, h)
+        for part in (child.to_bytes(4, "little"), key.to_bytes(8, "little", signed=True)):
+            h = xxhash.xxh64_intdigest(part, h)
+        return -math.log(((h >> 11) + 1) / 2**53)
+
+    def place(tree, key):
+        total = lambda node: sum(map(total, node.values())) if isinstance(node, dict) else node
+        for level in ("region", "rack", "shard"):
+            child = min(tree, key=lambda c: (draw(level, c, key) / total(tree[c]), c))
+            tree = tree[child]
+        return child
+
+    texts = [None, "", "é" * 5, "long " * 20_000, "x"]
+    rows = [(k * 7919 - 100, texts[k % 5]) for k in range(300)] + [(-100, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("x")).withColumn("slot", F.lit(1))
+    got = sharding.assign_shards(frame).collect()
+    trees = sharding.tree_for(24), sharding.tree_for(25)
+    text_of = dict(rows)
+    for x in got:
+        text = (text_of[x.doc_id] or "").encode()
+        assert (x.shard, x.grown_shard) == tuple(place(t, x.doc_id) for t in trees)
+        assert (x.size, x.text_crc32) == (len(text) + 8, zlib.crc32(text))
+    # one shard's weight grows: rows move only into its rack's and region's subtree, at the end into it or within it
+    grown = sharding.tree_for(24)
+    grown[0][0][1] = 3.0
+    moved = spark.createDataFrame(rows, "doc_id long, text string").select(sharding.shard_of(F.col("doc_id"), sharding.tree_for(24)).alias("a"), sharding.shard_of(F.col("doc_id"), grown).alias("b")).where("a <> b").collect()
+    assert moved and all(x.b < 8 for x in moved) and {x.b for x in moved if x.a < 4} == {1}
+    none = sharding.tree_for(24)
+    none[2][5][23] = 0.0
+    assert frame.select(sharding.shard_of(F.col("doc_id"), none).alias("s")).where("s = 23").count() == 0
+
+
+def brute_language(model, text):
+    """Bits of a text in each language: prediction by partial matching with exclusion, context by context."""
+    out = []
+    for k in range(len(model.langs)):
+        tree = {}
+        for gram, n in zip(model.grams[model.starts[k] : model.starts[k + 1]].tolist(), model.n[model.starts[k] : model.starts[k + 1]].tolist(), strict=True):
+            raw = gram.to_bytes((gram.bit_length() + 7) // 8, "big")[1:]
+            tree.setdefault(raw[:-1], {})[raw[-1]] = n
+        bits = 0.0
+        for at, byte in enumerate(text):
+            out_of = set()
+            for order in range(min(model.order, at), -1, -1):
+                seen = {b: n for b, n in tree.get(text[at - order : at], {}).items() if b not in out_of}
+                if not seen:
+                    continue
+                whole = sum(seen.values()) + len(seen)
+                if byte in seen:
+                    bits -= math.log2(seen[byte] / whole)
+                    break
+                bits -= math.log2(len(seen) / whole)
+                out_of |= set(seen)
+            else:
+                bits += math.log2(256 - len(out_of))
+        out.append(bits)
+    return out
+
+
+def test_language_against_brute_force(spark):
+    r = random.Random(2)
+    words = {"a": ["the", "cat", "sat", "été"], "b": ["der", "hund", "lief", "süß"], "c": ["el", "gato", "corre", "niño"]}
+    rows = [(k, " ".join(r.choices(words["abc"[k % 3]], k=r.randint(1, 30))), "abc"[k % 3]) for k in range(60)]
+    model = langid.train(langid.labelled_part(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    texts = [t.encode() for _, t, _ in rows[:9]] + [b"zz\xff\x00", "gato der cat".encode(), ("cat " * 700).encode(), b""]
+    assert np.allclose(langid.code_lengths(model, texts), [brute_language(model, t) for t in texts], rtol=1e-5, atol=1e-3)
