@@ -41,13 +41,17 @@ TABLE_BYTES, HELD_BYTES = 16_000_000, 96_000_000
 
 @dataclass
 class Tables:
-    """The languages first to last - 1: next_state[state, symbol] and cost[state, symbol, language] in bits."""
+    """The languages first to last - 1: following[state, symbol], the place of the next state's first symbol, and cost[state, symbol, language] in bits."""
 
     first: int
     last: int
-    next_state: np.ndarray
+    following: np.ndarray
     cost: np.ndarray
 
+    @property
+    def next_state(self) -> np.ndarray:
+        return self.following // self.cost.shape[1]
+
 
 @dataclass
 class Model:
@@ -206,7 +210,7 @@ def tables_of(model: Model, first: int, last: int) -> Tables:
         counts = np.zeros((len(states), width), np.float32)
         counts[np.searchsorted(states, model.grams[part] >> 8), model.symbol_of[model.grams[part] & 255]] = model.n[part]
         cost[:, :, k] = _costs(counts, length, shorter)
-    return Tables(first, last, following, cost)
+    return Tables(first, last, following * np.int32(width), cost)
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -217,7 +221,8 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
 
 def _lengths_in(model: Model, tables: Tables, texts: list[bytes]) -> np.ndarray:
     """Bits of each text in each language of the tables."""
-    following, cost, n_langs = tables.next_state, tables.cost, tables.last - tables.first
+    n_langs = tables.last - tables.first
+    following, cost = tables.following, tables.cost.reshape(-1, n_langs)
     out = np.zeros((len(texts), n_langs))
     lead = model.order
     owners, pieces, skips = [], [], []
@@ -233,24 +238,24 @@ def _lengths_in(model: Model, tables: Tables, texts: list[bytes]) -> np.ndarray:
         grid = np.zeros((lengths[0], len(block)), np.uint8)
         for j, i in enumerate(block):
             grid[: lengths[j], j] = np.frombuffer(pieces[i], np.uint8)
-        symbols = model.symbol_of[grid]
+        symbols = model.symbol_of[grid].astype(np.int64)
         skip = np.array([skips[i] for i in block])
-        state = np.zeros(len(block), np.int64)
+        place = np.zeros(len(block), np.int64)  # of the state's first symbol
         sums = np.zeros((len(block), n_langs))
         live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # pieces longer than t
         for t in range(lengths[0]):
             n = live[t]
-            here, now = state[:n], symbols[t, :n]
-            bits = cost[here, now]
+            at = place[:n] + symbols[t, :n]
+            bits = cost.take(at, axis=0)
             if t < lead:
                 bits = bits * (skip[:n] <= t)[:, None]
             sums[:n] += bits
-            state[:n] = following[here, now]
+            place[:n] = following.take(at)
         np.add.at(out, [owners[i] for i in block], sums)
     return out
 
 
-def train(labelled: DataFrame, order: int = 4, sample_docs: int = 300) -> Model:
+def train(labelled: DataFrame, order: int = 4, sample_docs: int = 150) -> Model:
     """labelled(doc_id, text, lang) -> Model, from at most about `sample_docs` documents of each language."""
     return build(ngram_counts(sample_of(labelled, sample_docs), order).toArrow(), order)
 
@@ -281,7 +286,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             score, rate = 1 / np.maximum(sums, 1), np.where(fine, least, 0.0) / size
             yield pd.DataFrame({"lang_pred": names[np.where(fine, best, -1)], "score": np.where(fine, score, 0.0), "bits_per_byte": rate})
 
-    marked = F.pandas_udf(predict, "lang_pred string, score double, bits_per_byte double")
+    # not deterministic for the optimizer: else a filter on the result would have each text scored twice
+    marked = F.pandas_udf(predict, "lang_pred string, score double, bits_per_byte double").asNondeterministic()
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
     return docs.select(*columns, marked("text").alias("_p")).select(*columns, "_p.lang_pred", "_p.score", "_p.bits_per_byte")
 
