@@ -1,46 +1,30 @@
-"""Review packets: one nested row for each patch."""
+"""Review packets: one nested row for each patch.
+
+Files are worked out row by row; one shuffle of their small rows, without texts, gathers each patch, and what needs all files
+of a patch (missing tests, order, clusters, sums) is worked out on the arrays of its row.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import replace
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.operators.parse import diff_files, diff_lines
-from patchlens.operators.rules import Options, assessed, label_of, score_of, scored, severity_of, weight_of, with_missing_tests
-from patchlens.plans.catalog import HEADLINES, SEVERITY_RANK, TITLES
-
-
-def _map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
-
-
-def _is(value: str) -> Callable[[Column], Column]:
-    return lambda x: x == value
-
-
-def titles(lang: str) -> Column:
-    return _map({r: t[lang == "pt"] for r, t in TITLES.items()})
-
-
-def ranked(files: DataFrame, order: str = "story") -> DataFrame:
-    """Adds rank, the place in the reading order."""
-    path = F.collate("path", "UNICODE")
-    keys = [F.desc("score"), F.col("band")] if order == "risk" else [F.col("band"), F.desc("score")]
-    return files.withColumn("rank", F.row_number().over(Window.partitionBy("patch_id").orderBy(*keys, path, "file_no")))
-
+from patchlens.functions.steps import Step, applied, built_once
+from patchlens.operators.parse import diff_files, diff_hunks, diff_lines
+from patchlens.operators.redact import redact_lines, redact_text
+from patchlens.operators.rules import FINDING_KIND, Options, assessed, covered, finding, graded, is_live_test, label_of, said, score_of
+from patchlens.plans.catalog import CLUSTER_TITLES, EMPTY_LEDE, HEADLINES, LEDE, ROLE_NAMES, SEVERITY_RANK
 
-def files_of(patches: DataFrame, options: Options = Options()) -> DataFrame:
-    """Scored files in reading order."""
-    return ranked(scored(with_missing_tests(assessed(diff_files(diff_lines(patches), texts=True), options))), options.order)
+FILE_FIELDS = ["file_no", "path", "old_path", "new_path", "previous_path", "status", "is_binary", "similarity", "n_hunks", "roles", "role", "stem", "cluster", "additions", "deletions", "changes"]
 
 
-def _sorted_rules(rules: Column) -> Column:
-    """Rule ids by severity, weight and name."""
-    rank = _map(SEVERITY_RANK)
-    keyed = F.transform(rules, lambda r: F.struct(F.element_at(rank, severity_of(r)).alias("s"), (-weight_of(r)).alias("w"), r.alias("r")))
-    return F.transform(F.array_sort(keyed), lambda x: x["r"])
+def looked_up(pairs: dict[str, tuple[str, str]], key: Column, lang: str) -> Column:
+    """The wording for key, or the key itself."""
+    words = F.create_map(*[F.lit(x) for k, v in pairs.items() for x in (k, said(v, lang))])
+    return F.coalesce(F.try_element_at(words, key), key)
 
 
 def short_name(path: Column, others: Column) -> Column:
@@ -49,41 +33,134 @@ def short_name(path: Column, others: Column) -> Column:
 
     def common(other: Column) -> Column:
         theirs = F.reverse(F.split(other, "/", -1))
-        return F.aggregate(F.sequence(F.lit(0), F.size(parts)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, i: F.when(a["go"] & (F.get(parts, i) == F.get(theirs, i)), F.struct((a["n"] + 1).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("go"))), lambda a: a["n"])
+        start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("go"))
+
+        def step(a: Column, i: Column) -> Column:
+            more = a["go"] & F.coalesce(F.get(parts, i) == F.get(theirs, i), F.lit(False))
+            return F.struct((a["n"] + more.cast("int")).alias("n"), more.alias("go"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(parts)), start, step, lambda a: a["n"])
 
     depth = F.least(F.size(parts), F.aggregate(F.filter(others, lambda o: o != path), F.lit(0), lambda a, o: F.greatest(a, common(o))) + 1)
-    return F.array_join(F.reverse(F.slice(parts, F.lit(1), depth)), "/")
+    # two files with the very same path stay alike, however much of it is shown
+    same = F.size(F.filter(others, lambda o: o == path)) > 1
+    return F.array_join(F.reverse(F.slice(parts, F.lit(1), F.when(same, F.size(parts)).otherwise(depth))), "/")
+
+
+def _sorted(files: Column, order: str) -> Column:
+    """Files in reading order. Paths compare by the root collation, equal ones by their place in the patch."""
+
+    def keyed(f: Column) -> Column:
+        keys = [(-f["score"]).alias("a"), f["band"].alias("b")] if order == "risk" else [f["band"].alias("a"), (-f["score"]).alias("b")]
+        return F.struct(*keys, F.collate(f["path"], "UNICODE").alias("c"), f["file_no"].alias("d"), f.alias("f"))
 
+    return F.transform(F.array_sort(F.transform(files, keyed)), lambda x: x["f"])
 
-def packets(patches: DataFrame, options: Options = Options(), files: DataFrame | None = None) -> DataFrame:
+
+def packets(patches: DataFrame, options: Options = Options(), spread: bool = False) -> DataFrame:
     """One row for each patch, also for one without a file that is kept."""
-    files = files_of(patches, options) if files is None else files
     lang = options.lang
-    files = files.withColumn("rules", _sorted_rules(F.col("rules")))
-    stop = F.struct(
-        "rank", "path", "status", "roles", "role", "additions", "deletions", "score", "label", "band", "disposition", "cluster", "rules",
-        F.coalesce(F.element_at(titles(lang), F.get("rules", F.lit(0))), F.col("role")).alias("reason"),
-    )
-    counted = ~F.col("role").isin("lockfile", "generated", "asset")
+    files = assessed(diff_files(patches, spread), options)
+    kept = (F.col("file_no") > 0) & ~F.col("out")
+    row = F.struct(*FILE_FIELDS, "findings", "gap")
     out = files.groupBy("patch_id").agg(
-        F.array_sort(F.collect_list(stop)).alias("files"), F.count(F.lit(1)).cast("int").alias("n_files"), F.max("n_ignored").cast("int").alias("n_ignored"),
-        F.sum("additions").cast("int").alias("additions"), F.sum("deletions").cast("int").alias("deletions"),
-        F.greatest(F.lit(2), F.floor(F.sum(F.when(counted, F.col("changes")).otherwise(0)) / 40 + 0.5)).cast("int").alias("minutes"),
+        F.min("id").alias("id"), F.count_if((F.col("file_no") > 0) & F.col("out")).cast("int").alias("n_ignored"),
+        F.collect_list(F.when(kept, row)).alias("_files"),
     )
-    out = patches.select("patch_id", F.substring(F.sha2("text", 256), 1, 8).alias("id")).join(out, "patch_id", "left")
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_files", "n_ignored", "additions", "deletions", "minutes")}).withColumn("files", F.coalesce("files", F.expr("array()").cast(dict(out.dtypes)["files"])))
+    now = options.now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
+    out = applied(out, _contents(replace(options, now=None))).withColumn("generated_at", F.lit(now))
+    return out.drop("_files", "_tests", "_top")
+
+
+@built_once
+def _contents(options: Options) -> list[Step]:
+    """The columns of a packet, step by step, from the patch's id, n_ignored and _files."""
+    lang = options.lang
+    steps: list[Step] = []
+    steps.append({"_tests": F.transform(F.filter("_files", is_live_test), lambda f: F.struct(F.lower(f["path"]).alias("path"), f["stem"].alias("stem")))})
+    gap = lambda f: F.when(f["gap"] & ~covered(f, F.col("_tests")), F.array(finding("missing-tests", lang, f["stem"]))).otherwise(F.array().cast(f"array<{FINDING_KIND}>"))
+    steps.append({"_files": F.transform("_files", lambda f: f.withField("findings", F.array_sort(F.concat(f["findings"], gap(f)))))})
+    steps.append({"_files": F.transform("_files", lambda f: F.struct(*[f[c].alias(c) for c in FILE_FIELDS], *graded(f, f["findings"])))})
+    reason = lambda f: F.coalesce(F.get(f["findings"], F.lit(0))["title"], looked_up(ROLE_NAMES, f["role"], lang))
+    steps.append({"files": F.transform(_sorted(F.col("_files"), options.order), lambda f, i: f.withField("rank", i + 1).withField("reason", reason(f)))})
+
+    total = lambda what, when=None: F.aggregate(F.col("files") if when is None else F.filter("files", when), F.lit(0), lambda a, f: a + f[what])
+    counted = total("changes", lambda f: ~f["role"].isin("lockfile", "generated", "asset"))
+    steps.append({"n_files": F.size("files"), "additions": total("additions"), "deletions": total("deletions")})
+    steps.append({"minutes": F.when(F.col("n_files") > 0, F.greatest(F.lit(2), F.floor(counted / 40 + 0.5))).otherwise(0).cast("int")})
     over = F.lit(False) if options.budget_minutes is None else (F.col("n_files") > 0) & (F.col("minutes") > F.lit(options.budget_minutes))
-    out = out.withColumn("over_budget", over)
-    rules = F.concat(F.flatten(F.transform("files", lambda f: f["rules"])), F.when(F.col("over_budget"), F.array(F.lit("over-budget"))).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("_rules", rules).withColumn("score", F.when(F.size("_rules") > 0, score_of(F.col("_rules"))).otherwise(0)).withColumn("label", label_of(F.col("_rules"), F.col("score")))
-    for s in SEVERITY_RANK:
-        out = out.withColumn(f"n_{s}", F.size(F.filter(F.transform("_rules", severity_of), _is(s))))
-    top = F.transform(F.slice("files", 1, 3), lambda f: f["path"])
-    head = F.element_at(_map({k: v[lang == "pt"] for k, v in HEADLINES.items()}), F.when(F.col("n_files") == 0, "empty").otherwise(F.col("label")))
-    out = out.withColumn("headline", head).withColumn("top", F.transform(top, lambda p: short_name(p, top)))
-    clusters = F.transform(F.array_distinct(F.transform("files", lambda f: f["cluster"])), lambda c: F.struct(c.alias("id"), F.transform(F.filter("files", lambda f: f["cluster"] == c), lambda f: f["path"]).alias("paths")))
-    words = ("ficheiros", "comece por") if lang == "pt" else ("files", "start with")
-    lede = F.concat_ws(" ", F.col("n_files").cast("string"), F.lit(f"{words[0]}, +"), F.col("additions").cast("string"), F.lit("−"), F.col("deletions").cast("string"), F.lit(", about"), F.col("minutes").cast("string"), F.lit(f"min; {words[1]}"), F.array_join("top", ", "))
+    steps.append({"over_budget": over})
+    budget = F.when(F.col("over_budget"), F.array(F.struct(finding("over-budget", lang, F.col("minutes").cast("string")).alias("f"), F.lit(None).cast("string").alias("path"), F.lit(1 << 30).alias("k"))))
+    each = F.flatten(F.transform("files", lambda f: F.transform(f["findings"], lambda x: F.struct(x.alias("f"), f["path"].alias("path"), f["rank"].alias("k")))))
+    each = F.concat(each, F.coalesce(budget, F.array().cast(f"array<struct<f:{FINDING_KIND},path:string,k:int>>")))
+    keyed = F.transform(each, lambda x: F.struct(x["f"]["rank"].alias("a"), x["f"]["lead"].alias("b"), F.collate(F.coalesce(x["path"], F.lit("")), "UNICODE").alias("c"), F.collate(x["f"]["rule_id"], "UNICODE").alias("d"), x["k"].alias("e"), x.alias("x")))
+    steps.append({"findings": F.transform(F.array_sort(keyed), lambda y: y["x"]["f"].withField("path", y["x"]["path"]))})
+    of = lambda rank: lambda f: f["rank"] == rank
+    counts = {f"n_{s}": F.size(F.filter("findings", of(rank))) for s, rank in SEVERITY_RANK.items()}
+    steps.append({"score": score_of(F.col("findings")), "_top": F.transform(F.slice("files", 1, 3), lambda f: f["path"]), **counts})
+    steps.append({"label": label_of(F.col("findings"), F.col("score")), "top": F.transform("_top", lambda p: short_name(p, F.col("_top")))})
+    stats = F.struct(F.col("n_files").alias("files"), F.col("n_ignored").alias("ignored"), "additions", "deletions", "minutes", F.col("score").alias("risk_score"), F.col("label").alias("risk_label"), F.struct(*[F.col(f"n_{s}").alias(s) for s in ("info", "low", "medium", "high")]).alias("counts"))
+    headline = F.when(F.col("n_files") == 0, F.lit(said(HEADLINES["empty"], lang))).otherwise(looked_up({k: v for k, v in HEADLINES.items() if k != "empty"}, F.col("label"), lang))
+    lede = F.format_string(said(LEDE, lang), "n_files", "additions", "deletions", "minutes", "n_high", F.array_join("top", ", "))
+    stops = F.transform("files", lambda f: F.struct(*[f[c].alias(c) for c in ("path", "reason", "label", "score", "disposition", "role")]))
     rank = {"none": -1, "info": 3, "low": 2, "medium": 1, "high": 0}[options.fail_on]
-    failed = F.exists("_rules", lambda r: F.element_at(_map(SEVERITY_RANK), severity_of(r)) <= rank)
-    return out.withColumn("clusters", clusters).withColumn("lede", F.when(F.col("n_files") == 0, "").otherwise(lede)).withColumn("gate_failed", failed).withColumn("version", F.lit(1)).withColumn("language", F.lit(lang)).withColumn("order", F.lit(options.order)).drop("_rules")
+    steps.append({
+        "version": F.lit(1), "language": F.lit(lang), "order": F.lit(options.order), "stats": stats, "headline": headline,
+        "lede": F.when(F.col("n_files") == 0, F.lit(said(EMPTY_LEDE, lang))).otherwise(lede), "reading_order": stops, "clusters": _clusters(lang),
+        "gate_failed": F.exists("findings", lambda f: f["rank"] <= rank),
+    })
+    return steps
+
+
+def _clusters(lang: str) -> Column:
+    """Clusters in the order in which files are read; the ranks of a cluster are found by sorting (cluster, rank) once."""
+    # a file starts its cluster where the one before it, in the order of (cluster, rank), is of another
+    by = F.array_sort(F.transform("files", lambda f: F.struct(f["cluster"].alias("c"), f["rank"].alias("k"), f["path"].alias("p"))))
+    start = F.filter(F.transform(by, lambda x, i: F.when((i == 0) | (F.get(by, i - 1)["c"] != x["c"]), F.struct(x["k"].alias("k"), x["c"].alias("c"), i.alias("i")))), lambda x: x.isNotNull())
+    whole = F.transform(start, lambda s, j: F.struct(s["k"].alias("k"), s["c"].alias("c"), F.slice(by, s["i"] + 1, F.coalesce(F.get(start, j + 1)["i"], F.size(by)) - s["i"]).alias("of")))
+    return F.transform(F.array_sort(whole), lambda s: F.struct(s["c"].alias("id"), looked_up(CLUSTER_TITLES, s["c"], lang).alias("title"), F.transform(s["of"], lambda x: x["p"]).alias("paths")))
+
+
+def files_of(patches: DataFrame, options: Options = Options(), spread: bool = False) -> DataFrame:
+    """One row for each kept file, in the packet's order by rank."""
+    return packets(patches, options, spread).select("patch_id", F.inline("files"))
+
+
+def findings_of(packets: DataFrame) -> DataFrame:
+    """One row for each finding of a packet, numbered in its order."""
+    rows = packets.select("patch_id", F.posexplode("findings").alias("_at", "f"))
+    return rows.select("patch_id", (F.col("_at") + 1).alias("finding_no"), *[f"f.{c}" for c in ("rule_id", "severity", "weight", "path", "title", "detail")])
+
+
+def with_hunks(packets: DataFrame, patches: DataFrame, redacted: bool = False) -> DataFrame:
+    """Packets whose files have `hunks` with their numbered lines, masked if redacted is set. For showing packets; scores don't need it."""
+    lines = redact_lines(diff_lines(patches)) if redacted else diff_lines(patches).withColumn("redacted", F.col("text"))
+    place = ["patch_id", "file_no", "hunk_no"]
+    line = F.struct("line_no", "kind", F.col("redacted").alias("text"), "old_line", "new_line")
+    bodies = lines.groupBy(*place).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    heads = diff_hunks(patches).drop("body").join(bodies, place, "left")
+    none = F.array().cast(bodies.schema["lines"].dataType)
+    hunk = F.struct("hunk_no", "old_start", "old_count", "new_start", "new_count", "section", F.coalesce("lines", none).alias("lines"))
+    by_file = heads.groupBy("patch_id", "file_no").agg(F.array_sort(F.collect_list(hunk)).alias("hunks"))
+    by_patch = by_file.groupBy("patch_id").agg(F.map_from_entries(F.collect_list(F.struct("file_no", "hunks"))).alias("_hunks"))
+    empty = F.array().cast(by_file.schema["hunks"].dataType)
+    shown = F.transform("files", lambda f: f.withField("hunks", F.coalesce(F.try_element_at(F.col("_hunks"), f["file_no"]), empty)))
+    return packets.join(by_patch, "patch_id", "left").withColumn("files", shown).drop("_hunks")
+
+
+def redact_packets(packets: DataFrame) -> DataFrame:
+    """Packets that may be shown: headline, lede, the texts of findings and reasons masked; paths and sections stay.
+
+    Lines are masked by with_hunks(..., redacted=True).
+    """
+    masked = lambda f: f.withField("title", redact_text(f["title"])).withField("detail", redact_text(f["detail"]))
+    files = F.transform("files", lambda f: f.withField("reason", redact_text(f["reason"])).withField("findings", F.transform(f["findings"], masked)))
+    stops = F.transform("reading_order", lambda s: s.withField("reason", redact_text(s["reason"])))
+    return packets.withColumns({"headline": redact_text(F.col("headline")), "lede": redact_text(F.col("lede")), "files": files, "findings": F.transform("findings", masked), "reading_order": stops})
+
+
+def review(patches: DataFrame, options: Options = Options(), redact: bool = True, hunks: bool = False) -> DataFrame:
+    """What a user asks for: packets, masked unless told otherwise, with their lines if wanted."""
+    out = packets(patches, options)
+    out = redact_packets(out) if redact else out
+    return with_hunks(out, patches, redact) if hunks else out

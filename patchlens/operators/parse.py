@@ -1,18 +1,30 @@
-"""Unified diffs to lines and files, by running windows within a patch."""
+"""Unified diffs to files, hunks and lines.
+
+A patch is split into files at their headers, and a file into sections at its @@ lines, by two splits with a look-ahead. What
+is asked of a whole file (paths, status, added and removed lines) is then worked out on the arrays of its row: no shuffle and
+no sort. Lines are numbered by one window over a hunk, so a task needs one hunk, however many files a patch has.
+
+Numbers in headers that don't fit 32 bits are null, and so are line numbers that follow from them. A null text is an empty
+patch; of several rows with one patch_id the files are put together.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlens.functions.patterns import jvm, trimmed
+from patchlens.functions.steps import Step, built_once
 
 HUNK = jvm(r"^@@\s+-(\d+)(?:,(\d+))?\s+\+(\d+)(?:,(\d+))?\s+@@(.*)$")
 TOKEN = r'("(?:[^"\\]|\\.)*"?|[^ ]+)'
+BINARY = "\nGIT binary patch"
 
 
 def _count(raw: Column, group: int) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(raw, HUNK, group), F.lit("")), F.lit("1")).cast("int")
+    return F.coalesce(F.nullif(F.regexp_extract(raw, HUNK, group), F.lit("")), F.lit("1")).try_cast("int")
 
 
 def _bare(path: Column) -> Column:
@@ -27,77 +39,106 @@ def _named(raw: Column) -> Column:
     return F.when(path != "/dev/null", F.regexp_replace(path, r"\A[ab]/", ""))
 
 
-def diff_lines(patches: DataFrame) -> DataFrame:
-    """patches(patch_id, text) -> one row for each line from the first file header on, with its place and part.
+def _starts(*words: str) -> Callable[[Column], Column]:
+    def one(x: Column) -> Column:
+        out = x.startswith(words[0])
+        for w in words[1:]:
+            out = out | x.startswith(w)
+        return out
+
+    return one
 
-    part: header, hunk (a valid @@ line), broken (another @@ line) or line; kind, text, old_line, new_line for lines.
-    One shuffle, on patch_id, serves all windows.
-    """
-    whole = F.regexp_replace("text", "\r\n", "\n")
-    parts = F.split(whole, "\n", -1)
-    rows = patches.select("patch_id", F.posexplode(F.when(whole.endswith("\n") | (whole == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)).alias("line_no", "raw"))
-    raw = F.col("raw")
-    heads = raw.startswith("diff --git ") | raw.startswith("diff --cc ")
-    rows = rows.withColumn("is_head", heads).withColumn("file_no", F.sum(heads.cast("int")).over(Window.partitionBy("patch_id").orderBy("line_no"))).where("file_no > 0")
-    in_file = Window.partitionBy("patch_id", "file_no").orderBy("line_no")
-    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    at = raw.startswith("@@")
-    rows = rows.withColumn("is_hunk", at & raw.rlike(HUNK)).withColumn("in_hunk", F.coalesce(F.last(F.when(at, F.col("is_hunk")), ignorenulls=True).over(earlier), F.lit(False)))
-    marker = raw.startswith("GIT binary patch") & ~F.col("in_hunk")
-    rows = rows.withColumn("skipped", F.coalesce(F.max(marker).over(earlier), F.lit(False))).where("not skipped")
-    rows = rows.withColumn("hunk_no", F.sum(F.col("is_hunk").cast("int")).over(in_file))
-    body = F.col("in_hunk") & ~at & ~F.col("is_head") & ~raw.startswith("\\")
-    kind = F.when(body, F.when(raw.startswith("+"), "add").when(raw.startswith("-"), "del").otherwise("context"))
-    rows = rows.withColumn("kind", kind).withColumn("text", F.when(body, F.when(raw.rlike(r"\A[+\- ]"), F.substr(raw, F.lit(2))).otherwise(raw)))
-    in_hunk = Window.partitionBy("patch_id", "file_no", "hunk_no").orderBy("line_no")
-    before = in_hunk.rowsBetween(Window.unboundedPreceding, -1)
-
-    def number(group: int, kinds: tuple[str, str]) -> Column:
-        start = F.first(F.when(F.col("is_hunk"), _count(raw, group)), ignorenulls=True).over(in_hunk)
-        return F.when(F.col("kind").isin(*kinds), (start + F.coalesce(F.sum(F.col("kind").isin(*kinds).cast("int")).over(before), F.lit(0))).cast("int"))
-
-    part = F.when(F.col("is_hunk"), "hunk").when(at, "broken").when(F.col("is_head") | ~F.col("in_hunk"), "header").when(body, "line").otherwise("note")
-    return rows.select("patch_id", "file_no", "hunk_no", "line_no", part.alias("part"), "is_head", "kind", "text", number(1, ("del", "context")).alias("old_line"), number(3, ("add", "context")).alias("new_line"), "raw")
-
-
-def diff_hunks(lines: DataFrame) -> DataFrame:
-    raw = F.col("raw")
-    return lines.where("part = 'hunk'").select("patch_id", "file_no", "hunk_no", _count(raw, 1).alias("old_start"), _count(raw, 2).alias("old_count"), _count(raw, 3).alias("new_start"), _count(raw, 4).alias("new_count"), trimmed(F.regexp_extract(raw, HUNK, 5)).alias("section"))
 
+def _body(section: Column) -> Column:
+    """The lines of a section without its first."""
+    lines = F.split(section, "\n", -1)
+    return F.slice(lines, F.lit(2), F.size(lines))
 
-def diff_files(lines: DataFrame, texts: bool = False) -> DataFrame:
-    """One row for each file header; with texts, the added and removed lines in order."""
-    raw, head = F.col("raw"), F.col("part") == "header"
-    tokens = F.regexp_extract_all(F.regexp_replace(raw, r"\Adiff --git ", ""), F.lit(TOKEN), F.lit(1))
-    plain = head & ~F.col("is_head")
-    starts = lambda x: plain & raw.startswith(x)
+
+def split_files(patches: DataFrame, spread: bool = False) -> DataFrame:
+    """patches(patch_id, text) -> patch_id, id, file_no, sections; file_no 0 is what stands before the first file.
+
+    id names the patch by its content. sections: hunk (whether its first line is a valid @@ line) and text; of a file with a
+    binary body nothing after the mark of it. With spread, files are dealt out over tasks, for few patches of many files.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    whole = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    whole = F.when(whole.endswith("\n"), F.substr(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+    chunks = F.split(F.concat(F.lit("\n"), whole), r"\n(?=diff --(?:git|cc) )", -1)
+    rows = patches.select("patch_id", F.substring(F.sha2(text, 256), 1, 8).alias("id"), F.posexplode(chunks).alias("file_no", "chunk"))
+    if spread:
+        rows = rows.repartition("patch_id", "file_no")
+    parts = F.split("chunk", r"\n(?=@@)", -1)
+    sections = F.transform(parts, lambda s, i: F.struct(((i > 0) & F.substring_index(s, "\n", 1).rlike(HUNK)).alias("hunk"), s.alias("text")))
+    rows = rows.select("patch_id", "id", "file_no", F.when(F.col("file_no") > 0, sections).alias("sections"), F.col("chunk").contains(BINARY).alias("_binary"))
+    marked = F.array_position(F.transform("sections", lambda s: ~s["hunk"] & s["text"].contains(BINARY)), True).cast("int")
+    rows = rows.withColumn("_cut", F.when(F.col("_binary"), marked).otherwise(0))
+    last = F.get("sections", F.col("_cut") - 1)
+    cut = F.concat(F.slice("sections", F.lit(1), F.greatest(F.col("_cut") - 1, F.lit(0))), F.array(F.struct(last["hunk"].alias("hunk"), F.concat(F.substring_index(last["text"], BINARY, 1), F.lit(BINARY)).alias("text"))))
+    return rows.select("patch_id", "id", "file_no", F.when(F.col("_cut") > 0, cut).otherwise(F.col("sections")).alias("sections"))
+
+
+def diff_files(patches: DataFrame, spread: bool = False) -> DataFrame:
+    """One row for each file, with its added and removed lines in order, and one with file_no 0 for each patch."""
+    rows = split_files(patches, spread)
+    for step in _file_columns():
+        rows = rows.select("patch_id", "id", "file_no", *[c.alias(n) for n, c in step.items()])
+    return rows
+
+
+@built_once
+def _file_columns() -> list[Step]:
+    """What diff_files() works out of a file's sections, step by step."""
+    heads = F.flatten(F.transform(F.filter("sections", lambda s: ~s["hunk"]), lambda s: _body(s["text"])))
+    body = F.filter(F.flatten(F.transform(F.filter("sections", lambda s: s["hunk"]), lambda s: _body(s["text"]))), lambda x: ~x.startswith("\\"))
+    first = F.substring_index(F.get("sections", F.lit(0))["text"], "\n", 1)
+    sections = {"_first": first, "_heads": heads, "_body": body, "n_hunks": F.size(F.filter("sections", lambda s: s["hunk"]))}
+    tokens = F.regexp_extract_all(F.substr("_first", F.lit(len("diff --git ") + 1)), F.lit(TOKEN), F.lit(1))
+    some = lambda *words: F.exists("_heads", _starts(*words))
+    last = lambda *words: F.try_element_at(F.filter("_heads", _starts(*words)), F.lit(-1))
 
     def path(side: int, verb: str, mark: str) -> Column:
-        found = (
-            F.when(F.col("is_head"), F.struct(F.when(raw.startswith("diff --git "), _bare(F.get(tokens, F.lit(side)))).alias("path")))
-            .when(starts(f"rename {verb} ") | starts(f"copy {verb} "), F.struct(trimmed(F.regexp_replace(raw, rf"\A\w+ {verb} ", "")).alias("path")))
-            .when(starts(mark), F.struct(_named(raw).alias("path")))
-        )
-        return F.max_by(found, F.when(found.isNotNull(), F.col("line_no")))["path"]
-
-    similarity = F.regexp_extract(raw, r"\Asimilarity index (\d+)%", 1)
-    some = lambda c: F.coalesce(F.max(c), F.lit(False))
-    out = [
-        path(0, "from", "--- ").alias("old_path"), path(1, "to", "+++ ").alias("new_path"),
-        some(starts("copy ")).alias("_copied"), some(starts("rename ")).alias("_renamed"), some(starts("deleted file mode ")).alias("_deleted"), some(starts("new file mode ")).alias("_new"),
-        some(starts("Binary files ") | starts("GIT binary patch")).alias("is_binary"),
-        F.max_by(F.when(starts("similarity index "), similarity), F.when(starts("similarity index ") & (similarity != ""), F.col("line_no"))).cast("int").alias("similarity"),
-        F.count_if(F.col("kind") == "add").cast("int").alias("additions"), F.count_if(F.col("kind") == "del").cast("int").alias("deletions"), F.count_if(F.col("part") == "hunk").cast("int").alias("n_hunks"),
-    ]
-    if texts:
-        for kind in ("add", "del"):
-            listed = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("line_no", "text"))))
-            out.append(F.transform(listed, lambda x: x["text"]).alias(f"{kind}_texts"))
-    files = lines.groupBy("patch_id", "file_no").agg(*out)
+        line = last(f"rename {verb} ", f"copy {verb} ", mark)
+        given = F.when(F.col("_first").startswith("diff --git "), _bare(F.get(tokens, F.lit(side))))
+        return F.when(line.isNull(), given).when(line.startswith(mark), _named(line)).otherwise(trimmed(F.regexp_replace(line, rf"\A\w+ {verb} ", "")))
+
+    texts = lambda sign: F.transform(F.filter("_body", lambda x: x.startswith(sign)), lambda x: F.substr(x, F.lit(2)))
+    parts = {
+        "n_hunks": F.col("n_hunks"), "old_path": path(0, "from", "--- "), "new_path": path(1, "to", "+++ "), "_copied": some("copy from ", "copy to "), "_renamed": some("rename from ", "rename to "),
+        "_deleted": some("deleted file mode "), "_new": some("new file mode "), "is_binary": some("Binary files ", "GIT binary patch"),
+        "similarity": F.regexp_extract(last("similarity index "), r"([0-9]+)%", 1).try_cast("int"), "add_texts": texts("+"), "del_texts": texts("-"),
+    }
     status = (
         F.when(F.col("_copied"), "copied").when(F.col("_renamed"), "renamed")
         .when(F.col("_deleted") | (F.col("new_path").isNull() & F.col("old_path").isNotNull()), "deleted")
         .when(F.col("_new") | (F.col("old_path").isNull() & F.col("new_path").isNotNull()), "added").otherwise("modified")
     )
     whole = F.coalesce(F.nullif("new_path", F.lit("")), F.nullif("old_path", F.lit("")), F.lit("(unknown)"))
-    return files.withColumn("status", status).withColumn("path", whole).drop("_copied", "_renamed", "_deleted", "_new")
+    kept = {c: F.col(c) for c in ("n_hunks", "old_path", "new_path", "is_binary", "similarity", "add_texts", "del_texts")}
+    out = kept | {"status": status, "path": whole, "additions": F.size("add_texts"), "deletions": F.size("del_texts")}
+    return [sections, parts, out | {"previous_path": F.when(F.col("old_path") != whole, F.col("old_path"))}]
+
+
+def diff_hunks(patches: DataFrame, spread: bool = False) -> DataFrame:
+    """One row for each hunk: its place, its numbers, its section and its lines as they stand."""
+    hunks = F.filter("sections", lambda s: s["hunk"])
+    rows = split_files(patches, spread).where("file_no > 0").select("patch_id", "file_no", F.posexplode(hunks).alias("at", "part"))
+    rows = rows.select("patch_id", "file_no", (F.col("at") + 1).alias("hunk_no"), F.substring_index("part.text", "\n", 1).alias("_raw"), _body(F.col("part.text")).alias("body"))
+    numbers = [_count(F.col("_raw"), k).alias(n) for k, n in enumerate(("old_start", "old_count", "new_start", "new_count"), 1)]
+    return rows.select("patch_id", "file_no", "hunk_no", *numbers, trimmed(F.regexp_extract("_raw", HUNK, 5)).alias("section"), "body")
+
+
+def diff_lines(patches: DataFrame, spread: bool = False) -> DataFrame:
+    """One row for each line of a hunk, with its numbers in the old and the new file."""
+    rows = diff_hunks(patches, spread).select("patch_id", "file_no", "hunk_no", "old_start", "new_start", F.posexplode("body").alias("line_no", "raw")).where(~F.col("raw").startswith("\\"))
+    raw = F.col("raw")
+    kind = F.when(raw.startswith("+"), "add").when(raw.startswith("-"), "del").otherwise("context")
+    rows = rows.select("patch_id", "file_no", "hunk_no", "old_start", "new_start", "line_no", kind.alias("kind"), F.when(raw.rlike(r"\A[+\- ]"), F.substr(raw, F.lit(2))).otherwise(raw).alias("text"))
+    before = Window.partitionBy("patch_id", "file_no", "hunk_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+
+    def number(start: str, other: str) -> Column:
+        own = F.col("kind") != other
+        at = F.col(start).cast("long") + F.coalesce(F.sum(own.cast("int")).over(before), F.lit(0))
+        return F.when(own, at.try_cast("int"))
+
+    return rows.select("patch_id", "file_no", "hunk_no", "line_no", "kind", "text", number("old_start", "add").alias("old_line"), number("new_start", "del").alias("new_line"))

@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 
 from patchlens.functions.patterns import DOTS, KEY_BEGIN, KEY_END, KEY_MARK, SECRETS, jvm
 
+KEY_STOP = "-----END PRIVATE KEY-----"
+
 
 def redact_text(text: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(text, KEY_BEGIN, KEY_MARK), KEY_END, "-----END PRIVATE KEY-----")
-    for name, pattern, mask in SECRETS:
-        if name != "private key block":
-            text = F.regexp_replace(text, jvm(pattern), mask)
-    return text
+    """Text with masks. A text without the plain part of any credential is passed by after one scan for each."""
+    some = F.lit(False)
+    masked = F.regexp_replace(F.regexp_replace(text, KEY_BEGIN, KEY_MARK), KEY_END, KEY_STOP)
+    for _, pattern, mask, plain in SECRETS:
+        some = some | text.contains(plain)
+        if mask != KEY_MARK:
+            masked = F.regexp_replace(masked, jvm(pattern), mask)
+    return F.when(some, masked).otherwise(text)
 
 
 def redact_lines(lines: DataFrame) -> DataFrame:
     """Lines of hunks with `redacted`: whole lines from a key's first to its last, masks elsewhere."""
-    begin, end = F.col("text").rlike(KEY_BEGIN), F.col("text").rlike(KEY_END)
+    text = F.col("text")
+    key = text.contains("PRIVATE KEY-----")
+    begin, end = key & text.rlike(KEY_BEGIN), key & text.rlike(KEY_END)
     before = Window.partitionBy("patch_id", "file_no", "hunk_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.last(F.when(begin, True).when(end, False), ignorenulls=True).over(before), F.lit(False))
-    return lines.withColumn("redacted", F.when(begin, KEY_MARK).when(inside, DOTS).otherwise(redact_text(F.col("text"))))
-
-
-def redact_packets(packets: DataFrame) -> DataFrame:
-    """Packets that may be shown: headline, lede and reasons masked; paths stay."""
-    files = F.transform("files", lambda f: f.withField("reason", redact_text(f["reason"])))
-    return packets.withColumn("headline", redact_text(F.col("headline"))).withColumn("lede", redact_text(F.col("lede"))).withColumn("files", files)
+    return lines.withColumn("redacted", F.when(begin, KEY_MARK).when(inside, DOTS).otherwise(redact_text(text)))

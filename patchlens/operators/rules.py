@@ -1,21 +1,22 @@
-"""Rules: boolean columns over files, gathered into findings."""
+"""Rules: conditions over files, gathered into findings."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.functions import patterns as P
 from patchlens.functions.patterns import matches, trimmed
+from patchlens.functions.steps import Step, applied, built_once
 from patchlens.operators.classify import band_of, base_name, cluster_of, covers_named, ignored, is_test, primary_role, roles_of, stem_of
-from patchlens.plans.catalog import RULES
+from patchlens.plans.catalog import DETAILS, RULES, SEVERITY_RANK, SURFACES, TITLES
 
 
 @dataclass(frozen=True)
 class Options:
-    """What a review may be told."""
+    """What a review may be told. now: the time it bears, as in 2024-05-31T12:00:00Z; by default that of the call."""
 
     lang: str = "en"
     order: str = "story"
@@ -24,16 +25,43 @@ class Options:
     budget_minutes: float | None = None
     ignore: tuple[str, ...] = field(default_factory=tuple)
     fail_on: str = "none"
+    now: str | None = None
+
+
+def said(pair: tuple[str, str], lang: str) -> str:
+    return pair[lang == "pt"]
+
+
+def finding(rule: str, lang: str, what: Column | None = None) -> Column:
+    """A finding as a struct that sorts by severity, weight (the larger first) and rule. what: stands in title and detail for {}."""
+    severity, weight = RULES[rule]
+
+    def worded(pair: tuple[str, str]) -> Column:
+        text = said(pair, lang)
+        return F.lit(text) if "{}" not in text else F.concat(*[x for k, part in enumerate(text.split("{}")) for x in ([what] if k else []) + [F.lit(part)]])
+
+    return F.struct(
+        F.lit(SEVERITY_RANK[severity]).alias("rank"), F.lit(-weight).alias("lead"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"),
+        F.lit(weight).alias("weight"), worded(TITLES[rule]).alias("title"), worded(DETAILS[rule]).alias("detail"),
+    )
+
+
+FINDING_KIND = "struct<rank:int,lead:int,rule_id:string,severity:string,weight:int,title:string,detail:string>"
 
 
 def _has(role: str) -> Column:
     return F.array_contains("roles", role)
 
 
-def _named(patterns: list[tuple], blob: Column, path: Column | None = None) -> Column:
-    """The names of the patterns that match, joined."""
-    hits = [F.when(matches(blob, p[1]) & (matches(path, p[2]) if path is not None and p[2] else F.lit(True)), F.lit(p[0])) for p in patterns]
-    return F.array_join(F.filter(F.array(*hits), lambda x: x.isNotNull()), ", ")
+def _named(patterns: list[tuple], lang: str, blob: Column, path: Column | None = None) -> Column:
+    """The names of the patterns that match, joined. The pattern runs where the plain part of its matches occurs."""
+    hits = []
+    for names, pattern, where, plain in patterns:
+        hit = blob.contains(plain)
+        if path is not None and where:
+            hit = matches(path, where) & hit
+        hits.append(F.when(hit & matches(blob, pattern), F.lit(said(names, lang))))
+    return F.concat_ws(", ", *hits)
 
 
 def _manifest_changed(base: Column, lines: Column) -> Column:
@@ -47,111 +75,104 @@ def _manifest_changed(base: Column, lines: Column) -> Column:
 
 
 def assessed(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """files with texts -> kept files with roles, role, stem, cluster, and findings (rule ids) but for missing-tests.
+    """Files -> the same without their texts, with roles, role, stem, cluster, `out` (left out by a glob) and findings but for missing-tests.
 
-    Adds `ignored`, the number of files of the patch that the globs leave out.
+    `gap` tells whether a file wants a test. All of it is worked out within a row.
     """
-    path = F.col("path")
-    files = files.withColumn("_out", ignored(path, list(options.ignore))).withColumn("n_ignored", F.sum(F.col("_out").cast("int")).over(Window.partitionBy("patch_id"))).where("not _out").drop("_out")
-    files = files.withColumn("roles", roles_of(path)).withColumn("role", primary_role(F.col("roles")))
-    files = files.withColumn("stem", stem_of(path)).withColumn("cluster", cluster_of(path, F.col("role"))).withColumn("changes", F.col("additions") + F.col("deletions"))
-    files = files.withColumn("blob", F.array_join("add_texts", "\n")).withColumn("changed", F.concat("add_texts", "del_texts"))
-    blob, role, base = F.col("blob"), F.col("role"), base_name(path)
+    return applied(files, _assessment(replace(options, order="", budget_minutes=None, fail_on="", now=None))).drop("_base", "_blob", "_white", "_secrets", "_execs", "_high", "_publish", "add_texts", "del_texts")
+
+
+@built_once
+def _assessment(options: Options) -> list[Step]:
+    """The columns that assessed() adds, step by step."""
+    lang, path = options.lang, F.col("path")
+    steps = [{
+        "out": ignored(path, list(options.ignore)), "roles": roles_of(path), "stem": stem_of(path), "changes": F.col("additions") + F.col("deletions"), "_base": base_name(path), "_blob": F.array_join("add_texts", "\n"),
+    }, {"role": primary_role(F.col("roles"))}]
+    blob, role = F.col("_blob"), F.col("role")
     sorted_trim = lambda c: F.array_sort(F.transform(c, trimmed))
-    white = (F.size("add_texts") > 0) & (F.size("add_texts") == F.size("del_texts")) & (sorted_trim("add_texts") == sorted_trim("del_texts")) & (F.array_sort("add_texts") != F.array_sort("del_texts"))
-    files = files.withColumn("_white", white).withColumn("secrets", _named(P.SECRETS, blob)).withColumn("execs", _named(P.EXECS, blob, path))
-    timing = F.exists("add_texts", lambda x: matches(x, P.DIGEST_COMPARE, True) & ~matches(x, P.SENTINEL_COMPARE))
+    even = (F.size("add_texts") > 0) & (F.size("add_texts") == F.size("del_texts"))
+    white = even & (F.array_sort("add_texts") != F.array_sort("del_texts")) & (sorted_trim("add_texts") == sorted_trim("del_texts"))
+    steps.append({"cluster": cluster_of(path, role), "_white": white, "_secrets": _named([(n, p, None, x) for n, p, _, x in P.SECRETS], lang, blob), "_execs": _named(P.EXECS, lang, blob, path), "_publish": _has("ci") & matches(blob, P.CI_PUBLISH)})
+    compared = (blob.contains("==") | blob.contains("!=")) & blob.rlike("(?i)signature|digest|hmac")
+    timing = compared & F.exists("add_texts", lambda x: matches(x, P.DIGEST_COMPARE, True) & ~matches(x, P.SENTINEL_COMPARE))
     api_file = F.lit(False)
     for pattern, ignore_case in P.API_FILE:
         api_file = api_file | matches(path, pattern, ignore_case)
-    high = [
-        ("secret-pattern", F.col("secrets") != ""),
-        ("code-exec", F.col("execs") != ""),
-        ("timing-compare", ~_has("test") & timing),
-        ("workflow-permissions", _has("ci") & matches(blob, P.CI_WRITE)),
-        ("privileged-trigger", _has("ci") & matches(blob, P.CI_TRIGGER)),
-        ("deleted-tests", (F.col("status") == "deleted") & is_test(path)),
-        ("migration", _has("migration") | (path.endswith(".sql") & matches(blob, P.DDL, True))),
-    ]
-    files = files.withColumn("_high", F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in high]), lambda x: x.isNotNull()))
-    publish = matches(blob, P.CI_PUBLISH)
-    rest = [
-        ("ci-publish", _has("ci") & publish),
-        ("html-sink", matches(blob, P.HTML_SINK)),
-        ("sensitive-surface", (F.size("_high") == 0) & ~_has("test") & (_has("auth") | _has("crypto") | _has("payment")) & (F.col("status") != "deleted") & (F.col("changes") > 0)),
-        ("dependency-manifest", _has("deps") & _manifest_changed(base, F.col("changed"))),
-        ("lockfile", _has("lockfile") & ((F.col("n_hunks") > 0) | F.col("is_binary") | (F.col("changes") > 0))),
-        ("api-change", api_file & ~_has("test") & F.exists("changed", lambda x: matches(x, P.EXPORT))),
-        ("runtime-config", _has("config")),
-        ("large-file", ~role.isin("lockfile", "generated", "asset", "docs") & (F.col("changes") >= F.lit(options.large_file_lines))),
-        ("ci-changed", _has("ci") & ~publish & ~F.arrays_overlap("_high", F.array(F.lit("workflow-permissions"), F.lit("privileged-trigger")))),
-        ("binary-file", F.col("is_binary")),
-        ("generated-file", _has("generated")),
-    ]
-    found = F.concat("_high", F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in rest]), lambda x: x.isNotNull()))
-    files = files.withColumn("rules", F.when(F.col("_white"), F.array(F.lit("whitespace-only"))).otherwise(found))
+    one = lambda rule, when, what=None: F.when(when, finding(rule, lang, what))
+    found = lambda *x: F.filter(F.array(*x), lambda f: f.isNotNull())
+    high = found(
+        one("secret-pattern", F.col("_secrets") != "", F.col("_secrets")),
+        one("code-exec", F.col("_execs") != "", F.col("_execs")),
+        one("timing-compare", ~_has("test") & timing),
+        one("workflow-permissions", _has("ci") & matches(blob, P.CI_WRITE)),
+        one("privileged-trigger", _has("ci") & matches(blob, P.CI_TRIGGER)),
+        one("deleted-tests", (F.col("status") == "deleted") & is_test(path)),
+        one("migration", _has("migration") | (path.endswith(".sql") & matches(blob, P.DDL, True))),
+    )
+    steps.append({"_high": high})
+    surface = F.coalesce(*[F.when(_has(r), F.lit(said(SURFACES[r], lang))) for r in ("auth", "payment", "crypto")])
+    changed = F.concat("add_texts", "del_texts")
+    rest = found(
+        one("ci-publish", F.col("_publish")),
+        one("html-sink", matches(blob, P.HTML_SINK)),
+        one("sensitive-surface", (F.size("_high") == 0) & ~_has("test") & surface.isNotNull() & (F.col("status") != "deleted") & (F.col("changes") > 0), surface),
+        one("dependency-manifest", _has("deps") & _manifest_changed(F.col("_base"), changed)),
+        one("lockfile", _has("lockfile") & ((F.col("n_hunks") > 0) | F.col("is_binary") | (F.col("changes") > 0))),
+        one("api-change", api_file & ~_has("test") & F.exists(changed, lambda x: matches(x, P.EXPORT))),
+        one("runtime-config", _has("config")),
+        one("large-file", ~role.isin("lockfile", "generated", "asset", "docs") & (F.col("changes") >= F.lit(options.large_file_lines)), F.col("changes").cast("string")),
+        one("ci-changed", _has("ci") & ~F.col("_publish") & ~F.exists("_high", lambda f: f["rule_id"].isin("workflow-permissions", "privileged-trigger"))),
+        one("binary-file", F.col("is_binary")),
+        one("generated-file", _has("generated")),
+    )
     gap = (
         (F.col("status") != "deleted") & ~F.col("is_binary") & ~F.col("_white") & role.isin("source", "api", "payment", "auth", "crypto")
         & ~(_has("test") | _has("generated") | _has("docs")) & (F.col("changes") >= F.lit(options.test_gap_lines)) & (F.length("stem") >= 3)
     )
-    return files.withColumn("gap", gap).drop("_white", "_high", "blob", "changed")
-
-
-def _with_rule(files: DataFrame, missing: Column) -> DataFrame:
-    return files.withColumn("rules", F.when(missing, F.concat("rules", F.array(F.lit("missing-tests")))).otherwise(F.col("rules")))
-
+    findings = F.when(F.col("out"), F.array().cast(f"array<{FINDING_KIND}>")).when(F.col("_white"), F.array(finding("whitespace-only", lang))).otherwise(F.concat("_high", rest))
+    return [*steps, {"findings": findings, "gap": gap}]
 
-def with_missing_tests(files: DataFrame) -> DataFrame:
-    """Adds missing-tests to files with a gap that no live test of their patch covers.
-
-    The patch's live tests are gathered by a window on the key that parsing has dealt by already, so nothing is parsed twice.
-    """
-    test = F.struct(F.lower("path").alias("path"), F.col("stem").alias("stem"))
-    tests = F.collect_list(F.when(_has("test") & (F.col("status") != "deleted"), test)).over(Window.partitionBy("patch_id"))
-    files = files.withColumn("_tests", tests)
-    return _with_rule(files, F.col("gap") & ~F.exists("_tests", lambda t: covers_named(t["path"], t["stem"], F.col("stem")))).drop("_tests")
 
+def is_live_test(f: Column) -> Column:
+    return F.array_contains(f["roles"], "test") & (f["status"] != "deleted")
 
-def with_missing_tests_joined(files: DataFrame) -> DataFrame:
-    """The same by an anti join on the patch with a condition: the rule as it is stated, for files that are already stored."""
-    tests = files.where(_has("test") & (F.col("status") != "deleted")).select(F.col("patch_id").alias("_patch"), F.lower("path").alias("_path"), F.col("stem").alias("_stem"))
-    gaps = files.where("gap").select("patch_id", "file_no", "stem")
-    missing = gaps.join(tests, (F.col("patch_id") == F.col("_patch")) & covers_named(F.col("_path"), F.col("_stem"), F.col("stem")), "left_anti").select("patch_id", "file_no", F.lit(True).alias("_missing"))
-    return _with_rule(files.join(missing, ["patch_id", "file_no"], "left"), F.coalesce("_missing", F.lit(False))).drop("_missing")
 
+def covered(f: Column, tests: Column) -> Column:
+    """Whether one of tests(path in lower case, stem) belongs to the file."""
+    return F.exists(tests, lambda t: covers_named(t["path"], t["stem"], f["stem"]))
 
-def severity_of(rule: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for r, (s, _) in RULES.items() for x in (r, s)]), rule)
 
+def missing_tests_joined(files: DataFrame) -> DataFrame:
+    """patch_id, file_no of the files with a gap that no live test of their patch covers, by an anti join with a condition.
 
-def weight_of(rule: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for r, (_, w) in RULES.items() for x in (r, w)]), rule)
+    The rule as it is stated, for assessed files that are stored: it reads them twice.
+    """
+    kept = files.where("file_no > 0 and not out")
+    tests = kept.where(F.array_contains("roles", "test") & (F.col("status") != "deleted")).select(F.col("patch_id").alias("_patch"), F.lower("path").alias("_path"), F.col("stem").alias("_stem"))
+    gaps = kept.where("gap").select("patch_id", "file_no", "stem")
+    return gaps.join(tests, (F.col("patch_id") == F.col("_patch")) & covers_named(F.col("_path"), F.col("_stem"), F.col("stem")), "left_anti").select("patch_id", "file_no")
 
 
-def score_of(rules: Column) -> Column:
+def score_of(findings: Column) -> Column:
     """The sum of weights, at most 100 with a high finding and 69 without."""
-    top = F.when(F.exists(rules, lambda r: severity_of(r) == "high"), 100).otherwise(69)
-    return F.least(top, F.aggregate(rules, F.lit(0), lambda a, r: a + weight_of(r)))
+    top = F.when(has_severity(findings, "high"), 100).otherwise(69)
+    return F.least(top, F.aggregate(findings, F.lit(0), lambda a, f: a + f["weight"]))
 
 
-def label_of(rules: Column, score: Column) -> Column:
-    some = lambda s: F.exists(rules, lambda r: severity_of(r) == s)
-    return F.when(some("high") | (score >= 70), "high").when(some("medium") | (score >= 32), "medium").when(some("low") | (score >= 10), "low").otherwise("calm")
+def has_severity(findings: Column, severity: str) -> Column:
+    return F.exists(findings, lambda f: f["rank"] == SEVERITY_RANK[severity])
 
 
-def scored(files: DataFrame) -> DataFrame:
-    """Adds score, label, band (at most 20 with a high finding) and disposition."""
-    files = files.withColumn("score", score_of(F.col("rules"))).withColumn("label", label_of(F.col("rules"), F.col("score")))
-    high = F.exists("rules", lambda r: severity_of(r) == "high")
-    band = F.when(high, F.least(band_of(F.col("role")), F.lit(20))).otherwise(band_of(F.col("role")))
-    later = F.col("role").isin("lockfile", "generated", "asset", "docs")
-    return files.withColumn("band", band).withColumn("disposition", F.when(F.col("label") == "high", "now").when(later, "later").when(F.col("label") == "medium", "soon").otherwise("later"))
+def label_of(findings: Column, score: Column) -> Column:
+    some = lambda s: has_severity(findings, s)
+    return F.when(some("high") | (score >= 70), "high").when(some("medium") | (score >= 32), "medium").when(some("low") | (score >= 10), "low").otherwise("calm")
 
 
-def findings(files: DataFrame) -> DataFrame:
-    """One row for each finding, numbered within its patch: severity, weight, path, rule, place."""
-    rows = files.select("patch_id", "file_no", "path", F.posexplode("rules").alias("_at", "rule_id"))
-    rows = rows.withColumn("severity", severity_of(F.col("rule_id"))).withColumn("weight", weight_of(F.col("rule_id")))
-    rank = F.element_at(F.create_map(F.lit("high"), F.lit(0), F.lit("medium"), F.lit(1), F.lit("low"), F.lit(2), F.lit("info"), F.lit(3)), F.col("severity"))
-    order = Window.partitionBy("patch_id").orderBy(rank, F.desc("weight"), F.collate("path", "UNICODE"), "rule_id", "file_no")
-    return rows.withColumn("finding_no", F.row_number().over(order)).drop("_at")
+def graded(f: Column, findings: Column) -> list[Column]:
+    """findings, score, label, band (at most 20 with a high finding) and disposition of a file."""
+    high = has_severity(findings, "high")
+    band = F.when(high, F.least(band_of(f["role"]), F.lit(20))).otherwise(band_of(f["role"]))
+    later = f["role"].isin("lockfile", "generated", "asset", "docs")
+    disposition = F.when(high, "now").when(later, "later").when(has_severity(findings, "medium"), "soon").otherwise("later")
+    return [findings.alias("findings"), score_of(findings).alias("score"), label_of(findings, score_of(findings)).alias("label"), band.alias("band"), disposition.alias("disposition")]

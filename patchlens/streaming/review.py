@@ -7,16 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from patchlens.operators.packet import packets
-from patchlens.operators.redact import redact_packets
+from patchlens.operators.packet import review
 from patchlens.operators.rules import Options
 
 
 def review_stream(patches: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, options: Options = Options()) -> StreamingQuery:
     """Start a query that hands each batch's redacted packets to sink(frame, batch number)."""
-    return patches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: sink(redact_packets(packets(batch, options)), n)).start()
+    return patches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: sink(review(batch, options), n)).start()
 
 
 def append_to(path: str) -> Callable[[DataFrame, int], None]:
-    """A sink that may be repeated: a batch has a folder of its own."""
+    """A sink of JSON that may be repeated: a batch has a folder of its own."""
     return lambda frame, n: frame.write.mode("overwrite").json(f"{path}/batch={n}")
