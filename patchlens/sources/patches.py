@@ -33,7 +33,7 @@ def from_stream(spark: SparkSession, stream: TextIO | None = None, patch_id: str
 
 def stream_patches(spark: SparkSession, path: str) -> DataFrame:
     """A streaming frame with a patch for each file that appears under path."""
-    read = spark.readStream.schema("value string").option("wholetext", "true").text(path)
+    read = spark.readStream.schema("value string").text(path, wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("patch_id"), F.make_valid_utf8("value").alias("text"))
 
 

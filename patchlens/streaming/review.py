@@ -11,9 +11,10 @@ from patchlens.operators.packet import review
 from patchlens.operators.rules import Options
 
 
-def review_stream(patches: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, options: Options = Options()) -> StreamingQuery:
-    """Start a query that hands each batch's redacted packets to sink(frame, batch number)."""
-    return patches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: sink(review(batch, options), n)).start()
+def review_stream(patches: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, options: Options = Options(), once: bool = False) -> StreamingQuery:
+    """Start a query that hands each batch's redacted packets to sink(frame, batch number). With once, it ends when all that is there is done."""
+    writer = patches.writeStream.trigger(availableNow=True) if once else patches.writeStream
+    return writer.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: sink(review(batch, options), n)).start()
 
 
 def append_to(path: str) -> Callable[[DataFrame, int], None]:
