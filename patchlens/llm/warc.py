@@ -164,7 +164,7 @@ def archive_pages(pages: DataFrame, path: str, captured: str | None = None) -> N
                     row, page_id, url, payload = row.as_py(), page_id.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "replace")
                     uri = quote(url, safe="".join(map(chr, range(33, 127)))) if url else f"urn:page:{page_id}"
                     record_id = f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{date}:{row}').urn}>"
-                    yield packed(record_bytes("response", record_id, page_id, uri, date, payload_digest(payload), len(payload), payload), 1)
+                    yield packed(record_bytes("response", record_id, page_id, uri, date, payload_digest(payload), len(payload), payload))
 
         yield from _batches(_info(records(), date), "member")
 
