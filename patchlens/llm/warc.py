@@ -8,7 +8,8 @@ archive. Each file begins with a warcinfo record.
 Revisit resolution unpacks the heads of the records alone, shuffles the headers by payload digest, finds one original response
 for each digest, joins the other records to it as revisits, and writes new archives with fresh headers, in which each payload
 stands once. Originals come from a pre-aggregated groupBy; headers with a digest that holds a large share of the records are
-joined without a shuffle by digest. Payloads of originals are moved once, packed as they are, by record.
+joined without a shuffle by digest. Payloads are moved once, packed as they are, by record, and only those that may be
+originals: within a batch of records, the largest of its digest.
 
 Defined cases: a null payload is an empty one, and empty payloads are equal to each other; a null or empty url gives a urn;
 payloads of any length are worked whole, one at a time; of records with equal payloads and page_id one is the response and the
@@ -186,12 +187,25 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, least_bytes:
     plain = ["record_id", "page_id", "url", "captured", "payload_digest", "payload_bytes"]
     revisits = decided.where(~own).select(*plain, "original", F.lit(None).cast("binary").alias("member"))
 
-    def by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the records of a batch those that may be originals: the largest of each digest, in the order of `place`, and all small ones."""
         for batch in batches:
-            ids = [head_of(x.as_py())["WARC-Record-ID"] for x in batch["member"]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), batch["member"]], names=["record_id", "member"])
-
-    bodies = read_members(spark, source).mapInArrow(by_id, "record_id string, member binary")
+            most: dict[str, tuple] = {}
+            rows = []
+            for k, x in enumerate(batch["member"]):
+                fields = head_of(x.as_py())
+                if fields["WARC-Type"] != "response":
+                    continue
+                record_id, _, page_id, uri, captured, digest, length, _ = _fields(fields)
+                if length < least_bytes:
+                    rows.append((record_id, k))
+                else:
+                    most[digest] = max(most.get(digest, ()), ((page_id is not None, page_id or 0, record_id, uri, captured), record_id, k))
+            rows += [x[1:] for x in most.values()]
+            at = pa.array([k for _, k in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.string()), batch["member"].take(at)], names=["record_id", "member"])
+
+    bodies = read_members(spark, source).mapInArrow(candidates, "record_id string, member binary")
     kind = revisits.schema["original"].dataType
     responses = decided.where(own).select(*plain).join(bodies, "record_id").select(*plain, F.lit(None).cast(kind).alias("original"), "member")
     date = _now()
