@@ -31,7 +31,7 @@ from patchlens.llm.common import join_hot, keep, table
 from patchlens.llm.embedding_dedup import usable
 
 PROJECTIONS, SHARE, START, GROWTH, REACH = 32, 0.7, 0.25, 1.3, 1.5
-BLOCK_BYTES, QUERIES = 8_000_000, 8192
+BLOCK_BYTES, QUERIES = 3_000_000, 8192
 INDEX_KIND = "dims int, j int, sets int, ids binary, vectors binary, places binary, values binary"
 
 

@@ -207,19 +207,23 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, least_bytes:
 
     bodies = read_members(spark, source).mapInArrow(candidates, "record_id string, member binary")
     kind = revisits.schema["original"].dataType
-    responses = decided.where(own).select(*plain).join(bodies, "record_id").select(*plain, F.lit(None).cast(kind).alias("original"), "member")
+    # a response's fields stand in its own record
+    empty = [F.lit(None).cast(revisits.schema[c].dataType).alias(c) for c in plain[1:]]
+    responses = decided.where(own).select("record_id").join(bodies, "record_id").select("record_id", *empty, F.lit(None).cast(kind).alias("original"), "member")
     date = _now()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
             for batch in batches:
-                for values in zip(*[batch[c] for c in (*plain, "original", "member")], strict=True):
+                for values in zip(*[batch[c] for c in (*plain, "original", "member")], strict=True):  # one record at a time
                     record_id, page_id, url, captured, digest, length, original, member = (x.as_py() for x in values)
                     if member is None:
                         first = (original["record_id"], original["page_id"], original["url"], original["captured"])
                         yield packed(record_bytes("revisit", record_id, page_id, url, captured, digest, length, original=first))
                     else:
-                        yield packed(record_bytes("response", record_id, page_id, url, captured, digest, length, payload_of(member)[1]))
+                        fields, payload = payload_of(member)
+                        record_id, _, page_id, url, captured, digest, length, _ = _fields(fields)
+                        yield packed(record_bytes("response", record_id, page_id, url, captured, digest, length, payload))
 
         yield from _batches(_info(records(), date), "member")
 
