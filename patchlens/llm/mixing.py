@@ -61,13 +61,14 @@ def margin_error(raked: DataFrame) -> float:
     return both.agg(F.max(F.abs(F.col("got") - F.col("wish")) / F.col("wish"))).first()[0] or 0.0
 
 
-def rake(cells: DataFrame, alpha: float = 0.7, rounds: int = 6, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def rake(cells: DataFrame, alpha: float = 0.7, rounds: int = 6, targets: dict[str, DataFrame] | None = None, settle: bool = True) -> DataFrame:
     """cells(source, lang, topic, tokens) -> the same with factor.
 
     targets: for a margin, a frame (value, share) over the values to be met; by default tempered shares. Shares are
     normalised over the values that cells have; a value that targets don't name gets no weight. Each round rakes every
     margin once; the cells are written after each round, as a margin's step reads them twice. There are `rounds` rounds at
-    least, and more until every margin is within TOLERANCE. Where that isn't reached, a warning gives the error left.
+    least, and more until every margin is within TOLERANCE, or just so many without `settle`. Where the tolerance isn't
+    reached, a warning gives the error left.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -82,7 +83,7 @@ def rake(cells: DataFrame, alpha: float = 0.7, rounds: int = 6, targets: dict[st
         now = now.join(sums.select(m, (F.col("wish") * (total / whole)).alias(f"wish_{m}")), m)
     now = keep(now, "raked")
     errors: list[float] = []
-    for done in range(1, max(rounds, MOST_ROUNDS) + 1):
+    for done in range(1, (max(rounds, MOST_ROUNDS) if settle else rounds) + 1):
         before = now
         for m in MARGINS:
             got = now.groupBy(m).agg(F.sum("weight").alias("got"))
@@ -95,28 +96,28 @@ def rake(cells: DataFrame, alpha: float = 0.7, rounds: int = 6, targets: dict[st
         if errors[-1] <= TOLERANCE or len(errors) > STALLED and errors[-1] > 0.9 * errors[-1 - STALLED]:
             break
     if errors and errors[-1] > TOLERANCE:
-        warnings.warn(f"mixing: after {done} rounds a margin is off by {errors[-1]:.2%} of its target", stacklevel=2)
+        warnings.warn(f"mixing: after {done} rounds a margin is off by {errors[-1]:.2g} of its target", stacklevel=2)
     return now.withColumn("factor", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0))
 
 
-def _raked(docs: DataFrame, alpha: float, rounds: int, targets: dict[str, DataFrame] | None, texts: bool = True) -> tuple[DataFrame, DataFrame]:
+def _raked(docs: DataFrame, alpha: float, rounds: int, targets: dict[str, DataFrame] | None, texts: bool = True, settle: bool = True) -> tuple[DataFrame, DataFrame]:
     """docs with their cells, and the cells with _factor. Without texts each text is read once: what is left of a row is kept."""
     rows = _with_cells(docs) if texts else keep(_with_cells(docs).drop("text"), "rows")
     cells = rows.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_tokens").alias("tokens"))
-    return rows, rake(keep(cells, "cells"), alpha, rounds, targets).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("factor").alias("_factor"))
+    return rows, rake(keep(cells, "cells"), alpha, rounds, targets, settle).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("factor").alias("_factor"))
 
 
 def _draw(seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
-def calibrated(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, targets: dict[str, DataFrame] | None = None, seed: str = "mix", texts: bool = True) -> DataFrame:
+def calibrated(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, targets: dict[str, DataFrame] | None = None, seed: str = "mix", texts: bool = True, settle: bool = True) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, _factor, _p (the probability to be kept) and _kept.
 
     `budget` is the wanted share of all tokens; where the largest factor allows less, the sample is smaller, as clipping
     probabilities at 1 would miss the targets. `mix` meets the budget.
     """
-    rows, factors = _raked(docs, alpha, rounds, targets, texts)
+    rows, factors = _raked(docs, alpha, rounds, targets, texts, settle)
     most = factors.agg(F.max("_factor")).first()[0] or 1.0
     scale = min(float(budget), 1.0 / most)
     return rows.join(factors, [f"_{m}" for m in MARGINS]).withColumn("_p", F.least(F.lit(1.0), F.col("_factor") * F.lit(scale))).withColumn("_kept", _draw(seed) < F.col("_p"))
@@ -132,8 +133,8 @@ def mix(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.
 
 
 def op1_mix_raked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's cell, factor, probability and decision."""
-    rows = calibrated(table(spark, sf_dir, "documents"), texts=False)
+    """Every document's cell, factor, probability and decision, after six rounds, as its SQL has it."""
+    rows = calibrated(table(spark, sf_dir, "documents"), texts=False, settle=False)
     return rows.select(
         "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
         F.round("_factor", 6).alias("factor"), F.round("_p", 6).alias("probability"), F.col("_kept").alias("kept"),
