@@ -174,3 +174,35 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], turns.schema)
     return digests(windows(turns.unionByName(extra)))
+
+
+def _oracle(budget: int = 512, history: int = 128) -> str:
+    """DuckDB SQL for op6: turns in order, then a recursion over a conversation's turns that closes windows by prefix sums.
+
+    c has a row for each conversation, with lists that start with a 0: toks[k + 1] and chars[k + 1] are the sums of its first k turns.
+    A window's history is the longest run of turns before the next one that the limits allow, so it begins at one turn, t.
+    """
+    control = "|".join(map(re.escape, sorted([*CONTROL, ESCAPE], key=len, reverse=True)))
+    escapes = lambda x: f"len(regexp_extract_all({x}, '{control}'))"
+    return f"""
+WITH RECURSIVE turns AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
+  FROM (SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, k, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) e(k, role))),
+sized AS (SELECT *, strlen(text) // 4 + 4 AS tok, {len(BEGIN + TEXT + END)} + length(role) + {escapes("role")} + len(regexp_extract_all(role, '\\]')) + length(text) + {escapes("text")} AS width FROM turns),
+summed AS (SELECT *, sum(tok) OVER w AS toks, sum(width) OVER w AS chars FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+c AS MATERIALIZED (SELECT conv_id, count(*) AS n, list(role ORDER BY i) AS roles, [0] || list(toks::BIGINT ORDER BY i) AS toks, [0] || list(chars::BIGINT ORDER BY i) AS chars,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss FROM summed GROUP BY conv_id),
+steps AS (SELECT conv_id, 0::BIGINT AS i, 1::BIGINT AS s, 0::BIGINT AS used, 0::BIGINT AS extra, 0::BIGINT AS closed FROM c
+  UNION ALL SELECT conv_id, i + 1, CASE WHEN over THEN i + 1 ELSE s END, CASE WHEN over THEN lead_toks + toks[i + 1] - toks[t] ELSE used END + z,
+    extra + CASE WHEN over THEN lead_chars + chars[i + 1] - chars[t] ELSE 0 END, closed + CASE WHEN over THEN 1 ELSE 0 END
+  FROM (SELECT *, coalesce(list_min(list_filter(range(s, i + 1), lambda x: NOT list_contains(roles[x:i], 'system') AND toks[i + 1] - toks[x] <= least({history}, {budget} - lead_toks - z))), i + 1) AS t
+    FROM (SELECT steps.*, roles, toks, chars, toks[i + 2] - toks[i + 1] AS z, s <= i AND used + toks[i + 2] - toks[i + 1] > {budget} AS over,
+        CASE WHEN roles[1] = 'system' THEN toks[2] ELSE 0 END AS lead_toks, CASE WHEN roles[1] = 'system' THEN chars[2] ELSE 0 END AS lead_chars
+      FROM steps JOIN c ON c.conv_id IS NOT DISTINCT FROM steps.conv_id WHERE i < n)))
+SELECT c.conv_id, n::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+  (chars[n + 1] + extra)::BIGINT AS formatted_chars, (closed + 1)::BIGINT AS n_windows
+FROM c JOIN steps ON c.conv_id IS NOT DISTINCT FROM steps.conv_id AND i = n"""
+
+
+ORACLE_SQL = _oracle()

@@ -10,7 +10,9 @@ import warnings
 import zlib
 from pathlib import Path
 
+import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -384,6 +386,24 @@ def test_chat(spark):
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_against_sql(spark, tmp_path):
+    draw = random.Random(5)
+    bits = ["<s>", "</s>", "[INST", "[/INST]", "<<SYS>>", "<</SYS>>", "\\", "]", "\n", "é", "漢", "word ", "x" * 40]
+    roles = [None, "user", "user", "assistant", "assistant", "system", "a]b\\"]
+    rows = [
+        (c, draw.choice([None, k, k, k]), draw.choice(roles), draw.choice([None, "".join(draw.choices(bits, k=draw.choice([0, 3, 30, 200])))]))
+        for c in [None, *range(60)] for k in range(draw.randint(1, 60))
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pq.write_table(frame.toArrow(), tmp_path / "conversations.parquet")
+    got = chat.op6_chat_windows(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({chat.ORACLE_SQL})").fetchall()
+    assert max(x[-1] for x in want) > 2
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((12, 16))
