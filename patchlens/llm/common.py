@@ -83,14 +83,20 @@ def unit_draw(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 1) / float(2**53)
 
 
-def gapless(df: DataFrame, keys: list[str], order: list[str], name: str, counted: DataFrame | None = None, buckets: int = 256) -> DataFrame:
+def md5_draw(parts: Column) -> Column:
+    """A uniform draw in (0, 1] from the MD5 of a string, 48 bits of it, which every engine can repeat."""
+    return (F.conv(F.substring(F.md5(parts), 1, 12), 16, 10).cast("double") + 1) / float(16**12)
+
+
+def gapless(df: DataFrame, keys: list[str], order: list[str], name: str, counted: DataFrame | None = None, buckets: int = 256, dealt: Column | None = None) -> DataFrame:
     """Number the rows of each key from 0 without a gap.
 
     A key's rows are dealt into `buckets` parts by a hash of `order`, numbered part by part, and each part starts where
     the parts before it end; no task sees a whole key. `counted` may be a narrower frame of the same rows (it needs keys
-    and order), so that counting reads less. Rows equal in `order` are numbered in any order among themselves.
+    and order), so that counting reads less. Rows equal in `order` are numbered in any order among themselves. `dealt`, an
+    integer column of `order`, takes the place of the hash.
     """
-    bucket = F.pmod(F.xxhash64(F.lit("gapless"), *order), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.lit("gapless"), *order) if dealt is None else dealt, F.lit(buckets)).cast("int")
     counts = (df if counted is None else counted).select(*keys, bucket.alias("_bucket")).groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

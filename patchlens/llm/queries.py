@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchlens.llm import chat, mixing, warc
+from patchlens.llm import chat, mixing, sharding, warc
 from patchlens.llm.ann import op8_collision_counting_ann
 from patchlens.llm.chat import op6_chat_windows
 from patchlens.llm.embedding_dedup import op7_int8_embedding_dedup
@@ -22,7 +22,7 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op1_mix_raked_sources": mixing.ORACLE_SQL, "op2_warc_revisits": warc.ORACLE_SQL, "op6_chat_windows": chat.ORACLE_SQL}
+ORACLES = {"op1_mix_raked_sources": mixing.ORACLE_SQL, "op2_warc_revisits": warc.ORACLE_SQL, "op6_chat_windows": chat.ORACLE_SQL, "op9_hash_tree_sharding": sharding.ORACLE_SQL}
 
 #: DuckDB SQL for operators whose whole rule SQL can state by brute force.
 ORACLES["op7_int8_embedding_dedup"] = """

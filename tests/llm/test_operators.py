@@ -579,6 +579,21 @@ def test_sharding_against_brute_force(spark):
     assert frame.select(sharding.shard_of(F.col("doc_id"), none).alias("s")).where("s = 23").count() == 0
 
 
+def test_sharding_against_sql(spark, tmp_path):
+    texts = [None, "", "é" * 5, "long " * 20_000, "x"]
+    rows = [(k * 7919 - 100, texts[k % 5]) for k in range(400)] + [(None, "no id")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit("x")).withColumn("k", F.lit(1)).withColumn("entry", F.lit(2))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(x) for x in sharding.op9_hash_tree_sharding(spark, str(tmp_path)).collect()]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT doc_id, text FROM '{tmp_path}/documents.parquet/*.parquet'")
+    order = lambda x: (x[0] is None, x[0] or 0)
+    assert sorted(got, key=order) == sorted(duck.execute(sharding.ORACLE_SQL).fetchall(), key=order)
+    assert {x[4] for x in got} == set(range(24)) and all(x[6] in (x[4], 24) for x in got)
+    for shard in range(24):
+        assert sorted(x[5] for x in got if x[4] == shard) == list(range(sum(x[4] == shard for x in got)))
+
+
 def brute_language(model, text):
     """Bits of a text in each language: prediction by partial matching with exclusion, context by context."""
     out = []
