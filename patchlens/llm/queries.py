@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchlens.llm import chat, fim, mixing, roles, sharding, warc
+from patchlens.llm import chat, fim, mixing, roles, sharding, substrings, warc
 from patchlens.llm.ann import op8_collision_counting_ann
 from patchlens.llm.chat import op6_chat_windows
 from patchlens.llm.embedding_dedup import op7_int8_embedding_dedup
@@ -14,17 +14,18 @@ from patchlens.llm.packing import op4_best_fit_packing
 from patchlens.llm.pii import op10_feistel_pseudonyms
 from patchlens.llm.roles import op12_lr_role_repair
 from patchlens.llm.sharding import op9_hash_tree_sharding
+from patchlens.llm.substrings import op11_fm_substrings
 from patchlens.llm.warc import op2_warc_revisits
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_raked_sources, op2_warc_revisits, op3_ppm_language, op4_best_fit_packing, op5_bottom_k_near_dup, op6_chat_windows,
-        op7_int8_embedding_dedup, op8_collision_counting_ann, op9_hash_tree_sharding, op10_feistel_pseudonyms, op12_lr_role_repair, op13_seekable_fim,
+        op7_int8_embedding_dedup, op8_collision_counting_ann, op9_hash_tree_sharding, op10_feistel_pseudonyms, op11_fm_substrings, op12_lr_role_repair, op13_seekable_fim,
     )
 }
 
-ORACLES = {"op1_mix_raked_sources": mixing.ORACLE_SQL, "op2_warc_revisits": warc.ORACLE_SQL, "op6_chat_windows": chat.ORACLE_SQL, "op9_hash_tree_sharding": sharding.ORACLE_SQL, "op12_lr_role_repair": roles.ORACLE_SQL, "op13_seekable_fim": fim.ORACLE_SQL}
+ORACLES = {"op1_mix_raked_sources": mixing.ORACLE_SQL, "op2_warc_revisits": warc.ORACLE_SQL, "op6_chat_windows": chat.ORACLE_SQL, "op9_hash_tree_sharding": sharding.ORACLE_SQL, "op11_fm_substrings": substrings.ORACLE_SQL, "op12_lr_role_repair": roles.ORACLE_SQL, "op13_seekable_fim": fim.ORACLE_SQL}
 
 #: DuckDB SQL for operators whose whole rule SQL can state by brute force.
 ORACLES["op7_int8_embedding_dedup"] = """
