@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import keep, table
+from patchlens.llm.common import drop_kept, keep, table
 
 WINDOW, GRAM, LONGEST, STEP = 20, 6, 32, 8
 #: Words of a shard's index; windows in a batch of a search.
@@ -336,7 +336,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < GRAM:
         raise ValueError(f"a window has {GRAM} words at least")
     docs = docs.select("doc_id", "text")
-    rows = keep(repeated(pieces(docs, window, widespread(docs))), "pieces")
+    found = keep(pieces(docs, window, widespread(docs)), "found")  # hashes alone; texts are split once for them
+    rows = keep(repeated(found), "pieces")
+    drop_kept(found)
     inside = keep(reported(docs, rows, window), "intervals").withColumnsRenamed({"m": "_m", "h": "_h", "n": "_n"})
     first = rows.where("several and not later")
     partly = first.join(inside, (first["m"] == inside["_m"]) & (first["h"] == inside["_h"])).select("doc_id", "th", (F.col("at") + F.col("skip")).alias("at"), F.col("_n").alias("n"))
