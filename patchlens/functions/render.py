@@ -1,6 +1,6 @@
 """Packets as text, Markdown, HTML and JSON: one string column each, built from a packet's columns.
 
-Markdown and HTML of whole packets show each file's lines where the packet has them (operators.packet.with_hunks), the first
+Markdown and HTML of whole packets show each file's lines where the packet has them (packets(..., lines=...)), the first
 80 of a file. `lang` is that of the packets.
 """
 

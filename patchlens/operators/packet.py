@@ -1,7 +1,11 @@
 """Review packets: one nested row for each patch.
 
-Files are worked out row by row; one shuffle of their small rows, without texts, gathers each patch, and what needs all files
-of a patch (missing tests, order, clusters, sums) is worked out on the arrays of its row.
+Files are worked out row by row; one shuffle of their small rows gathers each patch, without texts but for the lines that are to
+be shown, and what needs all files of a patch (missing tests, order, clusters, sums) is worked out on the arrays of its row.
+operators.wide does the same without a row that holds a whole patch.
+
+Rows that share a patch_id are one patch: their files follow each other in the order of the rows' contents, numbered on. A row that
+is repeated whole counts once. A row without patch_id is a patch of its own.
 """
 
 from __future__ import annotations
@@ -11,14 +15,15 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patchlens.functions.steps import Step, applied, built_once
-from patchlens.operators.parse import diff_files, diff_hunks, diff_lines
-from patchlens.operators.redact import redact_lines, redact_text
+from patchlens.operators.parse import diff_files
+from patchlens.operators.redact import redact_line, redact_text
 from patchlens.operators.rules import FINDING_KIND, Options, assessed, covered, finding, graded, is_live_test, label_of, said, score_of
 from patchlens.plans.catalog import CLUSTER_TITLES, EMPTY_LEDE, HEADLINES, LEDE, ROLE_NAMES, SEVERITY_RANK
 
-FILE_FIELDS = ["file_no", "path", "old_path", "new_path", "previous_path", "status", "is_binary", "similarity", "n_hunks", "roles", "role", "stem", "cluster", "additions", "deletions", "changes"]
+FILE_FIELDS = ["part", "file_no", "path", "old_path", "new_path", "previous_path", "status", "is_binary", "similarity", "n_hunks", "roles", "role", "stem", "cluster", "additions", "deletions", "changes"]
 
 
 def looked_up(pairs: dict[str, tuple[str, str]], key: Column, lang: str) -> Column:
@@ -57,30 +62,47 @@ def _sorted(files: Column, order: str) -> Column:
     return F.transform(F.array_sort(F.transform(files, keyed)), lambda x: x["f"])
 
 
-def packets(patches: DataFrame, options: Options = Options(), spread: bool = False) -> DataFrame:
-    """One row for each patch, also for one without a file that is kept."""
-    lang = options.lang
-    files = assessed(diff_files(patches, spread), options)
+def packets(patches: DataFrame, options: Options = Options(), spread: bool = False, lines: int | None = None) -> DataFrame:
+    """One row for each patch, also for one without a file that is kept. lines: how many lines of each file `hunks` shows, 0 for all, None for no hunks."""
+    files = assessed(diff_files(patches, spread, lines), options)
     kept = (F.col("file_no") > 0) & ~F.col("out")
-    row = F.struct(*FILE_FIELDS, "findings", "gap")
-    out = files.groupBy("patch_id").agg(
-        F.min("id").alias("id"), F.count_if((F.col("file_no") > 0) & F.col("out")).cast("int").alias("n_ignored"),
-        F.collect_list(F.when(kept, row)).alias("_files"),
+    row = F.struct(*FILE_FIELDS, "findings", "gap", *["hunks"] * (lines is not None))
+    at = F.struct("part", "file_no")
+    alone = F.when(F.col("patch_id").isNull(), F.col("part"))  # a patch of its own
+    out = files.groupBy("patch_id", alone.alias("_alone")).agg(
+        F.min("id").alias("id"), F.size(F.collect_set(F.when((F.col("file_no") > 0) & F.col("out"), at))).alias("n_ignored"),
+        F.collect_set(F.when(F.col("file_no") == 0, F.struct("part", "n_files"))).alias("_parts"), F.count_if(F.col("file_no") == 0).alias("_rows"), F.collect_list(F.when(kept, row)).alias("_files"),
     )
     now = options.now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
-    out = applied(out, _contents(replace(options, now=None))).withColumn("generated_at", F.lit(now))
-    return out.drop("_files", "_tests", "_top")
+    out = applied(out, _merged())
+    out = applied(out, _contents(replace(options, now=None), lines is not None)).withColumn("generated_at", F.lit(now))
+    return out.drop("_files", "_tests", "_top", "_parts", "_before", "_rows", "_alone")
+
+
+@built_once
+def _merged() -> list[Step]:
+    """_files of several rows as those of one patch: a row's files are numbered on from those of the rows before it."""
+    begin = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<part:bigint,n:int>>").alias("out"))
+    step = lambda a, p: F.struct((a["n"] + p["n_files"]).alias("n"), F.array_append(a["out"], F.struct(p["part"].alias("part"), a["n"].alias("n"))).alias("out"))
+    before = F.map_from_entries(F.aggregate(F.array_sort("_parts"), begin, step, lambda a: a["out"]))
+    numbered = F.transform("_files", lambda f: f.withField("file_no", f["file_no"] + F.try_element_at(F.col("_before"), f["part"])))
+    by_place = F.transform(F.array_sort(F.transform(numbered, lambda f: F.struct(f["file_no"].alias("a"), f.alias("f")))), lambda x: x["f"])
+    several = F.col("_rows") > 1
+    # files with one number are those of a row that is repeated whole
+    single = F.filter("_files", lambda f, i: (i == 0) | (F.get("_files", i - 1)["file_no"] != f["file_no"]))
+    return [{"_before": F.when(several, before)}, {"_files": F.when(several, by_place).otherwise(F.col("_files"))}, {"_files": F.when(several, single).otherwise(F.col("_files"))}]
 
 
 @built_once
-def _contents(options: Options) -> list[Step]:
+def _contents(options: Options, hunks: bool = False) -> list[Step]:
     """The columns of a packet, step by step, from the patch's id, n_ignored and _files."""
     lang = options.lang
+    fields = [*FILE_FIELDS[1:], *["hunks"] * hunks]
     steps: list[Step] = []
     steps.append({"_tests": F.transform(F.filter("_files", is_live_test), lambda f: F.struct(F.lower(f["path"]).alias("path"), f["stem"].alias("stem")))})
     gap = lambda f: F.when(f["gap"] & ~covered(f, F.col("_tests")), F.array(finding("missing-tests", lang, f["stem"]))).otherwise(F.array().cast(f"array<{FINDING_KIND}>"))
     steps.append({"_files": F.transform("_files", lambda f: f.withField("findings", F.array_sort(F.concat(f["findings"], gap(f)))))})
-    steps.append({"_files": F.transform("_files", lambda f: F.struct(*[f[c].alias(c) for c in FILE_FIELDS], *graded(f, f["findings"])))})
+    steps.append({"_files": F.transform("_files", lambda f: F.struct(*[f[c].alias(c) for c in fields], *graded(f, f["findings"])))})
     reason = lambda f: F.coalesce(F.get(f["findings"], F.lit(0))["title"], looked_up(ROLE_NAMES, f["role"], lang))
     steps.append({"files": F.transform(_sorted(F.col("_files"), options.order), lambda f, i: f.withField("rank", i + 1).withField("reason", reason(f)))})
 
@@ -132,35 +154,19 @@ def findings_of(packets: DataFrame) -> DataFrame:
     return rows.select("patch_id", (F.col("_at") + 1).alias("finding_no"), *[f"f.{c}" for c in ("rule_id", "severity", "weight", "path", "title", "detail")])
 
 
-def with_hunks(packets: DataFrame, patches: DataFrame, redacted: bool = False) -> DataFrame:
-    """Packets whose files have `hunks` with their numbered lines, masked if redacted is set. For showing packets; scores don't need it."""
-    lines = redact_lines(diff_lines(patches)) if redacted else diff_lines(patches).withColumn("redacted", F.col("text"))
-    place = ["patch_id", "file_no", "hunk_no"]
-    line = F.struct("line_no", "kind", F.col("redacted").alias("text"), "old_line", "new_line")
-    bodies = lines.groupBy(*place).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    heads = diff_hunks(patches).drop("body").join(bodies, place, "left")
-    none = F.array().cast(bodies.schema["lines"].dataType)
-    hunk = F.struct("hunk_no", "old_start", "old_count", "new_start", "new_count", "section", F.coalesce("lines", none).alias("lines"))
-    by_file = heads.groupBy("patch_id", "file_no").agg(F.array_sort(F.collect_list(hunk)).alias("hunks"))
-    by_patch = by_file.groupBy("patch_id").agg(F.map_from_entries(F.collect_list(F.struct("file_no", "hunks"))).alias("_hunks"))
-    empty = F.array().cast(by_file.schema["hunks"].dataType)
-    shown = F.transform("files", lambda f: f.withField("hunks", F.coalesce(F.try_element_at(F.col("_hunks"), f["file_no"]), empty)))
-    return packets.join(by_patch, "patch_id", "left").withColumn("files", shown).drop("_hunks")
-
-
 def redact_packets(packets: DataFrame) -> DataFrame:
-    """Packets that may be shown: headline, lede, the texts of findings and reasons masked; paths and sections stay.
-
-    Lines are masked by with_hunks(..., redacted=True).
-    """
+    """Packets that may be shown: headline, lede, the texts of findings and reasons and lines masked; paths and sections stay."""
     masked = lambda f: f.withField("title", redact_text(f["title"])).withField("detail", redact_text(f["detail"]))
-    files = F.transform("files", lambda f: f.withField("reason", redact_text(f["reason"])).withField("findings", F.transform(f["findings"], masked)))
+    line = lambda x: x.withField("text", redact_line(x["text"], x["in_key"]))
+    shown = lambda f: f.withField("hunks", F.transform(f["hunks"], lambda h: h.withField("lines", F.transform(h["lines"], line))))
+    kind = packets.schema["files"].dataType
+    own = shown if isinstance(kind, T.ArrayType) and "hunks" in kind.elementType.names else lambda f: f
+    files = F.transform("files", lambda f: own(f.withField("reason", redact_text(f["reason"])).withField("findings", F.transform(f["findings"], masked))))
     stops = F.transform("reading_order", lambda s: s.withField("reason", redact_text(s["reason"])))
     return packets.withColumns({"headline": redact_text(F.col("headline")), "lede": redact_text(F.col("lede")), "files": files, "findings": F.transform("findings", masked), "reading_order": stops})
 
 
-def review(patches: DataFrame, options: Options = Options(), redact: bool = True, hunks: bool = False) -> DataFrame:
-    """What a user asks for: packets, masked unless told otherwise, with their lines if wanted."""
-    out = packets(patches, options)
-    out = redact_packets(out) if redact else out
-    return with_hunks(out, patches, redact) if hunks else out
+def review(patches: DataFrame, options: Options = Options(), redact: bool = True, hunks: bool = False, lines: int = 0) -> DataFrame:
+    """What a user asks for: packets, masked unless told otherwise, with their hunks if wanted, of which a file shows `lines` lines (0: all)."""
+    out = packets(patches, options, lines=lines if hunks else None)
+    return redact_packets(out) if redact else out

@@ -2,25 +2,31 @@
 
 A patch is split into files at their headers, and a file into sections at its @@ lines, by two splits with a look-ahead. What
 is asked of a whole file (paths, status, added and removed lines) is then worked out on the arrays of its row: no shuffle and
-no sort. Lines are numbered by one window over a hunk, so a task needs one hunk, however many files a patch has.
+no sort. Lines are numbered by segmented prefix sums: a hunk's lines are cut into blocks, the blocks' sums (old and new lines,
+the last line that begins or ends a private key) are scanned within the hunk's row, and each block goes on as a row of its own
+that counts from its start. So texts are never moved; with spread, blocks are dealt over tasks, also those of one hunk.
 
 Numbers in headers that don't fit 32 bits are null, and so are line numbers that follow from them. A null text is an empty
-patch; of several rows with one patch_id the files are put together.
+patch. `part` names a row by its content, so rows that share a patch_id, or have none, keep their files apart; a row that is
+repeated whole has the same part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.functions.patterns import jvm, trimmed
+from patchlens.functions.patterns import KEY_BEGIN, KEY_END, jvm, trimmed
 from patchlens.functions.steps import Step, built_once
 
 HUNK = jvm(r"^@@\s+-(\d+)(?:,(\d+))?\s+\+(\d+)(?:,(\d+))?\s+@@(.*)$")
 TOKEN = r'("(?:[^"\\]|\\.)*"?|[^ ]+)'
 BINARY = "\nGIT binary patch"
+BLOCK = 128
+#: What the lines before a line amount to: old and new lines, and whether a private key is open (null: none was seen).
+RUN = "struct<old:int,new:int,key:boolean>"
 
 
 def _count(raw: Column, group: int) -> Column:
@@ -28,14 +34,14 @@ def _count(raw: Column, group: int) -> Column:
 
 
 def _bare(path: Column) -> Column:
-    """A path without quotes, escapes and the a/ or b/ in front."""
-    plain = F.when(path.startswith('"'), F.regexp_replace(F.regexp_replace(path, r'\A"|"\z', ""), r"\\(.)", "$1")).otherwise(path)
-    return F.regexp_replace(plain, r"\A[ab]/", "")
+    """A path without quotes, escapes and the a/ or b/ in front; null for an empty one."""
+    plain = F.when(path.startswith('"'), F.regexp_replace(F.regexp_replace(path, r'(?s)\A"((?:[^"\\]|\\.)*)"?\z', "$1"), r"(?s)\\(.)", "$1")).otherwise(path)
+    return F.regexp_replace(F.nullif(plain, F.lit("")), r"\A[ab]/", "")
 
 
 def _named(raw: Column) -> Column:
-    """The path of a --- or +++ line; null for /dev/null."""
-    path = F.regexp_replace(F.regexp_replace(trimmed(F.substr(raw, F.lit(5))), r"(?s)\t.*\z", ""), r'\A"|"\z', "")
+    """The path of a --- or +++ line, without a pair of quotes around it; null for /dev/null."""
+    path = F.regexp_replace(F.regexp_replace(trimmed(F.substr(raw, F.lit(5))), r"(?s)\t.*\z", ""), r'(?s)\A"(.*)"\z', "$1")
     return F.when(path != "/dev/null", F.regexp_replace(path, r"\A[ab]/", ""))
 
 
@@ -55,37 +61,142 @@ def _body(section: Column) -> Column:
     return F.slice(lines, F.lit(2), F.size(lines))
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows over as many tasks as a shuffle has; with a number, Spark doesn't put them together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def split_files(patches: DataFrame, spread: bool = False) -> DataFrame:
-    """patches(patch_id, text) -> patch_id, id, file_no, sections; file_no 0 is what stands before the first file.
+    """patches(patch_id, text) -> patch_id, part, id, n_files, file_no, sections; file_no 0 is what stands before the first file.
 
-    id names the patch by its content. sections: hunk (whether its first line is a valid @@ line) and text; of a file with a
+    part and id name the row by its content, n_files counts its files. sections: hunk (whether its first line is a valid @@ line) and text; of a file with a
     binary body nothing after the mark of it. With spread, files are dealt out over tasks, for few patches of many files.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     whole = F.when(whole.endswith("\n"), F.substr(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
     chunks = F.split(F.concat(F.lit("\n"), whole), r"\n(?=diff --(?:git|cc) )", -1)
-    rows = patches.select("patch_id", F.substring(F.sha2(text, 256), 1, 8).alias("id"), F.posexplode(chunks).alias("file_no", "chunk"))
+    rows = patches.select("patch_id", F.sha2(text, 256).alias("_sha"), (F.size(chunks) - 1).alias("n_files"), F.posexplode(chunks).alias("file_no", "chunk"))
+    rows = rows.select("patch_id", F.conv(F.substring("_sha", 1, 15), 16, 10).cast("long").alias("part"), F.substring("_sha", 1, 8).alias("id"), "n_files", "file_no", "chunk")
     if spread:
-        rows = rows.repartition("patch_id", "file_no")
+        rows = _dealt(rows, "patch_id", "part", "file_no")
+    return sectioned(rows)
+
+
+def sectioned(rows: DataFrame) -> DataFrame:
+    """Rows with a file's text in `chunk`, the preamble's where file_no is 0 -> the same with its sections instead."""
+    keys = [c for c in rows.columns if c != "chunk"]
     parts = F.split("chunk", r"\n(?=@@)", -1)
     sections = F.transform(parts, lambda s, i: F.struct(((i > 0) & F.substring_index(s, "\n", 1).rlike(HUNK)).alias("hunk"), s.alias("text")))
-    rows = rows.select("patch_id", "id", "file_no", F.when(F.col("file_no") > 0, sections).alias("sections"), F.col("chunk").contains(BINARY).alias("_binary"))
+    rows = rows.select(*keys, F.when(F.col("file_no") > 0, sections).alias("sections"), F.col("chunk").contains(BINARY).alias("_binary"))
     marked = F.array_position(F.transform("sections", lambda s: ~s["hunk"] & s["text"].contains(BINARY)), True).cast("int")
     rows = rows.withColumn("_cut", F.when(F.col("_binary"), marked).otherwise(0))
     last = F.get("sections", F.col("_cut") - 1)
     cut = F.concat(F.slice("sections", F.lit(1), F.greatest(F.col("_cut") - 1, F.lit(0))), F.array(F.struct(last["hunk"].alias("hunk"), F.concat(F.substring_index(last["text"], BINARY, 1), F.lit(BINARY)).alias("text"))))
-    return rows.select("patch_id", "id", "file_no", F.when(F.col("_cut") > 0, cut).otherwise(F.col("sections")).alias("sections"))
+    return rows.select(*keys, F.when(F.col("_cut") > 0, cut).otherwise(F.col("sections")).alias("sections"))
+
 
+def diff_files(patches: DataFrame, spread: bool = False, lines: int | None = None) -> DataFrame:
+    """One row for each file, with its added and removed lines in order, and one with file_no 0 for each row of patches.
 
-def diff_files(patches: DataFrame, spread: bool = False) -> DataFrame:
-    """One row for each file, with its added and removed lines in order, and one with file_no 0 for each patch."""
-    rows = split_files(patches, spread)
+    lines: how many lines each file has in `hunks`, and one more if there are more; 0 for all; None for no such column.
+    """
+    return files_in(split_files(patches, spread), lines)
+
+
+def files_in(rows: DataFrame, lines: int | None = None) -> DataFrame:
+    """Rows with sections -> what diff_files() has, beside their other columns."""
+    keys = [c for c in rows.columns if c != "sections"]
+    if lines is not None:
+        rows = rows.withColumn("hunks", _hunks_of(lines))
+        keys.append("hunks")
     for step in _file_columns():
-        rows = rows.select("patch_id", "id", "file_no", *[c.alias(n) for n, c in step.items()])
+        rows = rows.select(*keys, *[c.alias(n) for n, c in step.items()])
     return rows
 
 
+def _text(raw: Column) -> Column:
+    return F.when(raw.rlike(r"\A[+\- ]"), F.substr(raw, F.lit(2))).otherwise(raw)
+
+
+def _after(run: Column, raw: Column) -> Column:
+    """The run with one line more."""
+    counts = ~raw.startswith("\\")
+    key = F.when(counts & raw.contains("PRIVATE KEY-----"), F.when(_text(raw).rlike(KEY_BEGIN), True).when(_text(raw).rlike(KEY_END), False))
+    return F.struct(
+        (run["old"] + (counts & ~raw.startswith("+")).cast("int")).alias("old"), (run["new"] + (counts & ~raw.startswith("-")).cast("int")).alias("new"),
+        F.coalesce(key, run["key"]).alias("key"),
+    )
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.struct((a["old"] + b["old"]).alias("old"), (a["new"] + b["new"]).alias("new"), F.coalesce(b["key"], a["key"]).alias("key"))
+
+
+def _zipped(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+
+
+def _nothing() -> Column:
+    return F.struct(F.lit(0).alias("old"), F.lit(0).alias("new"), F.lit(None).cast("boolean").alias("key"))
+
+
+def _scanned(items: Column, start: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """For each item what stands before it: start, start plus the first item, and so on."""
+    begin = F.struct(start.cast(RUN).alias("run"), F.array().cast(f"array<{RUN}>").alias("out"))
+    return F.aggregate(items, begin, lambda a, x: F.struct(plus(a["run"], x).cast(RUN).alias("run"), F.array_append(a["out"], a["run"]).alias("out")), lambda a: a["out"])
+
+
+def _blocks(body: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(body), F.lit(1)) - 1) / F.lit(BLOCK)).cast("int")), lambda j: F.slice(body, j * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _starts_of(blocks: Column) -> Column:
+    """The run that each block starts with; a hunk of one block needs no sums."""
+    total = lambda b: F.aggregate(b, _nothing().cast(RUN), lambda a, x: _after(a, x).cast(RUN))
+    return F.when(F.size(blocks) > 1, _scanned(F.transform(blocks, total), _nothing(), _plus)).otherwise(F.array(_nothing().cast(RUN)))
+
+
+def _numbered(block: Column, start: Column, base: Column, old_start: Column, new_start: Column) -> Column:
+    """A block's lines as structs; base: lines of the hunk before it. Lines that only comment are left out."""
+    runs = _zipped(block, _scanned(block, start, _after))
+
+    def number(at: Column, first: Column, own: Column) -> Column:
+        return F.when(own, (first.cast("long") + at).try_cast("int"))
+
+    def line(x: Column, i: Column) -> Column:
+        raw, run = x["a"], x["b"]
+        kind = F.when(raw.startswith("+"), "add").when(raw.startswith("-"), "del").otherwise("context")
+        return F.struct(
+            (base + i).alias("line_no"), kind.alias("kind"), _text(raw).alias("text"), number(run["old"], old_start, ~raw.startswith("+")).alias("old_line"),
+            number(run["new"], new_start, ~raw.startswith("-")).alias("new_line"), F.coalesce(run["key"], F.lit(False)).alias("in_key"), raw.startswith("\\").alias("note"),
+        )
+
+    return F.transform(F.filter(F.transform(runs, line), lambda x: ~x["note"]), lambda x: x.dropFields("note"))
+
+
+def _hunks_of(most: int) -> Column:
+    """A file's hunks with their numbered lines: those that begin within its first `most` lines, and of these one line more at most. 0: all.
+
+    Which lines are needed is known from the hunks' sizes, so no others are made.
+    """
+    head = lambda s: F.substring_index(s["text"], "\n", 1)
+    raw = F.transform(F.filter("sections", lambda s: s["hunk"]), lambda s, i: F.struct((i + 1).alias("hunk_no"), head(s).alias("head"), _body(s["text"]).alias("body")))
+    if most:
+        raw = F.transform(raw, lambda h: h.withField("body", F.filter(h["body"], lambda x: ~x.startswith("\\"))))
+        sizes = F.transform(raw, lambda h: F.struct(F.size(h["body"]).alias("old"), F.lit(0).alias("new"), F.lit(None).cast("boolean").alias("key")).cast(RUN))
+        near = F.filter(_zipped(raw, _scanned(sizes, _nothing(), _plus)), lambda z: z["b"]["old"] <= most)
+        raw = F.transform(near, lambda z: z["a"].withField("body", F.slice(z["a"]["body"], F.lit(1), most + 1 - z["b"]["old"])))
+
+    def whole(h: Column) -> Column:
+        numbers = [_count(h["head"], k).alias(n) for k, n in enumerate(("old_start", "old_count", "new_start", "new_count"), 1)]
+        blocks = _blocks(h["body"])
+        lines = F.flatten(F.transform(_zipped(blocks, _starts_of(blocks)), lambda z, j: _numbered(z["a"], z["b"], j * BLOCK, _count(h["head"], 1), _count(h["head"], 3))))
+        return F.struct(h["hunk_no"].alias("hunk_no"), *numbers, trimmed(F.regexp_extract(h["head"], HUNK, 5)).alias("section"), lines.alias("lines"))
+
+    return F.transform(raw, whole)
+
+
 @built_once
 def _file_columns() -> list[Step]:
     """What diff_files() works out of a file's sections, step by step."""
@@ -121,24 +232,27 @@ def _file_columns() -> list[Step]:
 
 def diff_hunks(patches: DataFrame, spread: bool = False) -> DataFrame:
     """One row for each hunk: its place, its numbers, its section and its lines as they stand."""
+    return hunks_in(split_files(patches, spread))
+
+
+def hunks_in(rows: DataFrame) -> DataFrame:
     hunks = F.filter("sections", lambda s: s["hunk"])
-    rows = split_files(patches, spread).where("file_no > 0").select("patch_id", "file_no", F.posexplode(hunks).alias("at", "part"))
-    rows = rows.select("patch_id", "file_no", (F.col("at") + 1).alias("hunk_no"), F.substring_index("part.text", "\n", 1).alias("_raw"), _body(F.col("part.text")).alias("body"))
+    rows = rows.where("file_no > 0").select("patch_id", "part", "file_no", F.posexplode(hunks).alias("at", "section"))
+    rows = rows.select("patch_id", "part", "file_no", (F.col("at") + 1).alias("hunk_no"), F.substring_index("section.text", "\n", 1).alias("_raw"), _body(F.col("section.text")).alias("body"))
     numbers = [_count(F.col("_raw"), k).alias(n) for k, n in enumerate(("old_start", "old_count", "new_start", "new_count"), 1)]
-    return rows.select("patch_id", "file_no", "hunk_no", *numbers, trimmed(F.regexp_extract("_raw", HUNK, 5)).alias("section"), "body")
+    return rows.select("patch_id", "part", "file_no", "hunk_no", *numbers, trimmed(F.regexp_extract("_raw", HUNK, 5)).alias("section"), "body")
 
 
 def diff_lines(patches: DataFrame, spread: bool = False) -> DataFrame:
-    """One row for each line of a hunk, with its numbers in the old and the new file."""
-    rows = diff_hunks(patches, spread).select("patch_id", "file_no", "hunk_no", "old_start", "new_start", F.posexplode("body").alias("line_no", "raw")).where(~F.col("raw").startswith("\\"))
-    raw = F.col("raw")
-    kind = F.when(raw.startswith("+"), "add").when(raw.startswith("-"), "del").otherwise("context")
-    rows = rows.select("patch_id", "file_no", "hunk_no", "old_start", "new_start", "line_no", kind.alias("kind"), F.when(raw.rlike(r"\A[+\- ]"), F.substr(raw, F.lit(2))).otherwise(raw).alias("text"))
-    before = Window.partitionBy("patch_id", "file_no", "hunk_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-
-    def number(start: str, other: str) -> Column:
-        own = F.col("kind") != other
-        at = F.col(start).cast("long") + F.coalesce(F.sum(own.cast("int")).over(before), F.lit(0))
-        return F.when(own, at.try_cast("int"))
-
-    return rows.select("patch_id", "file_no", "hunk_no", "line_no", "kind", "text", number("old_start", "add").alias("old_line"), number("new_start", "del").alias("new_line"))
+    """One row for each line of a hunk, with its numbers in the old and the new file. in_key: a private key was open before it."""
+    return lines_in(split_files(patches, spread), spread)
+
+
+def lines_in(rows: DataFrame, spread: bool = False) -> DataFrame:
+    hunks = hunks_in(rows).select("patch_id", "part", "file_no", "hunk_no", "old_start", "new_start", _blocks(F.col("body")).alias("blocks"))
+    keys = ["patch_id", "part", "file_no", "hunk_no"]
+    blocks = hunks.select(*keys, "old_start", "new_start", F.posexplode(_zipped(F.col("blocks"), _starts_of(F.col("blocks")))).alias("block", "z"))
+    if spread:
+        blocks = _dealt(blocks, *keys, "block")
+    lines = _numbered(F.col("z.a"), F.col("z.b"), F.col("block") * BLOCK, F.col("old_start"), F.col("new_start"))
+    return blocks.select(*keys, F.inline(lines))

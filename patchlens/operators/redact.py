@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.functions.patterns import DOTS, KEY_BEGIN, KEY_END, KEY_MARK, SECRETS, jvm
@@ -21,11 +21,12 @@ def redact_text(text: Column) -> Column:
     return F.when(some, masked).otherwise(text)
 
 
+def redact_line(text: Column, in_key: Column) -> Column:
+    """A line of a hunk with masks; it is masked whole where a private key begins in it or was open before it."""
+    begins = text.contains("PRIVATE KEY-----") & text.rlike(KEY_BEGIN)
+    return F.when(begins, KEY_MARK).when(in_key, DOTS).otherwise(redact_text(text))
+
+
 def redact_lines(lines: DataFrame) -> DataFrame:
     """Lines of hunks with `redacted`: whole lines from a key's first to its last, masks elsewhere."""
-    text = F.col("text")
-    key = text.contains("PRIVATE KEY-----")
-    begin, end = key & text.rlike(KEY_BEGIN), key & text.rlike(KEY_END)
-    before = Window.partitionBy("patch_id", "file_no", "hunk_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.last(F.when(begin, True).when(end, False), ignorenulls=True).over(before), F.lit(False))
-    return lines.withColumn("redacted", F.when(begin, KEY_MARK).when(inside, DOTS).otherwise(redact_text(text)))
+    return lines.withColumn("redacted", redact_line(F.col("text"), F.col("in_key")))

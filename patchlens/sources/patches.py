@@ -197,3 +197,17 @@ def odd_corpus(docs: DataFrame) -> DataFrame:
     rows = _doc_lines(docs).withColumn("form", _pick(F.col("doc_id"), ODD))
     text = F.replace(F.replace(F.replace("form", F.lit("{n}"), F.col("doc_id").cast("string")), F.lit("{body}"), added("\n")), F.lit("{crlf}"), added("\r\n"))
     return rows.select(F.col("doc_id").alias("patch_id"), text.alias("text"))
+
+
+def named_corpus(docs: DataFrame) -> DataFrame:
+    """documents -> patches(patch_id, text) of 40 files with 20 added lines each, every fourth a test; their names are made of words of the texts."""
+    text = F.coalesce("text", F.lit(""))
+    one, two = F.regexp_extract(text, "[a-z]{3,8}", 0), F.regexp_extract(F.substr(text, F.lit(40)), "[a-z]{2,6}", 0)
+    kind = F.expr("doc_id div 4 % 3")
+    test = F.when(kind == 0, F.concat(F.lit("tests/"), one, two, F.lit("_test.py"))).when(kind == 1, F.concat(F.lit("test/"), one, F.lit("."), two, F.lit(".ts"))).otherwise(F.concat(F.lit("test/"), one, two, F.lit(".d/a.py")))
+    path = F.when(F.col("doc_id") % 4 == 0, test).otherwise(F.concat(F.lit("src/"), one, two, F.lit(".py")))
+    body = "\n".join(f"+line {k}" for k in range(20))
+    files = docs.where(F.col("doc_id").isNotNull()).select(F.expr("doc_id div 40").alias("patch_id"), "doc_id", path.alias("path"))
+    one_file = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit(f"\n@@ -0,0 +1,20 @@\n{body}\n"))
+    parts = files.select("patch_id", "doc_id", one_file.alias("text")).groupBy("patch_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("files"))
+    return parts.select("patch_id", F.array_join(F.transform("files", lambda f: f["text"]), "").alias("text"))
