@@ -1,17 +1,22 @@
 """Approximate nearest neighbours by collision counting.
 
-Each of `projections` random lines has one sorted array of the vectors' projections. A query's window on a line is centred
-on its own projection; a vector collides with the query on the lines whose windows hold it. Windows grow in rounds by a
-factor (virtual rehashing: a wider window stands for a coarser hash, without another index), and only the newly covered
-ends of a sorted array are visited. A vector whose collisions reach the threshold is verified by its cosine. A query ends
-when its k best lie within the radius of the round, for which the windows let a vector collide on a line with probability
-0.87, so that one that near reaches 0.7 of 32 collisions in about 99 % of cases; windows that cover everything end it too.
-
-Distance is taken between unit vectors, where the nearest has the largest cosine. The index is built once, as a table in the
-shared folder: vectors are dealt into blocks of bounded bytes, and a block is one row with its ids, vectors and sorted arrays.
-A task searches one block for a set of queries, the best k of it each, and the best k of all blocks are the result. Sets of
-queries are as large as blocks, so a vector moves once for every QUERIES queries and a query once for every block, which is
-the smallest traffic with memory of this size; nothing is broadcast. Every row is indexed.
+Each of `PROJECTIONS` random lines has one sorted array of the vectors' projections. A query's window on a line is centred on its
+own projection; a vector collides with the query on the lines whose windows hold it. A window for a radius reaches REACH radii to
+both sides, so a vector at that distance collides on a line with probability 0.68, and one at the usual distance of two vectors
+less often, by how much depends on the radius alone. A vector that collides on SHARE of the lines is verified by its cosine.
+
+The search has two passes over the index, which is cut into blocks. In the first, each block widens its windows round by round
+(virtual rehashing: a wider window stands for a coarser hash, without another index, and only its newly covered ends are visited)
+until a PROBE-th of its vectors, and k at least, reach the threshold, and verifies these. The k-th best over all blocks is the
+query's bound. In the second pass every block opens its windows for just that bound and verifies what reaches the threshold: a
+block without near vectors verifies little, however little it found before. Every true neighbour lies within the bound, so each is
+missed only by chance, in about one case of eight at the bound itself and in fewer within it. `n_verified` tells how many vectors of a
+query were compared.
+
+Distance is taken between unit vectors, where the nearest has the largest cosine. The index is a table in the shared folder: a
+block of bounded bytes is one row with its ids, vectors and sorted arrays. A task searches one block for a set of queries. Sets of
+queries are as large as blocks, so a vector moves once for every QUERIES queries and a query once for every block in each pass;
+nothing is broadcast. Every row is indexed.
 
 Defined cases: vectors that are null, empty, zero or have null or non-finite components, and rows without vec_id, take no
 part; vectors of another length are no candidates; a row with the query's own vec_id is none either; of queries with one vec_id
@@ -30,9 +35,10 @@ from pyspark.sql import functions as F
 from patchlens.llm.common import join_hot, keep, table
 from patchlens.llm.embedding_dedup import usable
 
-PROJECTIONS, SHARE, START, GROWTH, REACH = 32, 0.7, 0.25, 1.3, 1.5
-BLOCK_BYTES, QUERIES = 3_000_000, 8192
+PROJECTIONS, SHARE, START, GROWTH, REACH, PROBE = 192, 0.645, 0.1, 1.1, 1.0, 100
+BLOCK_BYTES, QUERIES, AT_ONCE = 1_500_000, 8192, 256
 INDEX_KIND = "dims int, j int, sets int, ids binary, vectors binary, places binary, values binary"
+FOUND_KIND = "query_id long, j int, place int, vec_id long, score double, n_verified long"
 
 
 def lines(dims: int, seed: int = 7) -> np.ndarray:
@@ -46,47 +52,68 @@ class Block:
         self.ids, self.vectors = ids, vectors.astype(float)
         self.norms = np.sqrt((self.vectors**2).sum(axis=1))
         if places is None or values is None:
-            at = (self.vectors / self.norms[:, None]) @ lines(vectors.shape[1])
+            at = ((self.vectors / self.norms[:, None]) @ lines(vectors.shape[1])).astype(np.float32)
             places = np.argsort(at, axis=0, kind="stable").T.astype(np.int32)
             values = np.take_along_axis(at.T, places, axis=1)
-        self.places, self.values = places.astype(np.intp), values
-
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-        """(query id, vector id, cosine) of the k nearest found for each query."""
-        n, need = len(self.ids), int(np.ceil(SHARE * PROJECTIONS))
-        query_norms = np.sqrt((queries**2).sum(axis=1))
-        radii = [START * GROWTH**r for r in range(int(np.log(2 / START) / np.log(GROWTH)) + 2)]
-        centre = (queries / query_norms[:, None]) @ lines(queries.shape[1])
-        low, high = (
-            np.stack([[np.searchsorted(self.values[p], centre[:, p] + sign * REACH * r, side) for p in range(PROJECTIONS)] for r in radii])
-            for sign, side in ((-1, "left"), (1, "right"))
-        )
-        out = []
-        for q in range(len(queries)):
-            hits, checked = np.zeros(n, np.intp), self.ids == query_ids[q]
-            known, scores = np.zeros(0, np.intp), np.zeros(0)
-            for r, radius in enumerate(radii):
-                ends = []
-                for p in range(PROJECTIONS):
-                    a, b = low[r, p, q], high[r, p, q]
-                    c, d = (low[r - 1, p, q], high[r - 1, p, q]) if r else (b, b)
-                    ends += [self.places[p, a:c], self.places[p, d:b]]
-                hits += np.bincount(np.concatenate(ends), minlength=n)
-                widest = r == len(radii) - 1  # the window covers the unit sphere: every vector collides
-                fresh = np.flatnonzero(~checked if widest else (hits >= need) & ~checked)
-                if len(fresh):
-                    checked[fresh] = True
-                    known = np.concatenate([known, fresh])
-                    scores = np.concatenate([scores, (self.vectors[fresh] * queries[q]).sum(axis=1) / (self.norms[fresh] * query_norms[q])])
-                if len(scores) >= k and np.partition(scores, -k)[-k] >= 1 - radius**2 / 2:
-                    break
-            best = np.lexsort((self.ids[known], -scores))[:k]
-            out += [(int(query_ids[q]), int(self.ids[known[x]]), float(scores[x])) for x in best]
+        self.places, self.values, self.need = places, values, int(np.ceil(SHARE * PROJECTIONS))
+
+    def _ends(self, centres: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each query's windows begin and end, on each line."""
+        reach = (REACH * radii + 1e-6).astype(np.float32)  # and what single precision may be off
+        low = [np.searchsorted(v, c - reach, "left") for v, c in zip(self.values, centres.T, strict=True)]
+        high = [np.searchsorted(v, c + reach, "right") for v, c in zip(self.values, centres.T, strict=True)]
+        return np.array(low, np.int32).T, np.array(high, np.int32).T
+
+    def _collide(self, hits: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        parts = [x[a:b] for x, a, b in zip(self.places, low.tolist(), high.tolist(), strict=True) if b > a]
+        if parts:
+            hits += np.bincount(np.concatenate(parts), minlength=len(hits))
+
+    def probed(self, lows: np.ndarray, highs: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """The vectors that reach the threshold in the first round in which enough do. lows, highs: windows by round."""
+        hits = np.zeros(len(self.ids), np.intp)
+        wanted = min(max(k, len(self.ids) // PROBE), len(self.ids) - int(own.sum()))
+        for r in range(len(lows)):
+            if r == 0:
+                self._collide(hits, lows[0], highs[0])
+            else:
+                self._collide(hits, lows[r], np.minimum(lows[r - 1], highs[r]))
+                self._collide(hits, np.maximum(highs[r - 1], lows[r]), highs[r])
+            reached = (hits >= self.need) & ~own
+            if np.count_nonzero(reached) >= wanted:
+                return np.flatnonzero(reached)
+        return np.flatnonzero(~own)
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, bounds: np.ndarray | None = None) -> list[tuple]:
+        """(query id, place, vector id, cosine, null) of the k nearest verified for each query, and (query id, null, null, null, vectors verified).
+
+        Without bounds this is the first pass; bounds: the radius for each query.
+        """
+        norms = np.sqrt((queries**2).sum(axis=1))
+        centres = ((queries / norms[:, None]) @ lines(queries.shape[1])).astype(np.float32)
+        rounds = START * GROWTH ** np.arange(int(np.log(2 / START) / np.log(GROWTH)) + 2)
+        out: list[tuple] = []
+        for start in range(0, len(queries), AT_ONCE):
+            some = slice(start, start + AT_ONCE)
+            radii = [np.full(len(centres[some]), r) for r in rounds] if bounds is None else [bounds[some]]
+            lows, highs = (np.stack(x) for x in zip(*[self._ends(centres[some], r) for r in radii], strict=True))
+            for q, asked in enumerate(query_ids[some]):
+                own = self.ids == asked
+                if bounds is None:
+                    known = self.probed(lows[:, q], highs[:, q], own, k)
+                else:
+                    hits = np.zeros(len(self.ids), np.intp)
+                    self._collide(hits, lows[0, q], highs[0, q])
+                    known = np.flatnonzero((hits >= self.need) & ~own)
+                scores = (self.vectors[known] * queries[start + q]).sum(axis=1) / (self.norms[known] * norms[start + q])
+                best = np.lexsort((self.ids[known], -scores))[:k]
+                out += [(int(asked), int(known[x]), int(self.ids[known[x]]), float(scores[x]), None) for x in best]
+                out.append((int(asked), None, None, None, len(known)))
         return out
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """rows, queries (vec_id, embedding) -> query_id, rank, vec_id, score."""
+    """rows, queries (vec_id, embedding) -> query_id, rank, vec_id, score, n_verified."""
     single = {x.schema["embedding"].dataType.simpleString() for x in (rows, queries)} == {"array<float>"}
     kind, width = (np.float32, 4) if single else (np.float64, 8)
 
@@ -104,7 +131,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def build(part: pa.Table) -> pa.Table:
         vectors = part["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
         made = Block(part["vec_id"].to_numpy(), vectors)
-        packed = [made.ids.tobytes(), vectors.tobytes(), made.places.astype(np.int32).tobytes(), made.values.tobytes()]
+        packed = [made.ids.tobytes(), vectors.tobytes(), made.places.tobytes(), made.values.tobytes()]
         return pa.table([*[pa.array([part[c][0].as_py()], pa.int32()) for c in ("dims", "j", "sets")], *[pa.array([x], pa.binary()) for x in packed]], names=[x.split()[0] for x in INDEX_KIND.split(", ")])
 
     dealt = join_hot(rows, shape, "dims", counts).where("blocks is not null").withColumn("j", own("blocks", 1))
@@ -115,18 +142,34 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         found: list[tuple] = []
         if block.num_rows and asks.num_rows:
             dims = part["dims"][0].as_py()
-            ids, vectors, places, values = (np.frombuffer(block[c][0].as_py(), x) for c, x in (("ids", np.int64), ("vectors", kind), ("places", np.int32), ("values", np.float64)))
+            ids, vectors, places, values = (np.frombuffer(block[c][0].as_py(), x) for c, x in (("ids", np.int64), ("vectors", kind), ("places", np.int32), ("values", np.float32)))
             held = Block(ids, vectors.reshape(-1, dims), places.reshape(PROJECTIONS, -1), values.reshape(PROJECTIONS, -1))
             wanted = asks["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(asks.num_rows, -1).astype(float)
-            found = held.search(wanted, asks["vec_id"].to_numpy(), k)
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+            radii = asks["radius"].to_numpy(zero_copy_only=False)
+            found = held.search(wanted, asks["vec_id"].to_numpy(), k, None if np.isnan(radii).all() else radii)
+        columns = list(zip(*found, strict=True)) or [[]] * 5
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64()]
+        out = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+        out.insert(1, pa.array([part["j"][0].as_py() if part.num_rows else 0] * len(found), pa.int32()))
+        return pa.table(out, names=[x.split()[0] for x in FOUND_KIND.split(", ")])
 
     searched = index.withColumn("i", every("sets")).drop("sets")
     asking = join_hot(queries, shape, "dims", asked).where("blocks is not null").withColumn("i", own("sets", 2)).select("dims", every("blocks").alias("j"), "i", "vec_id", "vector")
-    found = searched.unionByName(asking, allowMissingColumns=True).groupBy("dims", "i", "j").applyInArrow(find, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def passed(asking: DataFrame) -> DataFrame:
+        return searched.unionByName(asking, allowMissingColumns=True).groupBy("dims", "i", "j").applyInArrow(find, FOUND_KIND)
+
+    probed = keep(passed(asking.withColumn("radius", F.lit(None).cast("double"))), "probed")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "j", "place")
+    kth = probed.where("score is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # unit vectors of cosine c are sqrt(2 - 2c) apart
+    bounds = kth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("c")).select("query_id", F.when(F.col("n") == k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("c")))).otherwise(2.0).alias("radius"))
+    bounded = asking.join(bounds, asking["vec_id"] == bounds["query_id"]).select(*asking.columns, "radius")
+    found = probed.unionByName(passed(bounded))
+    counts = found.where("score is null").groupBy("query_id").agg(F.sum("n_verified").alias("n_verified")).withColumnRenamed("query_id", "_query")
+    found = found.where("score is not null").drop("n_verified").dropDuplicates(["query_id", "j", "place"])
+    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return top.join(counts, top["query_id"] == counts["_query"]).select("query_id", "rank", "vec_id", "score", "n_verified")
 
 
 def op8_collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

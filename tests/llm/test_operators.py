@@ -464,6 +464,24 @@ def test_nearest(spark, monkeypatch):
     assert ann.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_few_vectors_are_verified(spark):
+    """Recall against exact search, and the share of vectors compared, which falls with the rows."""
+    r, share = np.random.default_rng(3), []
+    for n in (1500, 12000):
+        v = r.standard_normal((n, 64)).astype(np.float32)
+        frame = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>").repartition(4)
+        got = ann.nearest(frame, frame.where(f"vec_id % {n // 25} = 0")).collect()
+        unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+        right = 0
+        for q in {x.query_id for x in got}:
+            score = unit @ unit[q]
+            score[q] = -2
+            right += len(set(np.argsort(-score)[:5].tolist()) & {x.vec_id for x in got if x.query_id == q})
+        assert len(got) == 5 * len({x.query_id for x in got}) and right >= 0.9 * len(got)
+        share.append(np.mean([x.n_verified for x in got]) / n)
+    assert share[1] < share[0] and share[0] < 0.25 and share[1] < 0.15, share
+
+
 def test_nearest_ties_few_candidates_and_repeated_rows(spark):
     rows = [(0, [1.0, 0.0]), (3, [0.0, 1.0]), (2, [0.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x")).withColumn("dims", F.lit(1))
