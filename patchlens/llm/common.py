@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Paths given out, in order.
-_MADE: list[str] = []
+#: Paths given out since the innermost settled() of this thread or task began.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    _MADE.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def keep(df: DataFrame, label: str = "step") -> DataFrame:
@@ -63,12 +67,18 @@ def drop_kept(*tables: DataFrame) -> None:
 
 
 def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """keep(make()), without the tables that make() left in the shared folder on its way."""
-    before = len(_MADE)
-    out = keep(make(), label)
-    for path in _MADE[before:-1]:
+    """keep(make()), without the tables that make() left in the shared folder on its way. Tables of other threads are not touched."""
+    made: list[str] = []
+    outer = _MADE.set(made)
+    try:
+        out = keep(make(), label)
+    finally:
+        _MADE.reset(outer)
+    for path in made[:-1]:
         delete(out.sparkSession, path)
-    del _MADE[before:-1]
+    above = _MADE.get()
+    if above is not None:
+        above.append(made[-1])
     return out
 
 
@@ -154,5 +164,3 @@ def min_labels(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     centres = now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(centres)
 
-
-EMPTY_EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])

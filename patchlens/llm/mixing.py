@@ -14,8 +14,8 @@ pre-aggregated groupBy and joins its correction back, so one hot source is one p
 Targets default to tempered shares: a value's share of tokens to the power `alpha`, normalised. A null source, language or
 topic is a value of its own (`unknown`). A cell without tokens has factor 1 and is taken at the common rate. Margins that
 contradict each other can't all be met; a warning then tells the error left. An
-empty table gives an empty result. Repeated rows draw alike, as the draw hashes doc_id and the seed; there is no order, so
-there are no ties. Texts of any length are counted whole. Columns that documents don't have are dropped, so none can clash.
+empty table gives an empty result. Repeated rows draw alike, as the draw hashes doc_id, text and the seed; documents without
+doc_id are told apart by their texts. There is no order, so there are no ties. Texts of any length are counted whole. Columns that documents don't have are dropped, so none can clash.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def topic_of(text: Column) -> Column:
 def _with_cells(docs: DataFrame) -> DataFrame:
     docs = with_columns_of(docs)
     known = [F.coalesce(F.col(c), F.lit("unknown")).alias(f"_{c}") for c in MARGINS[:2]]
-    return docs.select("*", *known, F.coalesce(topic_of(F.col("text")), F.lit("unknown")).alias("_topic"), n_tokens(F.col("text")).alias("_tokens"))
+    return docs.select("*", *known, F.coalesce(topic_of(F.col("text")), F.lit("unknown")).alias("_topic"), n_tokens(F.col("text")).alias("_tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest"))
 
 
 def margin_error(raked: DataFrame) -> float:
@@ -108,7 +108,9 @@ def _raked(docs: DataFrame, alpha: float, rounds: int, targets: dict[str, DataFr
 
 
 def _draw(seed: str) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(16**12)
+    """A uniform draw for each document, of its id and its text, so documents without an id are drawn one by one."""
+    parts = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("_digest"))
+    return F.conv(F.substring(F.md5(parts), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
 def calibrated(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, targets: dict[str, DataFrame] | None = None, seed: str = "mix", texts: bool = True, settle: bool = True) -> DataFrame:
@@ -148,7 +150,7 @@ def _oracle(alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, seed: str
         coalesce(CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, 'icense') THEN 'notice'
           WHEN contains(text, '@') OR regexp_matches(text, '[0-9]{3}') THEN 'record'
           WHEN regexp_matches(text, '[#$%&*]{3}') THEN 'code' WHEN text IS NOT NULL THEN 'prose' END, 'unknown') AS topic,
-        coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens FROM documents)""",
+        coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens, md5(coalesce(text, '')) AS digest FROM documents)""",
         "w0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens, sum(n_tokens)::DOUBLE AS weight FROM docs GROUP BY ALL)",
     ]
     for m in MARGINS:
@@ -160,7 +162,7 @@ def _oracle(alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, seed: str
         ctes.append(f"w{n} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN got > 0 THEN weight * (coalesce(wish, 0) / got) ELSE 0 END AS weight FROM w{n - 1} JOIN ({got}) USING ({m}) LEFT JOIN wish_{m} USING ({m}))")
     ctes.append(f"cells AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 1 END AS factor FROM w{n})")
     ctes.append(f"scaled AS (SELECT *, least(1.0, factor * least({budget}, 1.0 / (SELECT max(factor) FROM cells))) AS p FROM cells)")
-    draw = f"('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE / {16**12}"
+    draw = f"('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest), 1, 12))::BIGINT::DOUBLE / {16**12}"
     return f"WITH {', '.join(ctes)} SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, round(factor, 6) AS factor, round(p, 6) AS probability, {draw} < p AS kept FROM docs JOIN scaled USING (source, lang, topic)"
 
 

@@ -11,8 +11,10 @@ network with modular addition, hence a bijection. All of it is SQL expressions o
 without a trigger character is passed by after one scan.
 
 The key is a secret of its own: `pseudonymise` has no default for it. The registered query and the pipeline read it from the
-session setting `patchlens.pii.key`; where that is unset, a random one is drawn and kept for the session, so values are linked
-within it and nobody can invert them later.
+session setting `patchlens.pii.secret` (or `patchlens.pii.key`, whose value Spark does not mask in its logs as it does that of a
+setting so named); where both are unset, a random one is drawn and kept for the application, in no setting, so values are linked
+within it and nobody can invert them later. Expressions get the key as data, by a scalar subquery over a table of one row: it is no
+literal of the plan, and so in no plan, UI or event log.
 
 Defined cases: null text stays null and an empty one empty; texts of any length are worked whole; repeated rows give
 repeated results; an empty table gives an empty result; other columns pass through, whatever their names are, but for
@@ -82,7 +84,7 @@ def _added(text: Column, digest: Column, letters: str) -> Column:
     return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), one), ""))
 
 
-def feistel(text: Column, key: str, tweak: str, letters: str = "z") -> Column:
+def feistel(text: Column, key: str | Column, tweak: str, letters: str = "z") -> Column:
     """The keyed permutation of text among the texts of its format. A text of one character is only shifted."""
     n = F.length(text)
     half = F.ceil(n / F.lit(2)).cast("int")
@@ -95,7 +97,7 @@ def feistel(text: Column, key: str, tweak: str, letters: str = "z") -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
 
-def feistel_number(value: Column, left: int | Column, right: int | Column, key: str, tweak: str) -> Column:
+def feistel_number(value: Column, left: int | Column, right: int | Column, key: str | Column, tweak: str) -> Column:
     """The keyed permutation of the numbers 0 to left * right - 1."""
     left, right = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (left, right))
     start = F.struct((value / right).cast("long").alias("l"), (value % right).cast("long").alias("r"))
@@ -111,7 +113,7 @@ def feistel_number(value: Column, left: int | Column, right: int | Column, key:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: acc["l"] * right + acc["r"])
 
 
-def _other_day(offset: Column, key: str) -> Column:
+def _other_day(offset: Column, key: str | Column) -> Column:
     """The keyed permutation of days, as offsets from FIRST_DAY: near ones become near ones, far ones far ones."""
     rank = F.when(offset < 0, offset + DAYS_BEFORE).otherwise(offset - DAYS + DAYS_BEFORE)
     step = lambda x: feistel_number(x, 1892, 1892, key, "far date")  # noqa: E731  1892 x 1892 is 565 more than FAR_DAYS
@@ -149,7 +151,7 @@ def _laid_out(digits: Column, form: Column, skip: Column) -> Column:
     return _once(digits, filled)
 
 
-def pseudonym(found: Column, key: str) -> Column:
+def pseudonym(found: Column, key: str | Column) -> Column:
     """What a match of PATTERN becomes; itself where validation fails."""
     digits = _digits(found)
     n = F.length(digits)
@@ -161,7 +163,7 @@ def pseudonym(found: Column, key: str) -> Column:
     email = F.concat(feistel(local, key, "email"), F.regexp_extract(found, "(@.*)$", 1))
     named = rf"(?s)\A((?i:{_NAMED}){_IS})(.*)\z"
 
-    def hidden(value: Column) -> Column:
+    def disguised(value: Column) -> Column:
         def step(x: Column) -> Column:
             return feistel(x, key, "secret")
 
@@ -171,7 +173,7 @@ def pseudonym(found: Column, key: str) -> Column:
         return F.when(value.rlike("^[0-9a-f]+$"), lower).when(value.rlike("^[0-9A-F]+$"), F.upper(lower)).otherwise(walked)
 
     key_of = F.concat(F.lit("AKIA"), feistel(F.substr(found, F.lit(5)), key, "access key"))
-    secret = F.when(found.startswith("AKIA"), key_of).otherwise(F.concat(F.regexp_extract(found, named, 1), _once(F.regexp_extract(found, named, 2), hidden)))
+    secret = F.when(found.startswith("AKIA"), key_of).otherwise(F.concat(F.regexp_extract(found, named, 1), _once(F.regexp_extract(found, named, 2), disguised)))
 
     iso = found.substr(5, 1) == "-"
     mark = F.substr(found, F.lit(3), F.lit(1))
@@ -240,7 +242,8 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     found = F.when(hit, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     # the steps are fields of one struct, so no column of docs is overwritten
     kept = [c for c in docs.columns if c not in (column, "_n_replaced")]
-    rows = docs.select(F.struct(*kept).alias("row") if kept else F.lit(None).alias("row"), text.alias("text"), found.alias("found")).withColumn("new", F.transform("found", lambda x: pseudonym(x, key)))
+    rows = docs.select(F.struct(*kept).alias("row") if kept else F.lit(None).alias("row"), text.alias("text"), found.alias("found"), hidden(docs.sparkSession, key).alias("key"))
+    rows = rows.withColumn("new", F.transform("found", lambda x: pseudonym(x, F.col("key"))))
     rest = F.when(F.size("found") > 0, F.split("text", PATTERN, -1))
     rows = rows.withColumn("rest", rest)
     woven = F.concat(F.flatten(F.zip_with(F.slice("rest", F.lit(1), F.size("new")), F.col("new"), lambda a, b: F.array(a, b))), F.array(F.element_at("rest", -1)))
@@ -250,13 +253,21 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     return rows.select(*[names[c].alias(c) for c in docs.columns if c != "_n_replaced"], F.when(some, changed).otherwise(0).alias("_n_replaced"))
 
 
+def hidden(spark: SparkSession, key: str) -> Column:
+    """The key as a value that plans refer to and don't show."""
+    return spark.createDataFrame([(key,)], "k string").scalar()
+
+
+#: Keys drawn, by application.
+_DRAWN: dict[str, str] = {}
+
+
 def session_key(spark: SparkSession) -> str:
-    """The setting patchlens.pii.key; where it is unset, a random key kept for the session."""
-    key = spark.conf.get("patchlens.pii.key", None)
-    if not key:
-        key = secrets.token_hex(32)
-        spark.conf.set("patchlens.pii.key", key)
-    return key
+    """The setting patchlens.pii.secret or patchlens.pii.key; where they are unset, a random key kept for the application."""
+    for name in ("patchlens.pii.secret", "patchlens.pii.key"):
+        if given := spark.conf.get(name, None):
+            return given
+    return _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

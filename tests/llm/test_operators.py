@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import threading
 import warnings
 import zlib
 from pathlib import Path
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from patchlens.llm import ann, chat, embedding_dedup, langid, mixing, near_dup, packing, pii, sharding, warc
-from patchlens.llm.common import join_hot, new_path
+from patchlens.llm.common import join_hot, keep, new_path, settled
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, cls long"
 
@@ -102,6 +103,42 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_documents_without_ids_are_drawn_one_by_one(spark):
+    rows = [(k, f"a{k} " * 20, "en", "with", 60) for k in range(600)] + [(None, f"b{k} " * 20, "en", "without", 60) for k in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), budget=0.3).collect()
+    for source in ("with", "without"):
+        assert 140 < sum(x.source == source for x in got) < 220
+
+
+def test_the_key_is_in_no_plan(spark):
+    key = "a-key-that-nobody-should-read"
+    out = pii.pseudonymise(spark.createDataFrame([(1, "call +1 (415) 555-0123 or a.b@c.org, 10.1.2.3, 2020-02-03, password=abcdef123")], "doc_id long, text string"), key)
+    rows = out.collect()
+    assert rows[0]._n_replaced == 5
+    query = out._jdf.queryExecution()
+    plans = [query.logical(), query.analyzed(), query.optimizedPlan(), query.executedPlan()]
+    assert not any(key in str(p.toString()) for p in plans) and key not in query.toString()
+    drawn = pii.session_key(spark)
+    if not spark.conf.get("patchlens.pii.key", None):
+        assert drawn not in str(spark.conf.getAll)
+
+
+def test_stages_in_two_threads_keep_their_tables(spark):
+    def make(n):
+        kept = keep(spark.range(n), "inner")
+        started.wait(60)
+        return kept
+
+    started, out = threading.Barrier(2), {}
+    run = lambda n: out.update({n: settled(lambda: make(n), "outer")})
+    threads = [threading.Thread(target=run, args=(n,)) for n in (3, 5)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert {n: df.count() for n, df in out.items()} == {3: 3, 5: 5}
+
+
 def test_mix_meets_its_budget_beside_a_rare_cell(spark):
     rows = [(k, "w " * 50, ("en", "fr", "de")[k % 10 % 3], f"s{k % 7 % 2}", 100) for k in range(3000)] + [(9999, "w " * 50, "xx", "rare", 100)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -95,7 +95,7 @@ def test_stages_against_brute_force(spark, folder):
     want = []
     for x in before:
         wanted = weight[cell_of[x]] / cells[cell_of[x]]
-        draw = int(hashlib.md5(f"mix:{'null' if x[0] is None else x[0]}".encode()).hexdigest()[:12], 16) / 16**12
+        draw = int(hashlib.md5(f"mix:{'null' if x[0] is None else x[0]}:{hashlib.md5(x[1].encode()).hexdigest()}".encode()).hexdigest()[:12], 16) / 16**12
         want += [x] * (int(wanted) + (draw < wanted - int(wanted)))
     assert sorted(map(str, rows)) == sorted(map(str, want)) and rows
 
