@@ -5,13 +5,16 @@ own projection; a vector collides with the query on the lines whose windows hold
 both sides, so a vector at that distance collides on a line with probability 0.68, and one at the usual distance of two vectors
 less often, by how much depends on the radius alone. A vector that collides on SHARE of the lines is verified by its cosine.
 
-The search has two passes over the index, which is cut into blocks. In the first, each block widens its windows round by round
-(virtual rehashing: a wider window stands for a coarser hash, without another index, and only its newly covered ends are visited)
-until a PROBE-th of its vectors, and k at least, reach the threshold, and verifies these. The k-th best over all blocks is the
-query's bound. In the second pass every block opens its windows for just that bound and verifies what reaches the threshold: a
-block without near vectors verifies little, however little it found before. Every true neighbour lies within the bound, so each is
-missed only by chance, in about one case of eight at the bound itself and in fewer within it. `n_verified` tells how many vectors of a
-query were compared.
+The search has two passes over the index, which is cut into blocks. In the first, each block widens its windows (virtual
+rehashing: a wider window stands for a coarser hash, without another index) until a PROBE-th of its vectors, and k at least, reach
+the threshold, and verifies these; as the number of vectors that reach it only grows with the width, the width is found by
+halving. The k-th best over all blocks is the query's bound. In the second pass every block opens its windows for just that bound
+and verifies what reaches the threshold: a block without near vectors verifies little, however little it found before. Every true
+neighbour lies within the bound, so each is missed only by chance, in about one case of eight at the bound itself and in fewer
+within it. `n_verified` tells how many vectors of a query were compared.
+
+The ends of a window are found by binary search in the line's sorted array, and a vector is inside if its rank on that line is; so
+a block keeps ranks beside the sorted projections, and counts collisions by comparing ranks.
 
 Distance is taken between unit vectors, where the nearest has the largest cosine. The index is a table in the shared folder: a
 block of bounded bytes is one row with its ids, vectors and sorted arrays. A task searches one block for a set of queries. Sets of
@@ -36,8 +39,8 @@ from patchlens.llm.common import join_hot, keep, table
 from patchlens.llm.embedding_dedup import usable
 
 PROJECTIONS, SHARE, START, GROWTH, REACH, PROBE = 192, 0.645, 0.1, 1.1, 1.0, 100
-BLOCK_BYTES, QUERIES, AT_ONCE = 1_500_000, 8192, 256
-INDEX_KIND = "dims int, j int, sets int, ids binary, vectors binary, places binary, values binary"
+BLOCK_BYTES, QUERIES, AT_ONCE = 1_500_000, 8192, 128
+INDEX_KIND = "dims int, j int, sets int, ids binary, vectors binary, ranks binary, values binary"
 FOUND_KIND = "query_id long, j int, place int, vec_id long, score double, n_verified long"
 
 
@@ -46,43 +49,44 @@ def lines(dims: int, seed: int = 7) -> np.ndarray:
 
 
 class Block:
-    """Vectors with, for every line, their places by projection and the sorted projections."""
+    """Vectors with, for every line, the sorted projections and each vector's rank among them."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, places: np.ndarray | None = None, values: np.ndarray | None = None):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, ranks: np.ndarray | None = None, values: np.ndarray | None = None):
         self.ids, self.vectors = ids, vectors.astype(float)
         self.norms = np.sqrt((self.vectors**2).sum(axis=1))
-        if places is None or values is None:
-            at = ((self.vectors / self.norms[:, None]) @ lines(vectors.shape[1])).astype(np.float32)
-            places = np.argsort(at, axis=0, kind="stable").T.astype(np.int32)
-            values = np.take_along_axis(at.T, places, axis=1)
-        self.places, self.values, self.need = places, values, int(np.ceil(SHARE * PROJECTIONS))
+        self.kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
+        if ranks is None or values is None:
+            at = ((self.vectors / self.norms[:, None]) @ lines(vectors.shape[1])).astype(np.float32).T
+            places = np.argsort(at, axis=1, kind="stable")
+            values = np.take_along_axis(at, places, axis=1)
+            ranks = np.empty(at.shape, self.kind)
+            np.put_along_axis(ranks, places, np.arange(len(ids), dtype=self.kind)[None, :], axis=1)
+        self.ranks, self.values, self.need = ranks, values, int(np.ceil(SHARE * PROJECTIONS))
 
     def _ends(self, centres: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each query's windows begin and end, on each line."""
+        """Where each query's windows begin on each line, and how many vectors they hold."""
         reach = (REACH * radii + 1e-6).astype(np.float32)  # and what single precision may be off
-        low = [np.searchsorted(v, c - reach, "left") for v, c in zip(self.values, centres.T, strict=True)]
-        high = [np.searchsorted(v, c + reach, "right") for v, c in zip(self.values, centres.T, strict=True)]
-        return np.array(low, np.int32).T, np.array(high, np.int32).T
-
-    def _collide(self, hits: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        parts = [x[a:b] for x, a, b in zip(self.places, low.tolist(), high.tolist(), strict=True) if b > a]
-        if parts:
-            hits += np.bincount(np.concatenate(parts), minlength=len(hits))
-
-    def probed(self, lows: np.ndarray, highs: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-        """The vectors that reach the threshold in the first round in which enough do. lows, highs: windows by round."""
-        hits = np.zeros(len(self.ids), np.intp)
+        low = np.array([np.searchsorted(v, c - reach, "left") for v, c in zip(self.values, centres.T, strict=True)])
+        high = np.array([np.searchsorted(v, c + reach, "right") for v, c in zip(self.values, centres.T, strict=True)])
+        return low.T.astype(self.kind), (high - low).T.astype(self.kind)
+
+    def reached(self, low: np.ndarray, width: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether each vector collides on enough lines. A rank below a window wraps round to a large number."""
+        inside = (self.ranks - low[:, None]) < width[:, None]
+        return (inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= self.need) & ~own
+
+    def probed(self, lows: np.ndarray, widths: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """The vectors that reach the threshold at the least width at which enough do; all, if none is wide enough. lows, widths: by round."""
         wanted = min(max(k, len(self.ids) // PROBE), len(self.ids) - int(own.sum()))
-        for r in range(len(lows)):
-            if r == 0:
-                self._collide(hits, lows[0], highs[0])
+        found, below, above = ~own, -1, len(lows)
+        while above - below > 1:
+            r = (below + above) // 2
+            now = self.reached(lows[r], widths[r], own)
+            if np.count_nonzero(now) >= wanted:
+                found, above = now, r
             else:
-                self._collide(hits, lows[r], np.minimum(lows[r - 1], highs[r]))
-                self._collide(hits, np.maximum(highs[r - 1], lows[r]), highs[r])
-            reached = (hits >= self.need) & ~own
-            if np.count_nonzero(reached) >= wanted:
-                return np.flatnonzero(reached)
-        return np.flatnonzero(~own)
+                below = r
+        return np.flatnonzero(found)
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, bounds: np.ndarray | None = None) -> list[tuple]:
         """(query id, place, vector id, cosine, null) of the k nearest verified for each query, and (query id, null, null, null, vectors verified).
@@ -96,15 +100,10 @@ class Block:
         for start in range(0, len(queries), AT_ONCE):
             some = slice(start, start + AT_ONCE)
             radii = [np.full(len(centres[some]), r) for r in rounds] if bounds is None else [bounds[some]]
-            lows, highs = (np.stack(x) for x in zip(*[self._ends(centres[some], r) for r in radii], strict=True))
+            lows, widths = (np.stack(x) for x in zip(*[self._ends(centres[some], r) for r in radii], strict=True))
             for q, asked in enumerate(query_ids[some]):
                 own = self.ids == asked
-                if bounds is None:
-                    known = self.probed(lows[:, q], highs[:, q], own, k)
-                else:
-                    hits = np.zeros(len(self.ids), np.intp)
-                    self._collide(hits, lows[0, q], highs[0, q])
-                    known = np.flatnonzero((hits >= self.need) & ~own)
+                known = self.probed(lows[:, q], widths[:, q], own, k) if bounds is None else np.flatnonzero(self.reached(lows[0, q], widths[0, q], own))
                 scores = (self.vectors[known] * queries[start + q]).sum(axis=1) / (self.norms[known] * norms[start + q])
                 best = np.lexsort((self.ids[known], -scores))[:k]
                 out += [(int(asked), int(known[x]), int(self.ids[known[x]]), float(scores[x]), None) for x in best]
@@ -131,7 +130,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def build(part: pa.Table) -> pa.Table:
         vectors = part["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
         made = Block(part["vec_id"].to_numpy(), vectors)
-        packed = [made.ids.tobytes(), vectors.tobytes(), made.places.tobytes(), made.values.tobytes()]
+        packed = [made.ids.tobytes(), vectors.tobytes(), made.ranks.tobytes(), made.values.tobytes()]
         return pa.table([*[pa.array([part[c][0].as_py()], pa.int32()) for c in ("dims", "j", "sets")], *[pa.array([x], pa.binary()) for x in packed]], names=[x.split()[0] for x in INDEX_KIND.split(", ")])
 
     dealt = join_hot(rows, shape, "dims", counts).where("blocks is not null").withColumn("j", own("blocks", 1))
@@ -142,8 +141,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         found: list[tuple] = []
         if block.num_rows and asks.num_rows:
             dims = part["dims"][0].as_py()
-            ids, vectors, places, values = (np.frombuffer(block[c][0].as_py(), x) for c, x in (("ids", np.int64), ("vectors", kind), ("places", np.int32), ("values", np.float32)))
-            held = Block(ids, vectors.reshape(-1, dims), places.reshape(PROJECTIONS, -1), values.reshape(PROJECTIONS, -1))
+            ids, vectors, values = (np.frombuffer(block[c][0].as_py(), x) for c, x in (("ids", np.int64), ("vectors", kind), ("values", np.float32)))
+            ranks = np.frombuffer(block["ranks"][0].as_py(), np.uint16 if len(ids) < 1 << 16 else np.uint32)
+            held = Block(ids, vectors.reshape(-1, dims), ranks.reshape(PROJECTIONS, -1), values.reshape(PROJECTIONS, -1))
             wanted = asks["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(asks.num_rows, -1).astype(float)
             radii = asks["radius"].to_numpy(zero_copy_only=False)
             found = held.search(wanted, asks["vec_id"].to_numpy(), k, None if np.isnan(radii).all() else radii)
