@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from patchlens.functions.steps import Step, applied, built_once
 from patchlens.operators.parse import diff_files
 from patchlens.operators.redact import redact_line, redact_text
-from patchlens.operators.rules import FINDING_KIND, Options, assessed, covered, finding, graded, is_live_test, label_of, said, score_of
+from patchlens.operators.rules import BY_ROW, FINDING_KIND, Options, assessed, covered, finding, graded, is_live_test, label_of, option, score_of, wording
 from patchlens.plans.catalog import CLUSTER_TITLES, EMPTY_LEDE, HEADLINES, LEDE, ROLE_NAMES, SEVERITY_RANK
 
 FILE_FIELDS = ["part", "file_no", "path", "old_path", "new_path", "previous_path", "status", "is_binary", "similarity", "n_hunks", "roles", "role", "stem", "cluster", "additions", "deletions", "changes"]
@@ -28,8 +28,8 @@ FILE_FIELDS = ["part", "file_no", "path", "old_path", "new_path", "previous_path
 
 def looked_up(pairs: dict[str, tuple[str, str]], key: Column, lang: str) -> Column:
     """The wording for key, or the key itself."""
-    words = F.create_map(*[F.lit(x) for k, v in pairs.items() for x in (k, said(v, lang))])
-    return F.coalesce(F.try_element_at(words, key), key)
+    found = lambda at: F.try_element_at(F.create_map(*[F.lit(x) for k, v in pairs.items() for x in (k, v[at])]), key)
+    return F.coalesce(F.when(F.col("options.lang") == "pt", found(1)).otherwise(found(0)) if lang == BY_ROW.lang else found(int(lang == "pt")), key)
 
 
 def short_name(path: Column, others: Column) -> Column:
@@ -56,7 +56,11 @@ def _sorted(files: Column, order: str) -> Column:
     """Files in reading order. Paths compare by the root collation, equal ones by their place in the patch."""
 
     def keyed(f: Column) -> Column:
-        keys = [(-f["score"]).alias("a"), f["band"].alias("b")] if order == "risk" else [f["band"].alias("a"), (-f["score"]).alias("b")]
+        a, b = (-f["score"], f["band"]) if order == "risk" else (f["band"], -f["score"])
+        if order == BY_ROW.order:
+            risk = F.col("options.order") == "risk"
+            a, b = F.when(risk, b).otherwise(a), F.when(risk, a).otherwise(b)
+        keys = [a.alias("a"), b.alias("b")]
         return F.struct(*keys, F.collate(f["path"], "UNICODE").alias("c"), f["file_no"].alias("d"), f.alias("f"))
 
     return F.transform(F.array_sort(F.transform(files, keyed)), lambda x: x["f"])
@@ -65,6 +69,7 @@ def _sorted(files: Column, order: str) -> Column:
 def packets(patches: DataFrame, options: Options = Options(), spread: bool = False, lines: int | None = None) -> DataFrame:
     """One row for each patch, also for one without a file that is kept. lines: how many lines of each file `hunks` shows, 0 for all, None for no hunks."""
     files = assessed(diff_files(patches, spread, lines), options)
+    by_row = options.lang == BY_ROW.lang
     kept = (F.col("file_no") > 0) & ~F.col("out")
     row = F.struct(*FILE_FIELDS, "findings", "gap", *["hunks"] * (lines is not None))
     at = F.struct("part", "file_no")
@@ -72,11 +77,12 @@ def packets(patches: DataFrame, options: Options = Options(), spread: bool = Fal
     out = files.groupBy("patch_id", alone.alias("_alone")).agg(
         F.min("id").alias("id"), F.size(F.collect_set(F.when((F.col("file_no") > 0) & F.col("out"), at))).alias("n_ignored"),
         F.collect_set(F.when(F.col("file_no") == 0, F.struct("part", "n_files"))).alias("_parts"), F.count_if(F.col("file_no") == 0).alias("_rows"), F.collect_list(F.when(kept, row)).alias("_files"),
+        *[F.min_by("options", "part").alias("options")] * by_row,
     )
     now = options.now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
     out = applied(out, _merged())
-    out = applied(out, _contents(replace(options, now=None), lines is not None)).withColumn("generated_at", F.lit(now))
-    return out.drop("_files", "_tests", "_top", "_parts", "_before", "_rows", "_alone")
+    out = applied(out, _contents(replace(options, now=None), lines is not None)).withColumn("generated_at", F.coalesce(F.col("options.now"), F.lit(now)) if by_row else F.lit(now))
+    return out.drop("options", "_files", "_tests", "_top", "_parts", "_before", "_rows", "_alone")
 
 
 @built_once
@@ -110,7 +116,7 @@ def _contents(options: Options, hunks: bool = False) -> list[Step]:
     counted = total("changes", lambda f: ~f["role"].isin("lockfile", "generated", "asset"))
     steps.append({"n_files": F.size("files"), "additions": total("additions"), "deletions": total("deletions")})
     steps.append({"minutes": F.when(F.col("n_files") > 0, F.greatest(F.lit(2), F.floor(counted / 40 + 0.5))).otherwise(0).cast("int")})
-    over = F.lit(False) if options.budget_minutes is None else (F.col("n_files") > 0) & (F.col("minutes") > F.lit(options.budget_minutes))
+    over = F.coalesce((F.col("n_files") > 0) & (F.col("minutes") > option(options, "budget_minutes")), F.lit(False))
     steps.append({"over_budget": over})
     budget = F.when(F.col("over_budget"), F.array(F.struct(finding("over-budget", lang, F.col("minutes").cast("string")).alias("f"), F.lit(None).cast("string").alias("path"), F.lit(1 << 30).alias("k"))))
     each = F.flatten(F.transform("files", lambda f: F.transform(f["findings"], lambda x: F.struct(x.alias("f"), f["path"].alias("path"), f["rank"].alias("k")))))
@@ -122,13 +128,13 @@ def _contents(options: Options, hunks: bool = False) -> list[Step]:
     steps.append({"score": score_of(F.col("findings")), "_top": F.transform(F.slice("files", 1, 3), lambda f: f["path"]), **counts})
     steps.append({"label": label_of(F.col("findings"), F.col("score")), "top": F.transform("_top", lambda p: short_name(p, F.col("_top")))})
     stats = F.struct(F.col("n_files").alias("files"), F.col("n_ignored").alias("ignored"), "additions", "deletions", "minutes", F.col("score").alias("risk_score"), F.col("label").alias("risk_label"), F.struct(*[F.col(f"n_{s}").alias(s) for s in ("info", "low", "medium", "high")]).alias("counts"))
-    headline = F.when(F.col("n_files") == 0, F.lit(said(HEADLINES["empty"], lang))).otherwise(looked_up({k: v for k, v in HEADLINES.items() if k != "empty"}, F.col("label"), lang))
-    lede = F.format_string(said(LEDE, lang), "n_files", "additions", "deletions", "minutes", "n_high", F.array_join("top", ", "))
+    headline = F.when(F.col("n_files") == 0, wording(HEADLINES["empty"], lang)).otherwise(looked_up({k: v for k, v in HEADLINES.items() if k != "empty"}, F.col("label"), lang))
+    lede = wording(LEDE, lang, lambda text: F.format_string(text, "n_files", "additions", "deletions", "minutes", "n_high", F.array_join("top", ", ")))
     stops = F.transform("files", lambda f: F.struct(*[f[c].alias(c) for c in ("path", "reason", "label", "score", "disposition", "role")]))
-    rank = {"none": -1, "info": 3, "low": 2, "medium": 1, "high": 0}[options.fail_on]
+    rank = F.coalesce(*[F.when(option(options, "fail_on") == s, k) for s, k in SEVERITY_RANK.items()], F.lit(-1))
     steps.append({
-        "version": F.lit(1), "language": F.lit(lang), "order": F.lit(options.order), "stats": stats, "headline": headline,
-        "lede": F.when(F.col("n_files") == 0, F.lit(said(EMPTY_LEDE, lang))).otherwise(lede), "reading_order": stops, "clusters": _clusters(lang),
+        "version": F.lit(1), "language": option(options, "lang"), "order": option(options, "order"), "stats": stats, "headline": headline,
+        "lede": F.when(F.col("n_files") == 0, wording(EMPTY_LEDE, lang)).otherwise(lede), "reading_order": stops, "clusters": _clusters(lang),
         "gate_failed": F.exists("findings", lambda f: f["rank"] <= rank),
     })
     return steps

@@ -67,7 +67,7 @@ def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def split_files(patches: DataFrame, spread: bool = False) -> DataFrame:
-    """patches(patch_id, text) -> patch_id, part, id, n_files, file_no, sections; file_no 0 is what stands before the first file.
+    """patches(patch_id, text) -> patch_id, part, id, n_files, file_no, sections, and options, if patches have them; file_no 0 is what stands before the first file.
 
     part and id name the row by its content, n_files counts its files. sections: hunk (whether its first line is a valid @@ line) and text; of a file with a
     binary body nothing after the mark of it. With spread, files are dealt out over tasks, for few patches of many files.
@@ -76,8 +76,9 @@ def split_files(patches: DataFrame, spread: bool = False) -> DataFrame:
     whole = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     whole = F.when(whole.endswith("\n"), F.substr(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
     chunks = F.split(F.concat(F.lit("\n"), whole), r"\n(?=diff --(?:git|cc) )", -1)
-    rows = patches.select("patch_id", F.sha2(text, 256).alias("_sha"), (F.size(chunks) - 1).alias("n_files"), F.posexplode(chunks).alias("file_no", "chunk"))
-    rows = rows.select("patch_id", F.conv(F.substring("_sha", 1, 15), 16, 10).cast("long").alias("part"), F.substring("_sha", 1, 8).alias("id"), "n_files", "file_no", "chunk")
+    own = ["options"] if "options" in patches.columns else []
+    rows = patches.select("patch_id", *own, F.sha2(text, 256).alias("_sha"), (F.size(chunks) - 1).alias("n_files"), F.posexplode(chunks).alias("file_no", "chunk"))
+    rows = rows.select("patch_id", *own, F.conv(F.substring("_sha", 1, 15), 16, 10).cast("long").alias("part"), F.substring("_sha", 1, 8).alias("id"), "n_files", "file_no", "chunk")
     if spread:
         rows = _dealt(rows, "patch_id", "part", "file_no")
     return sectioned(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -28,18 +29,33 @@ class Options:
     now: str | None = None
 
 
+#: Options that each patch has itself, in a column `options` (operators.requests makes it).
+BY_ROW = Options(lang="row", order="row")
+
+
 def said(pair: tuple[str, str], lang: str) -> str:
     return pair[lang == "pt"]
 
 
+def wording(pair: tuple[str, str], lang: str, make: Callable[[str], Column] = F.lit) -> Column:
+    """make() of the words in lang, or in that of each row."""
+    return F.when(F.col("options.lang") == "pt", make(pair[1])).otherwise(make(pair[0])) if lang == BY_ROW.lang else make(said(pair, lang))
+
+
+def option(options: Options, name: str) -> Column:
+    return F.col(f"options.{name}") if options.lang == BY_ROW.lang else F.lit(getattr(options, name))
+
+
 def finding(rule: str, lang: str, what: Column | None = None) -> Column:
     """A finding as a struct that sorts by severity, weight (the larger first) and rule. what: stands in title and detail for {}."""
     severity, weight = RULES[rule]
 
-    def worded(pair: tuple[str, str]) -> Column:
-        text = said(pair, lang)
+    def filled(text: str) -> Column:
         return F.lit(text) if "{}" not in text else F.concat(*[x for k, part in enumerate(text.split("{}")) for x in ([what] if k else []) + [F.lit(part)]])
 
+    def worded(pair: tuple[str, str]) -> Column:
+        return wording(pair, lang, filled)
+
     return F.struct(
         F.lit(SEVERITY_RANK[severity]).alias("rank"), F.lit(-weight).alias("lead"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"),
         F.lit(weight).alias("weight"), worded(TITLES[rule]).alias("title"), worded(DETAILS[rule]).alias("detail"),
@@ -60,7 +76,7 @@ def _named(patterns: list[tuple], lang: str, blob: Column, path: Column | None =
         hit = blob.contains(plain)
         if path is not None and where:
             hit = matches(path, where) & hit
-        hits.append(F.when(hit & matches(blob, pattern), F.lit(said(names, lang))))
+        hits.append(F.when(hit & matches(blob, pattern), wording(names, lang)))
     return F.concat_ws(", ", *hits)
 
 
@@ -87,7 +103,7 @@ def _assessment(options: Options) -> list[Step]:
     """The columns that assessed() adds, step by step."""
     lang, path = options.lang, F.col("path")
     steps = [{
-        "out": ignored(path, list(options.ignore)), "roles": roles_of(path), "stem": stem_of(path), "changes": F.col("additions") + F.col("deletions"), "_base": base_name(path), "_blob": F.array_join("add_texts", "\n"),
+        "out": F.coalesce(F.rlike(path, F.col("options.ignore")), F.lit(False)) if options.lang == BY_ROW.lang else ignored(path, list(options.ignore)), "roles": roles_of(path), "stem": stem_of(path), "changes": F.col("additions") + F.col("deletions"), "_base": base_name(path), "_blob": F.array_join("add_texts", "\n"),
     }, {"role": primary_role(F.col("roles"))}]
     blob, role = F.col("_blob"), F.col("role")
     sorted_trim = lambda c: F.array_sort(F.transform(c, trimmed))
@@ -111,7 +127,7 @@ def _assessment(options: Options) -> list[Step]:
         one("migration", _has("migration") | (path.endswith(".sql") & matches(blob, P.DDL, True))),
     )
     steps.append({"_high": high})
-    surface = F.coalesce(*[F.when(_has(r), F.lit(said(SURFACES[r], lang))) for r in ("auth", "payment", "crypto")])
+    surface = F.coalesce(*[F.when(_has(r), wording(SURFACES[r], lang)) for r in ("auth", "payment", "crypto")])
     changed = F.concat("add_texts", "del_texts")
     rest = found(
         one("ci-publish", F.col("_publish")),
@@ -121,14 +137,14 @@ def _assessment(options: Options) -> list[Step]:
         one("lockfile", _has("lockfile") & ((F.col("n_hunks") > 0) | F.col("is_binary") | (F.col("changes") > 0))),
         one("api-change", api_file & ~_has("test") & F.exists(changed, lambda x: matches(x, P.EXPORT))),
         one("runtime-config", _has("config")),
-        one("large-file", ~role.isin("lockfile", "generated", "asset", "docs") & (F.col("changes") >= F.lit(options.large_file_lines)), F.col("changes").cast("string")),
+        one("large-file", ~role.isin("lockfile", "generated", "asset", "docs") & (F.col("changes") >= option(options, "large_file_lines")), F.col("changes").cast("string")),
         one("ci-changed", _has("ci") & ~F.col("_publish") & ~F.exists("_high", lambda f: f["rule_id"].isin("workflow-permissions", "privileged-trigger"))),
         one("binary-file", F.col("is_binary")),
         one("generated-file", _has("generated")),
     )
     gap = (
         (F.col("status") != "deleted") & ~F.col("is_binary") & ~F.col("_white") & role.isin("source", "api", "payment", "auth", "crypto")
-        & ~(_has("test") | _has("generated") | _has("docs")) & (F.col("changes") >= F.lit(options.test_gap_lines)) & (F.length("stem") >= 3)
+        & ~(_has("test") | _has("generated") | _has("docs")) & (F.col("changes") >= option(options, "test_gap_lines")) & (F.length("stem") >= 3)
     )
     findings = F.when(F.col("out"), F.array().cast(f"array<{FINDING_KIND}>")).when(F.col("_white"), F.array(finding("whitespace-only", lang))).otherwise(F.concat("_high", rest))
     return [*steps, {"findings": findings, "gap": gap}]

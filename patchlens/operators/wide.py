@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from patchlens.functions.ranks import ranked
 from patchlens.functions.staging import stored
 from patchlens.operators.packet import FILE_FIELDS, looked_up, short_name
-from patchlens.operators.rules import FINDING_KIND, Options, finding, graded, said
+from patchlens.operators.rules import FINDING_KIND, Options, finding, graded, said, wording
 from patchlens.plans.catalog import CLUSTER_TITLES, EMPTY_LEDE, HEADLINES, LEDE, ROLE_NAMES, SEVERITY_RANK
 
 PATCH = ["patch_id", "alone"]
@@ -115,5 +115,5 @@ def wide_packets(files: DataFrame, rows: DataFrame, options: Options = Options()
     names = F.array_join(F.transform("_top", lambda p: short_name(p, F.col("_top"))), ", ")
     lede = F.format_string(said(LEDE, lang), "n_files", "additions", "deletions", "minutes", "n_high", names)
     empty = F.col("n_files") == 0
-    headline = F.when(empty, F.lit(said(HEADLINES["empty"], lang))).otherwise(looked_up({k: v for k, v in HEADLINES.items() if k != "empty"}, F.col("label"), lang))
-    return out.withColumns({"headline": headline, "lede": F.when(empty, F.lit(said(EMPTY_LEDE, lang))).otherwise(lede)}).drop("_read", "_weights", "_top")
+    headline = F.when(empty, wording(HEADLINES["empty"], lang)).otherwise(looked_up({k: v for k, v in HEADLINES.items() if k != "empty"}, F.col("label"), lang))
+    return out.withColumns({"headline": headline, "lede": F.when(empty, wording(EMPTY_LEDE, lang)).otherwise(lede)}).drop("_read", "_weights", "_top")

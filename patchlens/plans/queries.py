@@ -15,6 +15,7 @@ from patchlens.operators.packet import files_of, findings_of, packets, review
 from patchlens.functions.staging import staged
 from patchlens.operators.parse import diff_files, diff_hunks, diff_lines, files_in, sectioned
 from patchlens.operators.redact import redact_lines
+from patchlens.operators.requests import review_requests
 from patchlens.operators.rules import Options, assessed
 from patchlens.operators.wide import merged, missing_tests, wide_clusters, wide_files, wide_packets
 from patchlens.plans.catalog import CLUSTER_TITLES, DETAILS, DISPOSITIONS, FOOTER, HEADLINES, LABELS, LEDE, ROLE_NAMES, STATUSES, TITLES, WORDS
@@ -136,6 +137,29 @@ def untested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(lost, (F.col("patch_id") == F.col("_p")) & (F.col("file_no") == F.col("_f"))).select("patch_id", "file_no", "path", "stem")
 
 
+#: Option sets, for patches by patch_id % 8: lang, order, large_file_lines, test_gap_lines, budget_minutes, ignore, fail_on.
+OPTION_SETS = [
+    ("en", "story", 400, 15, None, [], "none"), ("PT-br", "risk", 10, 15, 5, ["docs/**", "**/*.json"], "high"), ("pt", "story", 50, 3, 2.5, ["src/*/login.py"], "medium"), ("en", "risk", 400, 1000, 0, ["**/engine*"], "low"),
+    ("en", "story", 0, 0, 100, ["*"], "info"), ("pt_BR", "risk", 30, 20, 7, [".github/**", "migrations/*", "lib/**"], "high"), ("en", "risk", 15, 5, None, ["**"], "medium"), ("pt", "story", 5, 10, 3, ["src/**/*.ts", "dist/*"], "low"),
+]
+
+
+def option_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each patch by its own options, all in one plan."""
+    kinds = "lang string, order string, large_file_lines double, test_gap_lines double, budget_minutes double, ignore array<string>, fail_on string"
+    rows = ", ".join(f"named_struct({', '.join(f'{chr(39)}{n.split()[0]}{chr(39)}, {_spark(v)}' for n, v in zip(kinds.split(', '), x, strict=True))})" for x in OPTION_SETS)
+    sets = F.expr(f"element_at(array({rows}), cast(patch_id % {len(OPTION_SETS)} as int) + 1)")
+    requests = _patches(spark, sf_dir).withColumn("o", sets).select("patch_id", "text", "o.*")
+    out = review_requests(requests)
+    return out.select("patch_id", "language", "order", "n_files", "n_ignored", "minutes", "over_budget", "score", "label", "n_high", "n_medium", "gate_failed", "headline", F.get("files", F.lit(0))["path"].alias("first_path"))
+
+
+def _spark(value: object) -> str:
+    if isinstance(value, list):
+        return f"array({', '.join(map(_q, value))})" if value else "cast(array() as array<string>)"
+    return "cast(null as double)" if value is None else _q(value) if isinstance(value, str) else f"cast({value} as double)"
+
+
 def _shared(spark: SparkSession, sf_dir: str, repeats: bool = True) -> DataFrame:
     """Patches of which four share an id, every seventh has none, and, with repeats, every fifth comes twice."""
     rows = odd_corpus(_documents(spark, sf_dir))
@@ -178,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         parse_lines, parse_files, parse_hunks, odd_patches, packet_ids, file_scores, file_findings, packet_findings, packet_clusters, packet_ledes, packet_reports, packet_markdown,
-        shared_ids, shared_lines, large_scores, large_packets, large_clusters, untested_files, risk_order, review_packets, ignored_files, redacted_lines,
+        shared_ids, shared_lines, large_scores, large_packets, large_clusters, untested_files, option_sets, risk_order, review_packets, ignored_files, redacted_lines,
     )
 }
 
@@ -291,7 +315,25 @@ bodies AS (SELECT patch_id, array_to_string(['# ' || headline, '', {_lede("n_fil
   FROM graded JOIN heads USING (label) JOIN labels ON k = label JOIN ids USING (patch_id) JOIN stops USING (patch_id) JOIN clusters USING (patch_id) JOIN names USING (patch_id) LEFT JOIN findings USING (patch_id))
 SELECT patch_id, length(body)::INT AS n_chars, md5(body) AS body_md5 FROM bodies"""
 _LARGE = _RULED.replace("doc_id // 20", f"doc_id // 20 % {LARGE}") + """, ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY low_band, score DESC, path, file_no) AS rank FROM scored)"""
+# Which paths of the corpus each option set leaves out, written down by hand.
+_GONE = ["false", "path LIKE 'docs/%' OR path LIKE '%.json'", "path = 'src/auth/login.py'", "path LIKE '%engine%'", "path NOT LIKE '%/%'", "path LIKE '.github/%' OR path LIKE 'migrations/%' OR path LIKE 'lib/%'", "true", "path LIKE 'src/%.ts' OR path LIKE 'dist/%'"]
+_sql = lambda v: "NULL::DOUBLE" if v is None else _q(v) if isinstance(v, str) else f"{v}::DOUBLE"
+_OPTED = (
+    f"""opts(o, said, ordering, big, small, budget, gate) AS (VALUES {", ".join(f"({k}, {_q('pt' if x[0].lower().startswith('pt') else 'en')}, {', '.join(map(_sql, (*x[1:5], x[6])))})" for k, x in enumerate(OPTION_SETS))}),"""
+    + _RULED.replace(f"JOIN marks ON m = doc_id % {len(MARKERS)})", f"JOIN marks ON m = doc_id % {len(MARKERS)} JOIN opts ON o = doc_id // 20 % {len(OPTION_SETS)})").replace("marker, masked, mark, name,", "marker, masked, mark, name, opts.*,", 1)
+    .replace("AS deletions FROM docs)", f"AS deletions FROM docs WHERE NOT (CASE o {' '.join(f'WHEN {k} THEN {g}' for k, g in enumerate(_GONE))} END))").replace("changes >= 400", "changes >= big").replace("changes >= 15", "changes >= small")
+)
 ORACLES = {
+    "option_sets": f"""WITH {_OPTED}, patches AS (SELECT doc_id // 20 AS patch_id, any_value(o) AS o, any_value(said) AS said, any_value(ordering) AS ordering, any_value(budget) AS budget, any_value(gate) AS gate, count(*) AS n_docs FROM docs GROUP BY doc_id // 20),
+        sums AS (SELECT patch_id, count(*) AS n, sum(h) AS h, sum(md) AS md, sum(lo) AS lo, sum(inf) AS inf, sum(raw) AS raw, greatest(2, floor(coalesce(sum(additions + deletions) FILTER (role NOT IN ('lockfile', 'generated', 'asset')), 0) / 40.0 + 0.5))::INT AS minutes,
+          arg_min(path, (CASE WHEN ordering = 'risk' THEN -score ELSE low_band END, CASE WHEN ordering = 'risk' THEN low_band ELSE -score END, path)) AS first_path FROM scored GROUP BY patch_id),
+        known_sums AS (SELECT p.patch_id, said, ordering, gate, n_docs, coalesce(n, 0) AS n, coalesce(h, 0) AS h, coalesce(md, 0) AS md, coalesce(lo, 0) AS lo, coalesce(inf, 0) AS inf, coalesce(raw, 0) AS raw, coalesce(minutes, 0) AS minutes,
+          coalesce(n, 0) > 0 AND coalesce(minutes > budget, false) AS over, first_path FROM patches p LEFT JOIN sums USING (patch_id)),
+        graded AS (SELECT *, CASE WHEN h > 0 THEN 'high' WHEN md > 0 OR over OR raw >= 32 THEN 'medium' WHEN lo > 0 OR raw >= 10 THEN 'low' ELSE 'calm' END AS label FROM known_sums),
+        heads(label, en, pt) AS (VALUES {", ".join(f"({_q(k)}, {_q(v[0])}, {_q(v[1])})" for k, v in HEADLINES.items())})
+        SELECT patch_id, said AS language, ordering AS "order", n::INT AS n_files, (n_docs - n)::INT AS n_ignored, minutes::INT AS minutes, over AS over_budget, least(CASE WHEN h > 0 THEN 100 ELSE 69 END, raw + CASE WHEN over THEN 10 ELSE 0 END)::INT AS score, g.label,
+        h::INT AS n_high, (md + CASE WHEN over THEN 1 ELSE 0 END)::INT AS n_medium, CASE gate WHEN 'high' THEN h > 0 WHEN 'medium' THEN h + md > 0 OR over WHEN 'low' THEN h + md + lo > 0 OR over WHEN 'info' THEN h + md + lo + inf > 0 OR over ELSE false END AS gate_failed,
+        CASE said WHEN 'pt' THEN pt ELSE en END AS headline, first_path FROM graded g JOIN heads ON heads.label = CASE WHEN n = 0 THEN 'empty' ELSE g.label END""",
     "packet_markdown": _MARKDOWN,
     "large_scores": f"""WITH {_LARGE} SELECT patch_id AS bucket, file_no::INT AS file_no, path, status, additions::INT AS additions, deletions::INT AS deletions, 1 AS n_hunks, rules, score, label, low_band AS band,
         CASE WHEN label = 'high' THEN 'now' WHEN role IN ('lockfile', 'generated', 'asset', 'docs') THEN 'later' WHEN label = 'medium' THEN 'soon' ELSE 'later' END AS disposition, rank::INT AS rank FROM ranked""",
