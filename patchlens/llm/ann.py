@@ -39,7 +39,7 @@ from patchlens.llm.common import join_hot, keep, table
 from patchlens.llm.embedding_dedup import usable
 
 PROJECTIONS, SHARE, START, GROWTH, REACH, PROBE = 192, 0.645, 0.1, 1.1, 1.0, 100
-BLOCK_BYTES, QUERIES, AT_ONCE = 1_500_000, 8192, 128
+BLOCK_BYTES, QUERIES, AT_ONCE = 2_000_000, 8192, 256
 INDEX_KIND = "dims int, j int, sets int, ids binary, vectors binary, ranks binary, values binary"
 FOUND_KIND = "query_id long, j int, place int, vec_id long, score double, n_verified long"
 
@@ -75,18 +75,21 @@ class Block:
         inside = (self.ranks - low[:, None]) < width[:, None]
         return (inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= self.need) & ~own
 
-    def probed(self, lows: np.ndarray, widths: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-        """The vectors that reach the threshold at the least width at which enough do; all, if none is wide enough. lows, widths: by round."""
-        wanted = min(max(k, len(self.ids) // PROBE), len(self.ids) - int(own.sum()))
-        found, below, above = ~own, -1, len(lows)
-        while above - below > 1:
-            r = (below + above) // 2
-            now = self.reached(lows[r], widths[r], own)
-            if np.count_nonzero(now) >= wanted:
-                found, above = now, r
-            else:
-                below = r
-        return np.flatnonzero(found)
+    def probed(self, centres: np.ndarray, owns: list[np.ndarray], k: int) -> list[np.ndarray]:
+        """For each query the vectors that reach the threshold at the least width at which enough do; all, if none is wide enough."""
+        rounds = START * GROWTH ** np.arange(int(np.log(2 / START) / np.log(GROWTH)) + 2)
+        wanted = [min(max(k, len(self.ids) // PROBE), len(self.ids) - int(own.sum())) for own in owns]
+        found, below, above = [~own for own in owns], np.full(len(owns), -1), np.full(len(owns), len(rounds))
+        while (live := np.flatnonzero(above - below > 1)).size:  # all queries halve their widths together
+            middle = (below[live] + above[live]) // 2
+            lows, widths = self._ends(centres[live], rounds[middle])
+            for q, r, low, width in zip(live.tolist(), middle.tolist(), lows, widths, strict=True):
+                now = self.reached(low, width, owns[q])
+                if np.count_nonzero(now) >= wanted[q]:
+                    found[q], above[q] = now, r
+                else:
+                    below[q] = r
+        return found
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, bounds: np.ndarray | None = None) -> list[tuple]:
         """(query id, place, vector id, cosine, null) of the k nearest verified for each query, and (query id, null, null, null, vectors verified).
@@ -95,15 +98,16 @@ class Block:
         """
         norms = np.sqrt((queries**2).sum(axis=1))
         centres = ((queries / norms[:, None]) @ lines(queries.shape[1])).astype(np.float32)
-        rounds = START * GROWTH ** np.arange(int(np.log(2 / START) / np.log(GROWTH)) + 2)
         out: list[tuple] = []
         for start in range(0, len(queries), AT_ONCE):
             some = slice(start, start + AT_ONCE)
-            radii = [np.full(len(centres[some]), r) for r in rounds] if bounds is None else [bounds[some]]
-            lows, widths = (np.stack(x) for x in zip(*[self._ends(centres[some], r) for r in radii], strict=True))
-            for q, asked in enumerate(query_ids[some]):
-                own = self.ids == asked
-                known = self.probed(lows[:, q], widths[:, q], own, k) if bounds is None else np.flatnonzero(self.reached(lows[0, q], widths[0, q], own))
+            owns = [self.ids == asked for asked in query_ids[some]]
+            if bounds is None:
+                found = self.probed(centres[some], owns, k)
+            else:
+                found = [self.reached(*x) for x in zip(*self._ends(centres[some], bounds[some]), owns, strict=True)]
+            for q, (asked, hit) in enumerate(zip(query_ids[some], found, strict=True)):
+                known = np.flatnonzero(hit)
                 scores = (self.vectors[known] * queries[start + q]).sum(axis=1) / (self.norms[known] * norms[start + q])
                 best = np.lexsort((self.ids[known], -scores))[:k]
                 out += [(int(asked), int(known[x]), int(self.ids[known[x]]), float(scores[x]), None) for x in best]
@@ -165,11 +169,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     # unit vectors of cosine c are sqrt(2 - 2c) apart
     bounds = kth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("c")).select("query_id", F.when(F.col("n") == k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("c")))).otherwise(2.0).alias("radius"))
     bounded = asking.join(bounds, asking["vec_id"] == bounds["query_id"]).select(*asking.columns, "radius")
-    found = probed.unionByName(passed(bounded))
-    counts = found.where("score is null").groupBy("query_id").agg(F.sum("n_verified").alias("n_verified")).withColumnRenamed("query_id", "_query")
-    found = found.where("score is not null").drop("n_verified").dropDuplicates(["query_id", "j", "place"])
-    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return top.join(counts, top["query_id"] == counts["_query"]).select("query_id", "rank", "vec_id", "score", "n_verified")
+    found = probed.unionByName(passed(bounded)).withColumn("n_verified", F.sum("n_verified").over(Window.partitionBy("query_id")))
+    found = found.where("score is not null").dropDuplicates(["query_id", "j", "place"])
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_verified")
 
 
 def op8_collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
