@@ -55,7 +55,8 @@ def parse(text: str) -> Iterator[tuple[str, str, int]]:
     """(role, text, where the escaped text starts) of each turn of a window."""
     at = 0
     while at < len(text):
-        assert text.startswith(BEGIN, at)
+        if not text.startswith(BEGIN, at):
+            raise ValueError(f"no turn begins at {at}")
         mid = re.compile(r"(?<!\\)(?:\\\\)*\]\n").search(text, at + len(BEGIN))
         stop = text.index(END, mid.end())
         yield unescape(text[at + len(BEGIN) : mid.end() - len(TEXT)]), unescape(text[mid.end() : stop]), mid.end()
