@@ -15,12 +15,16 @@ Step = dict[str, Column]
 
 
 def built_once(build: Callable[..., list[Step]]) -> Callable[..., list[Step]]:
-    """build(*options) -> steps, kept for as long as the same JVM answers."""
+    """build(*options) -> steps, kept for as long as the same gateway to a JVM is in use; without one (a remote session) built each time."""
     held: dict[tuple, list[Step]] = {}
 
     @functools.wraps(build)
     def found(*options: object) -> list[Step]:
-        key = (id(SparkContext._jvm), *options)
+        if SparkContext._gateway is None:
+            return build(*options)
+        if any(k[0] is not SparkContext._gateway for k in held):  # columns of a JVM that is gone
+            held.clear()
+        key = (SparkContext._gateway, *options)  # held, so that no other gateway can take its place
         if key not in held:
             held[key] = build(*options)
         return held[key]

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from patchlens.functions.patterns import matches
-from patchlens.plans.catalog import BANDS, CLUSTER_ROLES, LOCKFILES, MANIFESTS
+from patchlens.plans.catalog import BANDS, CLUSTER_ROLES, LOCKFILES, MANIFESTS, PATH_WORDS, ROLE_PATHS, TEST_PATHS
 
 
 def normal(path: Column) -> Column:
@@ -22,32 +22,32 @@ def base_name(path: Column) -> Column:
 
 
 def is_test(path: Column) -> Column:
-    return _any(normal(path), r"\.(?:test|spec)\.[cm]?[jt]sx?$", r"(?:^|\/)__tests__\/", r"(?:^|\/)tests?\/", r"_test\.go$", r"(?:^|\/)test_[^/]*\.py$", r"Test\.java$")
+    return _any(normal(path), *TEST_PATHS)
 
 
 def roles_of(path: Column) -> Column:
     """All roles of a path, in a fixed order; a path may have one twice."""
     p, base = normal(path), base_name(path)
     test = is_test(path)
-    generated = _any(p, r"(?:^|\/)(?:dist|generated|vendor|__generated__)\/", r"\.min\.js$", r"\.pb\.go$")
-    asset = _any(p, r"\.(?:png|jpe?g|gif|webp|svg|ico|woff2?|ttf|eot|mp4|pdf)$", ignore_case=True)
-    docs = _any(p, r"\.(?:md|mdx|rst|adoc)$", ignore_case=True) | _any(p, r"(?:^|\/)(?:docs?|examples?|samples?)\/") | base.rlike(r"\A(?:readme|changelog)")
+    generated = _any(p, *ROLE_PATHS["generated"])
+    asset = _any(p, *ROLE_PATHS["asset"], ignore_case=True)
+    docs = _any(p, *ROLE_PATHS["docs"], ignore_case=True) | _any(p, *ROLE_PATHS["docs folder"]) | base.rlike(r"\A(?:readme|changelog)")
     code = ~(test | generated | asset | docs)
     within = lambda words: code & _any(p, rf"(?:^|\/)(?:{words})(?:\/|\.|$)", ignore_case=True)
     found = [
         ("test", test), ("lockfile", base.isin(LOCKFILES)), ("generated", generated), ("asset", asset), ("docs", docs),
-        ("migration", _any(p, "migrat(?:e|ion|ions)", r"alembic|flyway|prisma\/migrations", ignore_case=True)),
-        ("migration", p.endswith(".sql") & _any(p, r"migrat|\/db\/|schema", ignore_case=True)),
-        ("ci", p.contains(".github/workflows/") | p.contains(".github/actions/") | _any(p, r"jenkinsfile|\.gitlab-ci|azure-pipelines|\.circleci", ignore_case=True)
-            | _any(p, r"(?:^|\/)\.(?:gitlab\/ci|buildkite|woodpecker)\/", r"(?:^|\/)(?:bitbucket-pipelines|\.travis|\.drone|\.woodpecker|\.?appveyor)\.ya?ml$")),
+        ("migration", _any(p, *ROLE_PATHS["migration"], ignore_case=True)),
+        ("migration", p.endswith(".sql") & _any(p, *ROLE_PATHS["migration sql"], ignore_case=True)),
+        ("ci", p.contains(".github/workflows/") | p.contains(".github/actions/") | _any(p, *ROLE_PATHS["ci"], ignore_case=True)
+            | _any(p, *ROLE_PATHS["ci folder"])),
         ("deps", base.isin(MANIFESTS)),
-        ("auth", within("auth|authentication|session|sessions|oauth|jwt|rbac|permissions|permission|secrets")),
-        ("crypto", within("crypto|cipher|kms|webhooks?|signing|hmac|signatures?")),
-        ("payment", within("billing|payments?|checkout|invoices?|stripe")),
-        ("api", _any(p, r"(?:^|\/)(?:api|routes|handlers|controllers)\/", r"\/index\.[cm]?[jt]s$")),
-        ("types", _any(p, r"\.d\.ts$", r"(?:^|\/)types?\/")),
-        ("schema", _any(p, r"schema\.prisma$|\.proto$|schema\.graphql|openapi\.(?:ya?ml|json)$|(?:^|\/)schemas?\/", ignore_case=True)),
-        ("config", _any(p, r"(?:^|\/)Dockerfile(?:\.[^/]+)?$", r"(?:^|\/)docker-compose[^/]*\.ya?ml$", r"(?:^|\/)(?:k8s|helm|charts|deploy)\/") | p.endswith(".tf")),
+        ("auth", within(PATH_WORDS["auth"])),
+        ("crypto", within(PATH_WORDS["crypto"])),
+        ("payment", within(PATH_WORDS["payment"])),
+        ("api", _any(p, *ROLE_PATHS["api"])),
+        ("types", _any(p, *ROLE_PATHS["types"])),
+        ("schema", _any(p, *ROLE_PATHS["schema"], ignore_case=True)),
+        ("config", _any(p, *ROLE_PATHS["config"]) | p.endswith(".tf")),
     ]
     named = F.filter(F.array(*[F.when(c, F.lit(role)) for role, c in found]), lambda x: x.isNotNull())
     return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("source")))

@@ -22,6 +22,28 @@ CLUSTER_ROLES = ["test", "docs", "ci", "lockfile", "migration", "deps", "generat
 LOCKFILES = ["package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "yarn.lock", "cargo.lock", "poetry.lock", "pipfile.lock", "composer.lock", "gemfile.lock", "go.sum", "bun.lock", "uv.lock"]
 MANIFESTS = ["package.json", "pyproject.toml", "requirements.txt", "go.mod", "cargo.toml", "gemfile", "composer.json", "pom.xml", "build.gradle", "build.gradle.kts"]
 
+# Patterns of the paths that decide a role, and words that do as a part of a path.
+TEST_PATHS = [r"\.(?:test|spec)\.[cm]?[jt]sx?$", r"(?:^|\/)__tests__\/", r"(?:^|\/)tests?\/", r"_test\.go$", r"(?:^|\/)test_[^/]*\.py$", r"Test\.java$"]
+ROLE_PATHS = {
+    "generated": [r"(?:^|\/)(?:dist|generated|vendor|__generated__)\/", r"\.min\.js$", r"\.pb\.go$"],
+    "asset": [r"\.(?:png|jpe?g|gif|webp|svg|ico|woff2?|ttf|eot|mp4|pdf)$"],
+    "docs": [r"\.(?:md|mdx|rst|adoc)$"],
+    "docs folder": [r"(?:^|\/)(?:docs?|examples?|samples?)\/"],
+    "migration": ["migrat(?:e|ion|ions)", r"alembic|flyway|prisma\/migrations"],
+    "migration sql": [r"migrat|\/db\/|schema"],
+    "ci": [r"jenkinsfile|\.gitlab-ci|azure-pipelines|\.circleci"],
+    "ci folder": [r"(?:^|\/)\.(?:gitlab\/ci|buildkite|woodpecker)\/", r"(?:^|\/)(?:bitbucket-pipelines|\.travis|\.drone|\.woodpecker|\.?appveyor)\.ya?ml$"],
+    "api": [r"(?:^|\/)(?:api|routes|handlers|controllers)\/", r"\/index\.[cm]?[jt]s$"],
+    "types": [r"\.d\.ts$", r"(?:^|\/)types?\/"],
+    "schema": [r"schema\.prisma$|\.proto$|schema\.graphql|openapi\.(?:ya?ml|json)$|(?:^|\/)schemas?\/"],
+    "config": [r"(?:^|\/)Dockerfile(?:\.[^/]+)?$", r"(?:^|\/)docker-compose[^/]*\.ya?ml$", r"(?:^|\/)(?:k8s|helm|charts|deploy)\/"],
+}
+PATH_WORDS = {
+    "auth": "auth|authentication|session|sessions|oauth|jwt|rbac|permissions|permission|secrets",
+    "crypto": "crypto|cipher|kms|webhooks?|signing|hmac|signatures?",
+    "payment": "billing|payments?|checkout|invoices?|stripe",
+}
+
 #: Our own wording from here on, always (English, Portuguese).
 #: A rule's title in a finding, and its detail; {} in a detail is what was found.
 TITLES = {
