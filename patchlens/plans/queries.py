@@ -144,7 +144,7 @@ OPTION_SETS = [
 ]
 
 
-def option_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reviews_by_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each patch by its own options, all in one plan."""
     kinds = "lang string, order string, large_file_lines double, test_gap_lines double, budget_minutes double, ignore array<string>, fail_on string"
     rows = ", ".join(f"named_struct({', '.join(f'{chr(39)}{n.split()[0]}{chr(39)}, {_spark(v)}' for n, v in zip(kinds.split(', '), x, strict=True))})" for x in OPTION_SETS)
@@ -202,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         parse_lines, parse_files, parse_hunks, odd_patches, packet_ids, file_scores, file_findings, packet_findings, packet_clusters, packet_ledes, packet_reports, packet_markdown,
-        shared_ids, shared_lines, large_scores, large_packets, large_clusters, untested_files, option_sets, risk_order, review_packets, ignored_files, redacted_lines,
+        shared_ids, shared_lines, large_scores, large_packets, large_clusters, untested_files, reviews_by_options, risk_order, review_packets, ignored_files, redacted_lines,
     )
 }
 
@@ -324,7 +324,7 @@ _OPTED = (
     .replace("AS deletions FROM docs)", f"AS deletions FROM docs WHERE NOT (CASE o {' '.join(f'WHEN {k} THEN {g}' for k, g in enumerate(_GONE))} END))").replace("changes >= 400", "changes >= big").replace("changes >= 15", "changes >= small")
 )
 ORACLES = {
-    "option_sets": f"""WITH {_OPTED}, patches AS (SELECT doc_id // 20 AS patch_id, any_value(o) AS o, any_value(said) AS said, any_value(ordering) AS ordering, any_value(budget) AS budget, any_value(gate) AS gate, count(*) AS n_docs FROM docs GROUP BY doc_id // 20),
+    "reviews_by_options": f"""WITH {_OPTED}, patches AS (SELECT doc_id // 20 AS patch_id, any_value(o) AS o, any_value(said) AS said, any_value(ordering) AS ordering, any_value(budget) AS budget, any_value(gate) AS gate, count(*) AS n_docs FROM docs GROUP BY doc_id // 20),
         sums AS (SELECT patch_id, count(*) AS n, sum(h) AS h, sum(md) AS md, sum(lo) AS lo, sum(inf) AS inf, sum(raw) AS raw, greatest(2, floor(coalesce(sum(additions + deletions) FILTER (role NOT IN ('lockfile', 'generated', 'asset')), 0) / 40.0 + 0.5))::INT AS minutes,
           arg_min(path, (CASE WHEN ordering = 'risk' THEN -score ELSE low_band END, CASE WHEN ordering = 'risk' THEN low_band ELSE -score END, path)) AS first_path FROM scored GROUP BY patch_id),
         known_sums AS (SELECT p.patch_id, said, ordering, gate, n_docs, coalesce(n, 0) AS n, coalesce(h, 0) AS h, coalesce(md, 0) AS md, coalesce(lo, 0) AS lo, coalesce(inf, 0) AS inf, coalesce(raw, 0) AS raw, coalesce(minutes, 0) AS minutes,
