@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Step = dict[str, Column]
 
@@ -32,6 +33,15 @@ def built_once(build: Callable[..., list[Step]]) -> Callable[..., list[Step]]:
     return found
 
 
+def once(column: Column) -> Column:
+    """column, worked out once for each row.
+
+    Spark copies an expression that is read once into the step that reads it, also where that step reads it for each item of an
+    array. One that counts as nondeterministic is never copied; the condition always holds.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def applied(df: DataFrame, steps: list[Step]) -> DataFrame:
     """df with the columns of each step, one step after the other."""
     for step in steps:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlens.functions.steps import Step, applied, built_once
+from patchlens.functions.steps import Step, applied, built_once, once
 from patchlens.operators.parse import diff_files
 from patchlens.operators.redact import redact_line, redact_text
 from patchlens.operators.rules import BY_ROW, FINDING_KIND, Options, assessed, covered, finding, graded, is_live_test, label_of, option, score_of, wording
@@ -76,7 +76,7 @@ def packets(patches: DataFrame, options: Options = Options(), spread: bool = Fal
     alone = F.when(F.col("patch_id").isNull(), F.col("part"))  # a patch of its own
     out = files.groupBy("patch_id", alone.alias("_alone")).agg(
         F.min("id").alias("id"), F.size(F.collect_set(F.when((F.col("file_no") > 0) & F.col("out"), at))).alias("n_ignored"),
-        F.collect_set(F.when(F.col("file_no") == 0, F.struct("part", "n_files"))).alias("_parts"), F.count_if(F.col("file_no") == 0).alias("_rows"), F.collect_list(F.when(kept, row)).alias("_files"),
+        F.collect_set(F.when(F.col("file_no") == 0, F.struct("part", "n_files"))).alias("_parts"), F.count_if(F.col("file_no") == 0).alias("_rows"), F.collect_set(F.when(kept, row)).alias("_files"),
         *[F.min_by("options", "part").alias("options")] * by_row,
     )
     now = options.now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
@@ -87,16 +87,11 @@ def packets(patches: DataFrame, options: Options = Options(), spread: bool = Fal
 
 @built_once
 def _merged() -> list[Step]:
-    """_files of several rows as those of one patch: a row's files are numbered on from those of the rows before it."""
+    """_before: for several rows of one patch, how many files the rows before each part have; null for one row."""
     begin = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<part:bigint,n:int>>").alias("out"))
     step = lambda a, p: F.struct((a["n"] + p["n_files"]).alias("n"), F.array_append(a["out"], F.struct(p["part"].alias("part"), a["n"].alias("n"))).alias("out"))
     before = F.map_from_entries(F.aggregate(F.array_sort("_parts"), begin, step, lambda a: a["out"]))
-    numbered = F.transform("_files", lambda f: f.withField("file_no", f["file_no"] + F.try_element_at(F.col("_before"), f["part"])))
-    by_place = F.transform(F.array_sort(F.transform(numbered, lambda f: F.struct(f["file_no"].alias("a"), f.alias("f")))), lambda x: x["f"])
-    several = F.col("_rows") > 1
-    # files with one number are those of a row that is repeated whole
-    single = F.filter("_files", lambda f, i: (i == 0) | (F.get("_files", i - 1)["file_no"] != f["file_no"]))
-    return [{"_before": F.when(several, before)}, {"_files": F.when(several, by_place).otherwise(F.col("_files"))}, {"_files": F.when(several, single).otherwise(F.col("_files"))}]
+    return [{"_before": once(F.when(F.col("_rows") > 1, before))}]
 
 
 @built_once
@@ -104,11 +99,12 @@ def _contents(options: Options, hunks: bool = False) -> list[Step]:
     """The columns of a packet, step by step, from the patch's id, n_ignored and _files."""
     lang = options.lang
     fields = [*FILE_FIELDS[1:], *["hunks"] * hunks]
+    own = lambda f, c: f[c] + F.coalesce(F.try_element_at("_before", f["part"]), F.lit(0)) if c == "file_no" else f[c]
     steps: list[Step] = []
-    steps.append({"_tests": F.transform(F.filter("_files", is_live_test), lambda f: F.struct(F.lower(f["path"]).alias("path"), f["stem"].alias("stem")))})
+    steps.append({"_tests": once(F.transform(F.filter("_files", is_live_test), lambda f: F.struct(F.lower(f["path"]).alias("path"), f["stem"].alias("stem"))))})
     gap = lambda f: F.when(f["gap"] & ~covered(f, F.col("_tests")), F.array(finding("missing-tests", lang, f["stem"]))).otherwise(F.array().cast(f"array<{FINDING_KIND}>"))
     steps.append({"_files": F.transform("_files", lambda f: f.withField("findings", F.array_sort(F.concat(f["findings"], gap(f)))))})
-    steps.append({"_files": F.transform("_files", lambda f: F.struct(*[f[c].alias(c) for c in fields], *graded(f, f["findings"])))})
+    steps.append({"_files": F.transform("_files", lambda f: F.struct(*[own(f, c).alias(c) for c in fields], *graded(f, f["findings"])))})
     reason = lambda f: F.coalesce(F.get(f["findings"], F.lit(0))["title"], looked_up(ROLE_NAMES, f["role"], lang))
     steps.append({"files": F.transform(_sorted(F.col("_files"), options.order), lambda f, i: f.withField("rank", i + 1).withField("reason", reason(f)))})
 

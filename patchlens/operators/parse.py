@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.functions.patterns import KEY_BEGIN, KEY_END, jvm, trimmed
-from patchlens.functions.steps import Step, built_once
+from patchlens.functions.steps import Step, built_once, once
 
 HUNK = jvm(r"^@@\s+-(\d+)(?:,(\d+))?\s+\+(\d+)(?:,(\d+))?\s+@@(.*)$")
 TOKEN = r'("(?:[^"\\]|\\.)*"?|[^ ]+)'
@@ -77,8 +77,10 @@ def split_files(patches: DataFrame, spread: bool = False) -> DataFrame:
     whole = F.when(whole.endswith("\n"), F.substr(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
     chunks = F.split(F.concat(F.lit("\n"), whole), r"\n(?=diff --(?:git|cc) )", -1)
     own = ["options"] if "options" in patches.columns else []
-    rows = patches.select("patch_id", *own, F.sha2(text, 256).alias("_sha"), (F.size(chunks) - 1).alias("n_files"), F.posexplode(chunks).alias("file_no", "chunk"))
-    rows = rows.select("patch_id", *own, F.conv(F.substring("_sha", 1, 15), 16, 10).cast("long").alias("part"), F.substring("_sha", 1, 8).alias("id"), "n_files", "file_no", "chunk")
+    # all that is asked of a whole patch, before its files become rows: what stands beside an explode is worked out for each of them
+    rows = patches.select("patch_id", *own, F.sha2(text, 256).alias("_sha"), chunks.alias("_chunks"))
+    rows = rows.select("patch_id", *own, F.conv(F.substring("_sha", 1, 15), 16, 10).cast("long").alias("part"), F.substring("_sha", 1, 8).alias("id"), (F.size("_chunks") - 1).alias("n_files"), once(F.col("_chunks")).alias("_chunks"))
+    rows = rows.select("patch_id", *own, "part", "id", "n_files", F.posexplode("_chunks").alias("file_no", "chunk"))
     if spread:
         rows = _dealt(rows, "patch_id", "part", "file_no")
     return sectioned(rows)
