@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.functions.patterns import DOTS, KEY_BEGIN, KEY_END, KEY_MARK, SECRETS, jvm
+from patchlens.functions.patterns import DOTS, KEY_BEGIN, KEY_END, KEY_MARK, SECRET_PLAIN, SECRETS, jvm, scan_for
 
 KEY_STOP = "-----END PRIVATE KEY-----"
 
 
 def redact_text(text: Column) -> Column:
-    """Text with masks. A text without the plain part of any credential is passed by after one scan for each."""
-    some = F.lit(False)
+    """Text with masks. A text without the plain parts of any credential is passed by after one scan for all of them."""
     masked = F.regexp_replace(F.regexp_replace(text, KEY_BEGIN, KEY_MARK), KEY_END, KEY_STOP)
-    for _, pattern, mask, plain in SECRETS:
-        some = some | text.contains(plain)
+    for _, pattern, mask, _ in SECRETS:
         if mask != KEY_MARK:
             masked = F.regexp_replace(masked, jvm(pattern), mask)
-    return F.when(some, masked).otherwise(text)
+    return F.when(text.rlike(scan_for(SECRET_PLAIN)), masked).otherwise(text)
 
 
 def redact_line(text: Column, in_key: Column) -> Column:

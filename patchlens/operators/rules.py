@@ -69,15 +69,15 @@ def _has(role: str) -> Column:
     return F.array_contains("roles", role)
 
 
-def _named(patterns: list[tuple], lang: str, blob: Column, path: Column | None = None) -> Column:
-    """The names of the patterns that match, joined. The pattern runs where the plain part of its matches occurs."""
+def _named(patterns: list[tuple], lang: str, blob: Column, plain: Column, path: Column | None = None) -> Column:
+    """The names of the patterns that match, joined. A pattern runs where one of its plain parts is in plain = plain_parts(blob)."""
     hits = []
-    for names, pattern, where, plain in patterns:
-        hit = blob.contains(plain)
+    for names, pattern, where, words in patterns:
+        hit = P.may_match(plain, words)
         if path is not None and where:
-            hit = matches(path, where) & hit
+            hit = hit & matches(path, where)
         hits.append(F.when(hit & matches(blob, pattern), wording(names, lang)))
-    return F.concat_ws(", ", *hits)
+    return F.when(F.size(plain) > 0, F.concat_ws(", ", *hits)).otherwise("")
 
 
 def _manifest_changed(base: Column, lines: Column) -> Column:
@@ -95,7 +95,7 @@ def assessed(files: DataFrame, options: Options = Options()) -> DataFrame:
 
     `gap` tells whether a file wants a test. All of it is worked out within a row.
     """
-    return applied(files, _assessment(replace(options, order="", budget_minutes=None, fail_on="", now=None))).drop("_base", "_blob", "_white", "_secrets", "_execs", "_high", "_publish", "add_texts", "del_texts")
+    return applied(files, _assessment(replace(options, order="", budget_minutes=None, fail_on="", now=None))).drop("_base", "_blob", "_plain", "_white", "_secrets", "_execs", "_high", "_publish", "add_texts", "del_texts")
 
 
 @built_once
@@ -104,12 +104,12 @@ def _assessment(options: Options) -> list[Step]:
     lang, path = options.lang, F.col("path")
     steps = [{
         "out": F.coalesce(F.rlike(path, F.col("options.ignore")), F.lit(False)) if options.lang == BY_ROW.lang else ignored(path, list(options.ignore)), "roles": roles_of(path), "stem": stem_of(path), "changes": F.col("additions") + F.col("deletions"), "_base": base_name(path), "_blob": F.array_join("add_texts", "\n"),
-    }, {"role": primary_role(F.col("roles"))}]
-    blob, role = F.col("_blob"), F.col("role")
+    }, {"role": primary_role(F.col("roles")), "_plain": P.plain_parts(F.col("_blob"))}]
+    blob, role, plain = F.col("_blob"), F.col("role"), F.col("_plain")
     sorted_trim = lambda c: F.array_sort(F.transform(c, trimmed))
     even = (F.size("add_texts") > 0) & (F.size("add_texts") == F.size("del_texts"))
     white = even & (F.array_sort("add_texts") != F.array_sort("del_texts")) & (sorted_trim("add_texts") == sorted_trim("del_texts"))
-    steps.append({"cluster": cluster_of(path, role), "_white": white, "_secrets": _named([(n, p, None, x) for n, p, _, x in P.SECRETS], lang, blob), "_execs": _named(P.EXECS, lang, blob, path), "_publish": _has("ci") & matches(blob, P.CI_PUBLISH)})
+    steps.append({"cluster": cluster_of(path, role), "_white": white, "_secrets": _named([(n, p, None, x) for n, p, _, x in P.SECRETS], lang, blob, plain), "_execs": _named(P.EXECS, lang, blob, plain, path), "_publish": _has("ci") & matches(blob, P.CI_PUBLISH)})
     compared = (blob.contains("==") | blob.contains("!=")) & blob.rlike("(?i)signature|digest|hmac")
     timing = compared & F.exists("add_texts", lambda x: matches(x, P.DIGEST_COMPARE, True) & ~matches(x, P.SENTINEL_COMPARE))
     api_file = F.lit(False)
@@ -131,7 +131,7 @@ def _assessment(options: Options) -> list[Step]:
     changed = F.concat("add_texts", "del_texts")
     rest = found(
         one("ci-publish", F.col("_publish")),
-        one("html-sink", matches(blob, P.HTML_SINK)),
+        one("html-sink", P.may_match(plain, P.HTML_PLAIN) & matches(blob, P.HTML_SINK)),
         one("sensitive-surface", (F.size("_high") == 0) & ~_has("test") & surface.isNotNull() & (F.col("status") != "deleted") & (F.col("changes") > 0), surface),
         one("dependency-manifest", _has("deps") & _manifest_changed(F.col("_base"), changed)),
         one("lockfile", _has("lockfile") & ((F.col("n_hunks") > 0) | F.col("is_binary") | (F.col("changes") > 0))),
