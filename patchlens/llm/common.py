@@ -82,10 +82,10 @@ def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
     return out
 
 
-def with_columns_of(docs: DataFrame) -> DataFrame:
-    """documents with every column it should have; a missing one is null."""
+def with_columns_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """documents with every column it should have; a missing one is null. more: further columns, of docs as it is given."""
     kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
-    return docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
+    return docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()], *more)
 
 
 def unit_draw(*parts: Column) -> Column:

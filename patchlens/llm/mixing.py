@@ -11,6 +11,9 @@ the targets. There are two ways to draw it:
 Cells, not documents, go through the rounds. They stay a distributed table: each half-step sums a margin by a
 pre-aggregated groupBy and joins its correction back, so one hot source is one partial sum for each task.
 
+The topic is an expression over the documents' columns, also over one that documents don't have, such as the class that
+a classifier gave; without one it is guessed from the form of the text (`topic_of`).
+
 Targets default to tempered shares: a value's share of tokens to the power `alpha`, normalised. A null source, language or
 topic is a value of its own (`unknown`). A cell without tokens has factor 1 and is taken at the common rate. Margins that
 contradict each other can't all be met; a warning then tells the error left. An
@@ -48,10 +51,11 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def _with_cells(docs: DataFrame) -> DataFrame:
-    docs = with_columns_of(docs)
+def _with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    docs = with_columns_of(docs, *([] if topic is None else [topic.cast("string").alias("_given")]))
+    found = topic_of(F.col("text")) if topic is None else F.col("_given")
     known = [F.coalesce(F.col(c), F.lit("unknown")).alias(f"_{c}") for c in MARGINS[:2]]
-    return docs.select("*", *known, F.coalesce(topic_of(F.col("text")), F.lit("unknown")).alias("_topic"), n_tokens(F.col("text")).alias("_tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest"))
+    return docs.select("*", *known, F.coalesce(found, F.lit("unknown")).alias("_topic"), n_tokens(F.col("text")).alias("_tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest")).drop("_given")
 
 
 def margin_error(raked: DataFrame) -> float:
@@ -100,9 +104,9 @@ def rake(cells: DataFrame, alpha: float = 0.7, rounds: int = 6, targets: dict[st
     return now.withColumn("factor", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0))
 
 
-def _raked(docs: DataFrame, alpha: float, rounds: int, targets: dict[str, DataFrame] | None, texts: bool = True, settle: bool = True) -> tuple[DataFrame, DataFrame]:
+def _raked(docs: DataFrame, alpha: float, rounds: int, targets: dict[str, DataFrame] | None, texts: bool = True, settle: bool = True, topic: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """docs with their cells, and the cells with _factor. Without texts each text is read once: what is left of a row is kept."""
-    rows = _with_cells(docs) if texts else keep(_with_cells(docs).drop("text"), "rows")
+    rows = _with_cells(docs, topic) if texts else keep(_with_cells(docs, topic).drop("text"), "rows")
     cells = rows.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_tokens").alias("tokens"))
     return rows, rake(keep(cells, "cells"), alpha, rounds, targets, settle).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("factor").alias("_factor"))
 
@@ -113,21 +117,21 @@ def _draw(seed: str) -> Column:
     return F.conv(F.substring(F.md5(parts), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
-def calibrated(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, targets: dict[str, DataFrame] | None = None, seed: str = "mix", texts: bool = True, settle: bool = True) -> DataFrame:
+def calibrated(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, targets: dict[str, DataFrame] | None = None, seed: str = "mix", texts: bool = True, settle: bool = True, topic: Column | None = None) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, _factor, _p (the probability to be kept) and _kept.
 
     `budget` is the wanted share of all tokens; where the largest factor allows less, the sample is smaller, as clipping
     probabilities at 1 would miss the targets. `mix` meets the budget.
     """
-    rows, factors = _raked(docs, alpha, rounds, targets, texts, settle)
+    rows, factors = _raked(docs, alpha, rounds, targets, texts, settle, topic)
     most = factors.agg(F.max("_factor")).first()[0] or 1.0
     scale = min(float(budget), 1.0 / most)
     return rows.join(factors, [f"_{m}" for m in MARGINS]).withColumn("_p", F.least(F.lit(1.0), F.col("_factor") * F.lit(scale))).withColumn("_kept", _draw(seed) < F.col("_p"))
 
 
-def mix(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, targets: dict[str, DataFrame] | None = None, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, alpha: float = 0.7, rounds: int = 6, budget: float = 1.0, targets: dict[str, DataFrame] | None = None, seed: str = "mix", topic: Column | None = None) -> DataFrame:
     """The sample, with the columns of documents: `budget` times all tokens in expectation, each document `budget` x factor times."""
-    rows, factors = _raked(docs, alpha, rounds, targets)
+    rows, factors = _raked(docs, alpha, rounds, targets, topic=topic)
     wanted = F.col("_factor") * F.lit(float(budget))
     copies = (F.floor(wanted) + (_draw(seed) < wanted - F.floor(wanted)).cast("long")).cast("int")
     taken = rows.join(factors, [f"_{m}" for m in MARGINS]).withColumn("_copies", copies).where("_copies > 0")

@@ -110,6 +110,22 @@ def test_documents_without_ids_are_drawn_one_by_one(spark):
         assert 140 < sum(x.source == source for x in got) < 220
 
 
+def test_topics_may_be_given(spark):
+    rows = [(k, f"w{k} " * 10, "en", f"s{k % 3}", 40, None if k % 10 == 0 else "law" if k % 10 == 1 else "art", "clash") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, class string, _topic string")
+    wanted = {"topic": spark.createDataFrame([("law", 2.0), ("art", 1.0), ("unknown", 1.0)], "value string, share double")}
+    found = mixing.calibrated(docs, targets=wanted, topic=F.col("class"))
+    assert {r._topic: r.n for r in found.groupBy("_topic").agg(F.count(F.lit(1)).alias("n")).collect()} == {"unknown": 90, "law": 90, "art": 720}
+    weight = {r._topic: r.w for r in found.groupBy("_topic").agg(F.sum(F.col("_factor") * F.col("_tokens")).alias("w")).collect()}
+    assert all(abs(weight[t] / 9000 - share) < 1e-5 for t, share in (("law", 0.5), ("art", 0.25), ("unknown", 0.25)))
+    kind = {r[0]: r[5] for r in rows}
+    taken = mixing.mix(docs, targets=wanted, topic=F.col("class"))
+    assert taken.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = [kind[r.doc_id] for r in taken.collect()]
+    assert len(got) == pytest.approx(900, abs=60) and got.count("law") == pytest.approx(450, abs=40)
+    assert mixing.mix(docs.limit(0), topic=F.col("class")).count() == 0
+
+
 def test_the_key_is_in_no_plan(spark):
     key = "a-key-that-nobody-should-read"
     out = pii.pseudonymise(spark.createDataFrame([(1, "call +1 (415) 555-0123 or a.b@c.org, 10.1.2.3, 2020-02-03, password=abcdef123")], "doc_id long, text string"), key)
