@@ -11,8 +11,9 @@ Training counts come from Spark: n-gram counts of a bounded sample of labelled d
 drawn by hash) are summed in a groupBy. Every language of the labelled rows is kept, with all contexts of its sample: the
 sample alone bounds the model, which is broadcast as counts. Scoring runs over whole texts: a longest-suffix automaton over the
 contexts turns each byte into one table look-up for the state and one for the costs in a group of languages. The tables are
-made from the counts, for as many languages at once as TABLE_BYTES allows; where all groups fit into HELD_BYTES they are made
-once, else again for each batch of rows. Texts are cut into pieces only for the sake of vector
+made from the counts for each batch of rows, for as many languages at once as TABLE_BYTES allows, and go before the next
+group's are made: Spark keeps Python workers after their tasks, and what one still holds counts against the executor. Texts
+are read from the Arrow batch a slice at a time and cut into pieces only for the sake of vector
 operations; a piece begins with the bytes that its context needs, so sums are those of the whole text.
 
 Defined cases: null text, or text without a letter (a character of a Unicode letter category; digits, fractions and Roman
@@ -25,18 +26,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.llm.common import DOCUMENT_COLUMNS, table, unit_draw, with_columns_of
 
 PIECE = 1024
-SLICE = 256
-TABLE_BYTES, HELD_BYTES = 16_000_000, 96_000_000
+SLICE, SLICE_BYTES = 256, 1_000_000
+TABLE_BYTES = 16_000_000
+CONTEXTS = 1024
 
 
 @dataclass
@@ -82,30 +86,22 @@ class Model:
     def cost(self) -> np.ndarray:
         return self.whole().cost
 
+    def bounds(self) -> list[int]:
+        """Groups of languages begin here; the last number is that of all languages."""
+        width = int(self.symbol_of.max()) + 1
+        bounds, states = [0], 0
+        for k in range(len(self.langs)):
+            own = len(np.unique(self.grams[self.starts[k] : self.starts[k + 1]] >> 8))
+            if k > bounds[-1] and (states + own) * width * 4 * (k - bounds[-1] + 2) > TABLE_BYTES:
+                bounds.append(k)
+                states = 0
+            states += own
+        return [*bounds, len(self.langs)]
+
     def groups(self) -> Iterator[Tables]:
-        """Tables that cover all languages in order."""
-        if "bounds" not in self.held:
-            width = int(self.symbol_of.max()) + 1
-            bounds, sizes, states = [0], [0], 0
-            for k in range(len(self.langs)):
-                own = len(np.unique(self.grams[self.starts[k] : self.starts[k + 1]] >> 8))
-                if k > bounds[-1] and (states + own) * width * 4 * (k - bounds[-1] + 2) > TABLE_BYTES:
-                    bounds.append(k)
-                    sizes.append(0)
-                    states = 0
-                states += own
-                sizes[-1] = states * width * 4 * (k - bounds[-1] + 2)
-            self.held["bounds"] = [*bounds, len(self.langs)]
-            self.held["hold"] = sum(sizes) <= HELD_BYTES
-        bounds = self.held["bounds"]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if (a, b) in self.held:
-                yield self.held[a, b]
-                continue
-            made = tables_of(self, a, b)
-            if self.held["hold"]:
-                self.held[a, b] = made
-            yield made
+        """Tables that cover all languages in order. They are kept nowhere: who is done with one lets it go before the next."""
+        for a, b in pairwise(self.bounds() if self.langs else []):
+            yield tables_of(self, a, b)
 
 
 def sample_of(labelled: DataFrame, sample_docs: int) -> DataFrame:
@@ -169,9 +165,10 @@ def _shorter(contexts: np.ndarray) -> np.ndarray:
     return (contexts & (lead - 1)) | lead
 
 
-def _costs(counts: np.ndarray, length: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Bits of each symbol in each context of one language. counts[context, symbol]; shorter contexts come first."""
-    cost, rest = np.empty_like(counts), np.empty_like(counts)  # rest: bits of a symbol once its context is escaped from
+def _costs(counts: np.ndarray, length: np.ndarray, shorter: np.ndarray, cost: np.ndarray) -> None:
+    """Into cost the bits of each symbol in each context of one language. counts[context, symbol]; shorter contexts come first."""
+    ends = np.searchsorted(length, np.arange(int(length.max()) + 2))
+    rest = np.empty((ends[-2], counts.shape[1]), counts.dtype)  # bits of a symbol once its context is escaped from
 
     def bits(n: np.ndarray, onward: np.ndarray) -> np.ndarray:
         """n are the counts not excluded; a symbol without one is escaped to, then coded `onward`."""
@@ -180,12 +177,15 @@ def _costs(counts: np.ndarray, length: np.ndarray, shorter: np.ndarray) -> np.nd
         escape = np.where(kinds > 0, -np.log2(np.maximum(kinds, 1) / whole), 0)
         return np.where(n > 0, -np.log2(np.maximum(n, 1) / whole[:, None]), escape[:, None] + onward)
 
-    for level in range(int(length.max()) + 1):
-        here = np.flatnonzero(length == level)
-        own, up = counts[here], shorter[here]
-        rest[here] = bits(np.where(own > 0, 0, counts[up]), rest[up]) if level else np.log2(np.maximum(256 - (own > 0).sum(axis=1), 1))[:, None]
-        cost[here] = bits(own, rest[here])
-    return cost
+    for level, (first, last) in enumerate(pairwise(ends)):
+        for start in range(first, last, CONTEXTS):
+            here = slice(start, min(start + CONTEXTS, last))
+            own, up = counts[here], shorter[here]
+            onward = bits(np.where(own > 0, 0, counts[up]), rest[up]) if level else np.log2(np.maximum(256 - (own > 0).sum(axis=1), 1))[:, None]
+            onward = onward.astype(counts.dtype)
+            if last < len(length):
+                rest[here] = onward
+            cost[here] = bits(own, onward)
 
 
 def tables_of(model: Model, first: int, last: int) -> Tables:
@@ -209,13 +209,14 @@ def tables_of(model: Model, first: int, last: int) -> Tables:
     for k, part in enumerate(own):
         counts = np.zeros((len(states), width), np.float32)
         counts[np.searchsorted(states, model.grams[part] >> 8), model.symbol_of[model.grams[part] & 255]] = model.n[part]
-        cost[:, :, k] = _costs(counts, length, shorter)
+        _costs(counts, length, shorter, cost[:, :, k])
     return Tables(first, last, following * np.int32(width), cost)
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     """Bits of each text in each language."""
-    parts = [_lengths_in(model, tables, texts) for tables in model.groups()] if model.langs else []
+    # not a comprehension: its variable would hold a group's tables while the next are made
+    parts = list(map(lambda tables: _lengths_in(model, tables, texts), model.groups()))
     return np.concatenate(parts, axis=1) if parts else np.zeros((len(texts), 0))
 
 
@@ -238,7 +239,7 @@ def _lengths_in(model: Model, tables: Tables, texts: list[bytes]) -> np.ndarray:
         grid = np.zeros((lengths[0], len(block)), np.uint8)
         for j, i in enumerate(block):
             grid[: lengths[j], j] = np.frombuffer(pieces[i], np.uint8)
-        symbols = model.symbol_of[grid].astype(np.int64)
+        symbols = model.symbol_of[grid]
         skip = np.array([skips[i] for i in block])
         place = np.zeros(len(block), np.int64)  # of the state's first symbol
         sums = np.zeros((len(block), n_langs))
@@ -260,34 +261,54 @@ def train(labelled: DataFrame, order: int = 4, sample_docs: int = 150) -> Model:
     return build(ngram_counts(sample_of(labelled, sample_docs), order).toArrow(), order)
 
 
+def slices(texts: pa.Array) -> Iterator[slice]:
+    """Runs of texts: SLICE at most, and of more than one no more than SLICE_BYTES."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and (k - start == SLICE or held + size > SLICE_BYTES):
+            yield slice(start, k)
+            start, held = k, 0
+        held += size
+    if len(sizes):
+        yield slice(start, len(sizes))
+
+
+def scored(model: Model, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """For batches of texts, structs of lang_pred, score and bits_per_byte; one group's tables are held at a time, none between batches."""
+    names = np.array([*model.langs, "und"], object)
+    for texts in batches:
+        texts = texts.cast(pa.large_binary())
+        runs = list(slices(texts))
+        fine, size = np.zeros(len(texts), bool), np.ones(len(texts))
+        best, least, sums = np.zeros(len(texts), np.int64), np.full(len(texts), np.inf), np.zeros(len(texts))
+        for part in runs:
+            raw = texts[part].to_pylist()
+            fine[part] = [bool(model.langs) and has_letter(x and x.decode("utf-8", "replace")) for x in raw]
+            size[part] = [max(len(x or b""), 1) for x in raw]
+        for tables in model.groups():
+            for part in runs:
+                bits = _lengths_in(model, tables, [x if ok else b"" for x, ok in zip(texts[part].to_pylist(), fine[part], strict=True)])
+                now = np.minimum(least[part], bits.min(axis=1))
+                best[part] = np.where(now < least[part], tables.first + bits.argmin(axis=1), best[part])
+                # sums holds 2 to the power of (least - bits), summed over the languages so far
+                sums[part] = sums[part] * np.exp2(np.maximum(now - least[part], -1000)) + np.exp2(np.maximum(now[:, None] - bits, -1000)).sum(axis=1)
+                least[part] = now
+            del tables
+        score, rate = 1 / np.maximum(sums, 1), np.where(fine, least, 0.0) / size
+        found = {"lang_pred": pa.array(names[np.where(fine, best, -1)], pa.string()), "score": np.where(fine, score, 0.0), "bits_per_byte": rate}
+        yield pa.StructArray.from_arrays([pa.array(x) for x in found.values()], list(found))
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score (posterior of lang_pred under equal priors) and bits_per_byte."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        names = np.array([*model.langs, "und"], object)
-        for texts in parts:
-            fine = np.array([has_letter(t) for t in texts], bool) & bool(model.langs)
-            size = np.ones(len(texts))
-            best, least, sums = np.zeros(len(texts), np.int64), np.full(len(texts), np.inf), np.zeros(len(texts))
-            for tables in model.groups() if model.langs else ():
-                for start in range(0, len(texts), SLICE):
-                    part = slice(start, start + SLICE)
-                    raw = [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(texts.iloc[part], fine[part], strict=True)]
-                    size[part] = [max(len(x), 1) for x in raw]
-                    bits = _lengths_in(model, tables, raw)
-                    now = np.minimum(least[part], bits.min(axis=1))
-                    best[part] = np.where(now < least[part], tables.first + bits.argmin(axis=1), best[part])
-                    # sums holds 2 to the power of (least - bits), summed over the languages so far
-                    sums[part] = sums[part] * np.exp2(np.maximum(now - least[part], -1000)) + np.exp2(np.maximum(now[:, None] - bits, -1000)).sum(axis=1)
-                    least[part] = now
-            score, rate = 1 / np.maximum(sums, 1), np.where(fine, least, 0.0) / size
-            yield pd.DataFrame({"lang_pred": names[np.where(fine, best, -1)], "score": np.where(fine, score, 0.0), "bits_per_byte": rate})
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from scored(shared.value, parts)
 
     # not deterministic for the optimizer: else a filter on the result would have each text scored twice
-    marked = F.pandas_udf(predict, "lang_pred string, score double, bits_per_byte double").asNondeterministic()
+    marked = F.arrow_udf(predict, "lang_pred string, score double, bits_per_byte double").asNondeterministic()
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
     return docs.select(*columns, marked("text").alias("_p")).select(*columns, "_p.lang_pred", "_p.score", "_p.bits_per_byte")
 

@@ -7,12 +7,15 @@ import math
 import random
 import re
 import threading
+import tracemalloc
 import warnings
+import weakref
 import zlib
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -392,6 +395,42 @@ def test_every_language_keeps_its_own_contexts(spark, monkeypatch):
     assert right == all_of
 
 
+def test_one_group_of_tables_is_held_at_a_time(spark, monkeypatch):
+    """Workers outlive their tasks, so tables that one keeps count against the executor: each group's go before the next, and making them takes little more than they do."""
+    r = random.Random(6)
+    rows = [(k, "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWX", k=3000)), f"l{k % 3}") for k in range(36)]
+    model = langid.train(langid.labelled_part(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    made, make = [], langid.tables_of
+
+    def watched(*args):
+        assert not any(ref() for ref in made)
+        tracemalloc.start()
+        try:
+            tables = make(*args)
+            own = tables.cost.nbytes + tables.following.nbytes
+            assert own > 5_000_000 and tracemalloc.get_traced_memory()[1] < 2.5 * own
+        finally:
+            tracemalloc.stop()
+        made.append(weakref.ref(tables))
+        return tables
+
+    monkeypatch.setattr(langid, "tables_of", watched)
+    bits = langid.code_lengths(model, [text.encode() for _, text, _ in rows])
+    assert len(made) == 3 and not any(ref() for ref in made)
+    batches = [pa.array([text for _, text, _ in rows]), pa.array([None, "", rows[0][1], "12"]), pa.array([], pa.string())]
+    found = [x.to_pylist() for x in langid.scored(model, iter(batches)) if not any(ref() for ref in made)]
+    assert [x["lang_pred"] for x in found[0]] == [model.langs[k] for k in bits.argmin(axis=1)]
+    assert [x["lang_pred"] for x in found[1]] == ["und", "und", found[0][0]["lang_pred"], "und"] and found[2] == []
+
+
+def test_texts_are_read_in_bounded_slices(monkeypatch):
+    monkeypatch.setattr(langid, "SLICE_BYTES", 10)
+    texts = pa.array(["é" * 20, "a", None, "bb", "ccccccc", "d", ""] + ["e"] * 3, pa.string())
+    monkeypatch.setattr(langid, "SLICE", 4)
+    assert [(x.start, x.stop) for x in langid.slices(texts)] == [(0, 1), (1, 5), (5, 9), (9, 10)]
+    assert list(langid.slices(texts[:0])) == []
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (4, "u", ""), (5, "u", "x\r\n\r\nWARC/1.1\r\n"), (None, "u", "<p>é</p>"), (6, "u v", "long " * 400_000)]
     raw, out = new_path(spark, "t"), new_path(spark, "t")
